@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
+from .html_text import op10_html
+from .license_scan import op9_license
 from .quality import op4_quality, op4_sql
 from .simhash import op1_simhash
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_quality": op4_quality}
+    return {"op1_simhash": op1_simhash, "op4_quality": op4_quality, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_license": op9_license, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": op4_sql()}
+    return {"op4_quality": op4_sql(), "op8_warc": OP8_SQL}
