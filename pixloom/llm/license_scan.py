@@ -35,6 +35,8 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+    ("mit", "Released under the MIT License"),
     ("all-rights-reserved", "All rights reserved"),
 )
 #: Least tokens of a match that may join a chain (shorter templates: all their tokens), most tokens of a gap, least coverage of a label.
