@@ -7,11 +7,12 @@ from .html_text import op10_html
 from .license_scan import op9_license
 from .quality import op4_quality, op4_sql
 from .simhash import op1_simhash
+from .suffix_dedup import op5_suffix
 from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_quality": op4_quality, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_license": op9_license, "op10_html": op10_html}
+    return {"op1_simhash": op1_simhash, "op4_quality": op4_quality, "op5_suffix": op5_suffix, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_license": op9_license, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
