@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .html_text import op10_html
+from .langid import op2_langid
 from .license_scan import op9_license
+from .media import op3_media
+from .mixing import op6_mixing
 from .quality import op4_quality, op4_sql
 from .simhash import op1_simhash
 from .suffix_dedup import op5_suffix
@@ -12,7 +15,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_quality": op4_quality, "op5_suffix": op5_suffix, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_license": op9_license, "op10_html": op10_html}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_media": op3_media, "op4_quality": op4_quality, "op5_suffix": op5_suffix, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_license": op9_license, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
