@@ -83,6 +83,10 @@ def _fuse(ops: list[Op], channels: int | None, matrices: bool) -> list[Op]:
             out[-1] = Op("matrix", {"matrix": (np.array(m, float) @ np.array(matrix(last), float)).tolist()})
         else:
             out.append(o)
+        if o.name == "to_gray" and channels == 3:
+            channels = 1
+        elif o.name == "to_rgb" and channels == 1:
+            channels = 3
         if out and _nothing(out[-1]):
             out.pop()
     return out
@@ -105,8 +109,13 @@ def plan(program: Program, optimize: bool = True, channels: int | None = None, f
     if not optimize:
         return Plan(ops, len(ops), notes, False)
     single = lambda o: o.name in SINGLE
-    ops, crops = _hoist(ops, lambda o: o.name in CROPS, single)
-    ops, moved = _hoist(ops, lambda o: square(o) is not None, single)
+    crops = moved = 0
+    while True:  # a symmetry that has moved may let a crop move
+        ops, a = _hoist(ops, lambda o: o.name in CROPS, single)
+        ops, b = _hoist(ops, lambda o: square(o) is not None, single)
+        crops, moved = crops + a, moved + b
+        if not a and not b:
+            break
     if crops or moved:
         notes.append(f"crops moved over {crops} operations, symmetries over {moved}")
     return Plan(_fuse(ops, channels, fuse_matrices), len(program), notes)
