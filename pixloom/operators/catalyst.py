@@ -211,7 +211,7 @@ def equalize(df: DataFrame, then=None) -> DataFrame:
 def mixed_unit(at: str, seed: int) -> str:
     """A bounded congruential hash of positions to [0, 1); no step leaves 64 bits."""
     k = f"((cast({at} as bigint) * 7919 + {seed % 1000003}) % 2147483648)"
-    step = "aggregate(sequence(1, 3), {k}, (a, _) -> ((a * 1103515245 + 12345) % 2147483648 + ((a * 1103515245 + 12345) % 2147483648) div 65536 * 69069) % 2147483648)"
+    step = "aggregate(sequence(1, 4), {k}, (a, _) -> (a * 1103515245 + 12345) % 65536 * 32768 + (a * 1103515245 + 12345) % 2147483648 div 65536)"
     return f"({step.format(k=k)} / 2147483648D)"
 
 

@@ -239,9 +239,9 @@ def multiplicative_noise(img: np.ndarray, multiplier=1, std=0.1, granularity="ve
 def mixed_unit(at: np.ndarray, seed: int) -> np.ndarray:
     """A bounded congruential hash of positions to [0, 1); catalyst.mixed_unit is the same in SQL."""
     k = (np.asarray(at, np.int64) * 7919 + seed % 1000003) % 2147483648
-    for _ in range(3):
+    for _ in range(4):
         k = (k * 1103515245 + 12345) % 2147483648
-        k = (k + k // 65536 * 69069) % 2147483648
+        k = k % 65536 * 32768 + k // 65536  # low bits of the product are poor: turn them up
     return k / 2147483648.0
 
 

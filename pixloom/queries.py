@@ -103,12 +103,12 @@ _add("normalize", lambda spark, d: pixels(C.normalize(S.rgb(spark, d), 0.45, 0.2
 _image("matrix_chain", lambda df: C.run(df, plan(Program([Op("to_sepia"), Op("color_tint", {"tint": T.TINTS["warm"]})]), fuse_matrices=True).stages), _matrix_sql(__import__("numpy").array(T.tint(T.TINTS["warm"])).dot(__import__("numpy").array(T.SEPIA)).tolist()))
 
 # --- noise and dropout --------------------------------------------------------
-_step = "(({k} * 1103515245 + 12345) % 2147483648 + (({k} * 1103515245 + 12345) % 2147483648) // 65536 * 69069) % 2147483648"
+_step = "(({k} * 1103515245 + 12345) % 65536 * 32768 + ({k} * 1103515245 + 12345) % 2147483648 // 65536)"
 
 
 def _mixed_sql(at: str, seed: int) -> str:
     k = f"((({at})::bigint * 7919 + {seed}) % 2147483648)"
-    for _ in range(3):
+    for _ in range(4):
         k = f"({_step.format(k=k)})"
     return f"({k} / 2147483648.0::double)"
 
