@@ -102,8 +102,11 @@ class Scanner:
         self.auto = Automaton([[self.ids[w] for w in t] for _, t in names])
         self.least = [min(LEAST, n) for n in self.size]
         shortest = min(self.size)
-        # base phrases that end in a state, if the match is as long as they are
-        self.phrases = [[k for k, at in ends if k < self.n_base and at == self.size[k]] for ends in self.auto.ends]
+        # base phrases that are suffixes of a state's strings: its own, if the match is as long, and those up its links
+        self.phrases: list[list[int]] = [[] for _ in self.auto.len]
+        for state in sorted(range(1, len(self.auto.len)), key=self.auto.len.__getitem__):
+            own = [k for k, at in self.auto.ends[state] if k < self.n_base and at == self.size[k] and self.auto.len[self.auto.link[state]] < at <= self.auto.len[state]]
+            self.phrases[state] = own + self.phrases[self.auto.link[state]]
         self.shortest = shortest
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
