@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -40,22 +41,23 @@ class Codec:
         self.names = {i: str(i) for i in self.words}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def ids(self, pieces: list[str]) -> list[int]:
+    def packed(self, pieces: list[str]) -> bytes:
+        """The pieces' ids as 32-bit integers, one after another."""
         known = self.known
         for p in [p for p in set(pieces) if p not in known]:
             if len(known) >= REMEMBERED:
                 known.clear()
-                return list(chain.from_iterable(self.one(p.encode()) for p in pieces))
-            known[p] = self.one(p.encode())
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+                return b"".join(array("i", self.one(p.encode())).tobytes() for p in pieces)
+            known[p] = array("i", self.one(p.encode())).tobytes()
+        return b"".join(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
-        return self.ids(self.pieces(text))
+        return array("i", self.packed(self.pieces(text))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -75,14 +77,20 @@ def edges(codec: Codec, chunk: str, overlap: int = OVERLAP) -> tuple[list[int],
     return [e for e in ends if e <= overlap], [e for e in ends if e >= len(chunk) - overlap]
 
 
-def encode_from(codec: Codec, chunk: str, start: int, stop: int | None) -> list[int]:
-    """Ids of the pieces of chunk between two true boundaries; the matches still see what follows stop."""
+def encode_from(codec: Codec, chunk: str, start: int, stop: int | None) -> bytes:
+    """Packed ids of the pieces of chunk between two true boundaries; the matches still see what follows stop."""
     pieces = []
     for m in codec.pattern.finditer(chunk, start):
         if stop is not None and m.start() >= stop:
             break
         pieces.append(m.group())
-    return codec.ids(pieces)
+    return codec.packed(pieces)
+
+
+def lists(packed: list[bytes]) -> pa.ListArray:
+    """An Arrow column of the lists that are packed."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:
@@ -106,8 +114,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def plain(batches):
         codec = _codec(*held.value)
         for b in batches:
-            ids = [codec.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            ids = lists([codec.packed(codec.pieces(t)) for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])
 
     short = df.where(whole).mapInArrow(plain, form)
     long = df.where(~whole)
@@ -133,8 +141,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         codec = _codec(*held.value)
         for b in batches:
             rows = zip(*(b.column(k).to_pylist() for k in range(2, 5)), strict=True)
-            ids = [encode_from(codec, t, a, z) for t, a, z in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "no", "ids"])
+            ids = lists([encode_from(codec, t, a, z) for t, a, z in rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["key", "no", "ids"])
 
     cut = seen.where("not broken").select("key", "no", "t", "cut", "stop").mapInArrow(inner, "key string, no int, ids array<int>")
     stitched = cut.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
@@ -158,7 +166,12 @@ def digested(tokens: DataFrame, id_col: str = "doc_id", path: str | None = None)
     def run(batches):
         codec = _codec(*held.value)
         for b in batches:
-            rows = [(len(i), hashlib.sha256(codec.joined(i).encode()).hexdigest(), hashlib.sha256(codec.decode(i)).hexdigest()) for i in b.column(1).to_pylist()]
+            column = b.column(1)
+            ends, ids = column.offsets.to_numpy().tolist(), column.values.to_numpy()
+            rows = []
+            for a, z in zip(ends, ends[1:], strict=False):
+                i = ids[a:z].tolist()
+                rows.append((len(i), hashlib.sha256(codec.joined(i).encode()).hexdigest(), hashlib.sha256(codec.decode(i)).hexdigest()))
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

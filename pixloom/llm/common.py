@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER_AND_SPACE = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 #: Records of one Arrow batch; a batch of the longest documents must fit a Python worker.
-ARROW_RECORDS = 1024
+ARROW_RECORDS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:

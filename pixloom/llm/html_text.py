@@ -91,6 +91,12 @@ LABELLED = """
 30 0   7 0    40 0   0 0 1 : 1
 30 0   4 0    40 0   0 0 0 : 1
 50 0   8 0    60 0   0 0 0 : 1
+14 0   14 0   2 1    0 0 0 : 1
+40 0   12 0   1 1    0 0 0 : 1
+20 0   30 0   3 1    0 0 0 : 1
+0 0    20 0   0 0    0 0 0 : 1
+14 0   2 1    0 0    0 0 0 : 0
+2 1    6 1    2 1    0 0 0 : 0
 """
 
 

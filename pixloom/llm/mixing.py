@@ -21,22 +21,23 @@ DOMAINS = ("good", "low", "toxic")
 #: Shares of expected tokens.
 TARGETS = {"good": 0.92, "low": 0.04, "toxic": 0.04}
 #: Labelled documents that the classifier is fitted on (expected; chosen by a hash of the id), and words it may use.
-LABELLED, WORDS, BUCKETS = 4000, 256, 32768
-ROUNDS, PULL = 40, 1e-4
-#: Shares of a text's characters and the bounds of their bins.
-BINS = (("symbols", "#*$%&<>", (0.001, 0.02, 0.06)), ("bars", "|", (0.001, 0.02)), ("shouts", "!", (0.001, 0.02, 0.06)), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", (0.1, 0.3)), ("spread", None, (0.1, 0.25)))
+LABELLED, WORDS = 4000, 256
+ROUNDS, PULL = 25, 1e-4
+#: Shares of a text's characters (SQL for their number) and the bounds of their bins; "spread" is the share of different words.
+BINS = (
+    ("symbols", "regexp_count(text, '[#*$%&<>]')", (0.001, 0.02, 0.06)), ("bars", "length(text) - length(replace(text, '|', ''))", (0.001, 0.02)),
+    ("shouts", "length(text) - length(replace(text, '!', ''))", (0.001, 0.02, 0.06)), ("spread", None, (0.1, 0.25)),
+)
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """docs (id, text) with words (letters only, lower case), n_tokens and a bin column for each of BINS."""
+    """docs (id, text) with words (lower case, cut at white space, commas and full stops), n_tokens and a bin column for each of BINS."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    df = df.withColumn("words", F.filter(F.split(F.lower("text"), r"\P{L}+"), lambda w: w != "")).withColumn("tokens", F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"))
-    size = F.greatest(F.length("text"), F.lit(1))
-    out = {"n_tokens": F.when(F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "", 0).otherwise(F.size("tokens")).cast("long")}
-    for name, chars, bounds in BINS:
-        share = (F.length("text") - F.length(F.translate("text", chars, ""))) / size if chars else F.size(F.array_distinct("tokens")) / F.size("tokens")
-        out[f"bin_{name}"] = sum(((share > b).cast("int") for b in bounds), F.lit(0))
-    return df.withColumns(out).drop("text", "tokens")
+    df = df.withColumn("words", F.split(F.lower("text"), r"[ \t-\r.,]+"))
+    shares = {f"share_{name}": (F.expr(count) if count else F.size(F.array_distinct("words"))) / F.greatest(F.length("text") if count else F.size("words"), F.lit(1)) for name, count, _ in BINS}
+    df = df.withColumns(shares | {"n_tokens": F.size(F.array_remove("words", "")).cast("long")})
+    bins = {f"bin_{name}": sum(((F.col(f"share_{name}") > b).cast("int") for b in bounds), F.lit(0)) for name, _, bounds in BINS}
+    return df.withColumns(bins).drop("text", *shares)
 
 
 def _adding(weight):
@@ -58,22 +59,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     total = {r.domain: r.n for r in table.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     everyone = sum(total.values())
     model: dict = {"prior": {d: math.log((total.get(d, 0) + 1) / (everyone + len(DOMAINS))) for d in DOMAINS}, "bins": {}, "words": {}}
+    cells = [(name, b) for name, _, bounds in BINS for b in range(len(bounds) + 1)]
+    got = {r.domain: r for r in table.groupBy("domain").agg(*(F.count_if(F.col(f"bin_{name}") == b).alias(f"{name}_{b}") for name, b in cells)).collect()}
     for name, _, bounds in BINS:
-        got = {(r.domain, r.bin): r.n for r in table.groupBy("domain", F.col(f"bin_{name}").alias("bin")).agg(F.count("*").alias("n")).collect()}
-        model["bins"][name] = {d: [math.log((got.get((d, b), 0) + 0.5) / (total.get(d, 0) + 0.5 * (len(bounds) + 1))) for b in range(len(bounds) + 1)] for d in DOMAINS}
+        seen = {d: [got[d][f"{name}_{b}"] if d in got else 0 for b in range(len(bounds) + 1)] for d in DOMAINS}
+        model["bins"][name] = {d: [math.log((k + 0.5) / (total.get(d, 0) + 0.5 * len(v))) for k in v] for d, v in seen.items()}
     rate = lambda d, base: f"(count_if(domain = '{d}') + {base}) / {total.get(d, 0) + 1}"
-    by = table.select("domain", F.explode(F.array_distinct("words")).alias("w")).groupBy("w")
+    by = table.select("domain", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''").groupBy("w")
     rows = by.agg(F.count("*").alias("n"), *(F.expr(f"ln({rate(d, '0.5 * count(*) / ' + str(everyone + 1))})").alias(d) for d in DOMAINS), *(F.expr(f"abs(count_if(domain = '{d}') - count(*) * {total.get(d, 0) / max(1, everyone)}) / sqrt(count(*) * {max(1e-6, total.get(d, 0) / max(1, everyone) * (1 - total.get(d, 0) / max(1, everyone)))})").alias(f"z_{d}") for d in DOMAINS))
     z = F.greatest(*(F.col(f"z_{d}") for d in DOMAINS))
     for r in rows.where((F.col("n") >= 5) & (z > 5)).orderBy(z.desc(), "w").limit(WORDS).collect():
         mean = sum(r[d] for d in DOMAINS) / len(DOMAINS)
         model["words"][r.w] = {d: r[d] - mean for d in DOMAINS}
     # a text without any word that speaks for a domain says something too
-    model["some"] = {}
-    for speaks, words in _speaking(model["words"]).items():
-        has = table.withColumn("some", F.arrays_overlap("words", F.array(*map(F.lit, words)))).where("some").groupBy("domain").agg(F.count("*").alias("n"))
-        got = {r.domain: r.n for r in has.collect()}
-        model["some"][speaks] = {d: (got.get(d, 0) + 0.5) / (total.get(d, 0) + 1) for d in DOMAINS}
+    by_domain = _speaking(model["words"])
+    has = {s: F.count_if(F.arrays_overlap("words", F.array(*map(F.lit, words)))).alias(s) for s, words in by_domain.items()}
+    got = {r.domain: r for r in table.groupBy("domain").agg(F.count("*").alias("n"), *has.values()).collect()}
+    model["some"] = {s: {d: ((got[d][s] if d in got else 0) + 0.5) / (total.get(d, 0) + 1) for d in DOMAINS} for s in has}
     return model
 
 
@@ -90,9 +92,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     df = _described(docs.select("doc_id", "text"))
     words, by = model["words"], _speaking(model["words"])
     if words:
-        spots = {r.b for r in docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).collect()}
-        flags = F.lit([k in spots for k in range(BUCKETS)])
-        df = df.withColumn("hits", F.array_distinct(F.filter("words", lambda w: F.element_at(flags, (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")))))
+        df = df.withColumn("hits", F.array_intersect("words", F.array(*map(F.lit, words))))
     for d in DOMAINS:
         score = F.lit(model["prior"][d])
         for name, logs in model["bins"].items():

@@ -3,6 +3,7 @@
 A suffix counts by its first LENGTH bytes (a window).  Sorting all suffixes would
 move every byte LENGTH times, so only those that can be repeated are sorted:
 
+0. Texts that equal an earlier text lose all and are set aside by digest.
 1. Anchors.  In every window the position whose K bytes have the least hash is
    its anchor; equal windows have the same anchor, and neighbouring windows share
    theirs, so there is about one anchor in (LENGTH - K) / 2 bytes.
@@ -267,7 +268,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.coalesce(doc, F.lit(0)) if plain else F.xxhash64(id_col, text)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
     base = docs.select(key.alias("key"), doc.alias("doc"), text.alias("text"), rest.alias("rest"))
-    held = base.repartition(n, "key")
+    # whole copies of an earlier text lose every window; the sort needn't see them
+    digest = base.select("key", "doc", F.md5("text").alias("m"))
+    first = digest.groupBy("m").agg(F.min(F.struct("doc", "key")).alias("f"), F.count("*").alias("n")).where("n > 1").select("m", "f")
+    copies = digest.join(first, "m").where("not (doc <=> f.doc and key <=> f.key)").select("key", F.lit(True).alias("copy")).distinct()
+    held = base.repartition(n, "key").join(copies.hint("shuffle_hash"), "key", "left")
+    rest_of = held.where("copy is null")
 
     def find(batches):
         for b in batches:
@@ -289,7 +295,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = base.where(F.pmod(F.xxhash64("key"), F.lit(max(1, ids.n // SAMPLE))) == 0).mapInArrow(leads, "lead long")
     cuts = some.agg(F.percentile_approx("lead", [k / n for k in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
     splitters = np.array(sorted(set(cuts)), np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    found = held.mapInArrow(find, "h long, key long, no int").repartition(n, "h")
+    found = rest_of.mapInArrow(find, "h long, key long, no int").repartition(n, "h")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     flagged = counted.groupBy("key").agg(F.collect_list(F.struct("no", F.least("n", F.lit(HUGE + 1)).cast("int").alias("n"))).alias("flagged"))
 
@@ -312,7 +318,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "lead", "off", "part", "doc", "key", "start"])
 
     # the same columns as everywhere else, so that one exchange of the documents serves all
-    near = held.join(flagged.hint("shuffle_hash"), "key").select("key", "doc", "text", F.hash("rest").alias("rest_"), "flagged")
+    near = rest_of.join(flagged.hint("shuffle_hash"), "key").select("key", "doc", "text", F.hash("rest").alias("rest_"), "flagged")
     sent = near.mapInArrow(bring, "bucket int, lead long, off int, part binary, doc long, key long, start int")
     sorted_ = sent.repartitionById(n, "bucket").sortWithinPartitions("lead")
 
@@ -340,7 +346,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     gone = sorted_.mapInArrow(settle, "key long, a int, z int")
     windows = gone.groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("windows"))
-    return held.join(windows.hint("shuffle_hash"), "key", "left")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("text") - LENGTH).alias("z")))
+    none = F.lit(None).cast("array<struct<a:int,z:int>>")
+    told = F.when(F.col("copy").isNull(), F.col("windows")).otherwise(F.when(F.octet_length("text") >= LENGTH, whole).otherwise(none))
+    return held.join(windows.hint("shuffle_hash"), "key", "left").select("key", "doc", "text", "rest", told.alias("windows"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
