@@ -2,9 +2,12 @@
 
 Every rule votes good (1), bad (-1) or abstains (0).  The votes of all documents
 are counted by vote pattern (at most 3^rules rows, whatever the input), and
-expectation-maximisation over those counts estimates the share of good documents
-and, per rule, how often its vote is right on good and on bad documents.  The
-posterior probability of being good decides, in place of all-must-pass filters.
+expectation-maximisation over those counts estimates, for good documents and for
+one kind of bad ones a rule, their share and how often each rule votes either way
+on them; a rule's accuracy follows from these.  Kinds are needed because faults
+exclude each other: to one class of all bad documents a fault that comes alone
+looks like noise.  Abstaining is evidence too.  The posterior probability of
+being good decides, in place of all-must-pass filters.
 """
 
 from __future__ import annotations
@@ -19,19 +22,23 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: (rule, SQL for a bad vote, SQL for a good vote); a rule with neither abstains.
 RULES = (
-    ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    ("shouting", "n_upper > 0.5 * word_chars", "n_upper <= 0.2 * word_chars"),
-    ("exclaiming", "n_exclaim > 0.3 * n_words", "n_exclaim <= 0.05 * n_words"),
+    ("symbols", "n_symbols > 0.1 * n_words", "false"),
+    ("shouting", "n_upper > 0.5 * word_chars", "false"),
+    ("exclaiming", "n_exclaim > 0.3 * n_words", "false"),
     ("word_length", "word_chars > 12 * n_words or word_chars < 2.5 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
-    ("repeated_lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0"),
-    ("repeated_words", "n_repeat_words > 0.1 * n_words", "n_repeat_words <= 0.02 * n_words"),
-    ("variety", "n_distinct < 0.05 * n_words", "n_distinct >= 0.3 * n_words"),
+    ("repeated_lines", "n_dup_lines > 0.3 * n_lines", "false"),
+    ("repeated_words", "n_repeat_words > 0.3 * n_words", "false"),
+    ("variety", "n_distinct < 0.05 * n_words", "false"),
     ("sentences", "n_words >= 40 and n_stops * 100 < n_words", "n_stops * 60 >= n_words"),
 )
 ROUNDS = 15
-#: Pseudo-counts as a share of all documents: what a rule's rates start from and are drawn to.
+#: Pseudo-counts as a share of all documents: what the rates start from and are drawn to.
 PRIOR = 0.02
-START_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.85, 0.95, 0.5
+START_GOOD = 0.85
+#: Start rates of bad and good votes: on good documents, of a kind's own rule on that kind, of other rules on it.
+START = {"good": (0.002, 0.7), "own": (0.9, 0.05), "other": (0.05, 0.6)}
+#: good, and a kind of bad documents for each rule.
+CLASSES = ("good", *(name for name, _, _ in RULES))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_distinct", "n_stops")
 
 
@@ -72,27 +79,66 @@ def votes(table: DataFrame) -> DataFrame:
     return table.withColumns({f"v_{name}": F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for name, bad, good in RULES})
 
 
-def start(total: float = 0.0) -> dict:
-    return {"good": START_GOOD, **{f"{side}_{name}": value for name, _, _ in RULES for side, value in (("g", RIGHT_ON_GOOD), ("b", RIGHT_ON_BAD))}}
+def two_sided(name: str) -> bool:
+    return next(good for n, _, good in RULES if n == name) != "false"
 
 
-def posterior_sql(theta: dict) -> str:
-    """P(good | votes) under theta, whose values are numbers or SQL."""
-    odds = [f"ln({theta['good']} / (1 - {theta['good']}))"]
+def two_sided(name: str) -> bool:
+    return next(good for n, _, good in RULES if n == name) != "false"
+
+
+def start() -> dict:
+    """Shares s_<class>, and rates n_<class>_<rule> of bad votes and p_<class>_<rule> of good ones."""
+    out = {}
+    for c in CLASSES:
+        out[f"s_{c}"] = START_GOOD if c == "good" else (1 - START_GOOD) / len(RULES)
+        for name, _, _ in RULES:
+            n, p = START["good" if c == "good" else "own" if c == name else "other"]
+            out[f"n_{c}_{name}"] = n
+            if two_sided(name):
+                out[f"p_{c}_{name}"] = p
+    return out
+
+
+def weight_sql(theta: dict, c: str) -> str:
+    """P(class and votes) under theta, whose values are numbers or SQL."""
+    logs = [f"ln({theta[f's_{c}']})"]
     for name, _, _ in RULES:
-        g, b = theta[f"g_{name}"], theta[f"b_{name}"]
-        odds.append(f"case v_{name} when 1 then ln({g} / (1 - {b})) when -1 then ln((1 - {g}) / {b}) else 0 end")
-    return f"1 / (1 + exp(-({' + '.join(odds)})))"
+        n, p = theta[f"n_{c}_{name}"], theta.get(f"p_{c}_{name}")
+        said = f"when 1 then ln({p}) " if p is not None else ""
+        silent = f"1 - {n} - {p}" if p is not None else f"1 - {n}"
+        logs.append(f"case v_{name} {said}when -1 then ln({n}) else ln(greatest({silent}, 0.0001)) end")
+    return f"exp({' + '.join(logs)})"
 
 
-def step_sql(post: str) -> dict[str, str]:
-    """The next theta's expressions, as aggregates over patterns with a count n; post is P(good) of a pattern."""
+def posterior_sql(theta: dict) -> str:
+    """P(good | votes)."""
+    good = weight_sql(theta, "good")
+    return f"{good} / ({good} + {' + '.join(weight_sql(theta, c) for c in CLASSES[1:])})"
+
+
+def step_sql() -> dict[str, str]:
+    """The next theta's expressions, as aggregates over patterns with a count n and class weights w_<class>."""
     clip = lambda x: f"least(0.9999, greatest(0.0001, {x}))"
-    prior = f"({PRIOR} * sum(n))"
-    out = {"good": clip(f"(sum(n * {post}) + {prior} * {START_GOOD}) / (sum(n) + {prior})")}
+    first, total = start(), " + ".join(f"w_{c}" for c in CLASSES)
+    out = {}
+    for c in CLASSES:
+        mine, prior = f"n * w_{c} / ({total})", f"{PRIOR * first[f's_{c}']} * sum(n)"
+        out[f"s_{c}"] = clip(f"(sum({mine}) + {prior}) / ({1 + PRIOR} * sum(n))")
+        for name, _, _ in RULES:
+            for k, vote in (("n", -1), ("p", 1)):
+                if f"{k}_{c}_{name}" in first:
+                    out[f"{k}_{c}_{name}"] = clip(f"(sum(case when v_{name} = {vote} then {mine} else 0 end) + {prior} * {first[f'{k}_{c}_{name}']}) / (sum({mine}) + {prior})")
+    return out
+
+
+def accuracies(theta: dict) -> dict[str, float]:
+    """How often each rule's vote is right, where it votes."""
+    out = {}
     for name, _, _ in RULES:
-        out[f"g_{name}"] = clip(f"(sum(case when v_{name} = 1 then n * {post} else 0 end) + {prior} * {RIGHT_ON_GOOD}) / (sum(case when v_{name} <> 0 then n * {post} else 0 end) + {prior})")
-        out[f"b_{name}"] = clip(f"(sum(case when v_{name} = -1 then n * (1 - {post}) else 0 end) + {prior} * {RIGHT_ON_BAD}) / (sum(case when v_{name} <> 0 then n * (1 - {post}) else 0 end) + {prior})")
+        bad = {k: sum(theta[f"s_{c}"] * theta.get(f"{k}_{c}_{name}", 0) for c in CLASSES[1:]) for k in "np"}
+        good = {k: theta["s_good"] * theta.get(f"{k}_good_{name}", 0) for k in "np"}
+        out[name] = (good["p"] + bad["n"]) / (sum(good.values()) + sum(bad.values()))
     return out
 
 
@@ -102,8 +148,8 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> dict:
     patterns = written(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
     theta = start()
     for _ in range(rounds):
-        row = patterns.withColumn("post", F.expr(posterior_sql(theta))).agg(*(F.expr(x).alias(k) for k, x in step_sql("post").items())).first()
-        if row["good"] is None:
+        row = patterns.withColumns({f"w_{c}": F.expr(weight_sql(theta, c)) for c in CLASSES}).agg(*(F.expr(x).alias(k) for k, x in step_sql().items())).first()
+        if row["s_good"] is None:
             break
         theta = row.asDict()
     return theta
@@ -139,8 +185,8 @@ def op4_sql() -> str:
     chain, last = [f"th0 as (select {', '.join(f'{v}::double as {k}' for k, v in start().items())})"], "th0"
     for k in range(1, ROUNDS + 1):
         theta = {x: f"th{k - 1}.{x}" for x in start()}
-        inner = f"select p.*, {posterior_sql(theta)} as post from patterns p cross join th{k - 1}"
-        chain.append(f"th{k} as materialized (select {', '.join(f'{x} as {c}' for c, x in step_sql('post').items())} from ({inner}))")
+        inner = f"select p.*, {', '.join(f'{weight_sql(theta, c)} as w_{c}' for c in CLASSES)} from patterns p cross join th{k - 1}"
+        chain.append(f"th{k} as materialized (select {', '.join(f'{x} as {c}' for c, x in step_sql().items())} from ({inner}))")
         last = f"th{k}"
     theta = {x: f"{last}.{x}" for x in start()}
     return f"""

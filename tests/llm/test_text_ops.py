@@ -195,15 +195,23 @@ def test_quality_features_and_verdicts(spark, corpus):
 
 
 def test_em_finds_accuracies(spark):
+    """Good documents, and two kinds of bad ones with a fault each that the other never has."""
     rng = random.Random(4)
     rows = []
-    for _ in range(3000):
-        good = rng.random() < 0.8
-        rows.append(tuple(0 if rng.random() < 0.3 else (1 if good else -1) if rng.random() < 0.9 else (-1 if good else 1) for _ in quality.RULES))
-    voted = spark.createDataFrame(rows, ", ".join(f"v_{n} int" for n, _, _ in quality.RULES))
-    theta = quality.fit(voted)
-    assert theta["good"] == pytest.approx(0.8, abs=0.04)
-    assert all(theta[f"g_{n}"] == pytest.approx(0.9, abs=0.04) and theta[f"b_{n}"] == pytest.approx(0.9, abs=0.08) for n, _, _ in quality.RULES)
+    for _ in range(4000):
+        kind = rng.choices(["good", "symbols", "shouting"], [0.8, 0.12, 0.08])[0]
+        votes = []
+        for name, _, _ in quality.RULES:
+            if quality.two_sided(name):
+                votes.append(1 if rng.random() < 0.8 else 0)
+            else:
+                votes.append(-1 if rng.random() < (0.95 if name == kind else 0.01) else 0)
+        rows.append(tuple(votes))
+    theta = quality.fit(spark.createDataFrame(rows, ", ".join(f"v_{n} int" for n, _, _ in quality.RULES)))
+    assert theta["s_good"] == pytest.approx(0.8, abs=0.05) and theta["s_symbols"] == pytest.approx(0.12, abs=0.03) and theta["s_shouting"] == pytest.approx(0.08, abs=0.03)
+    assert theta["n_symbols_symbols"] > 0.85 and theta["n_good_symbols"] < 0.05
+    right = quality.accuracies(theta)
+    assert right["symbols"] > 0.85 and right["shouting"] > 0.8
 
 
 # --- op 5 -----------------------------------------------------------------------
