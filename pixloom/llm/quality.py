@@ -142,16 +142,50 @@ def accuracies(theta: dict) -> dict[str, float]:
     return out
 
 
+def _sql(values) -> str:
+    """A literal of nested lists of numbers."""
+    return f"array({', '.join(map(_sql, values))})" if isinstance(values, list) else f"{float(values)!r}D"
+
+
+def rounds_sql(rounds: int) -> str:
+    """All rounds as one expression over pats, an array of (n, v: votes by rule), and total, the sum of n.
+
+    The state is (s, n, p) by class and rule; p is 0 for rules that vote bad only.
+    transform(array(x), y -> ...)[0] names x.
+    """
+    t, names = start(), [name for name, _, _ in RULES]
+    s0 = [t[f"s_{c}"] for c in CLASSES]
+    n0, p0 = ([[t.get(f"{k}_{c}_{j}", 0.0) for j in names] for c in CLASSES] for k in "np")
+    classes, rules = f"sequence(0, {len(CLASSES) - 1})", f"sequence(0, {len(names) - 1})"
+    clip = lambda x: f"least(0.9999D, greatest(0.0001D, {x}))"
+    vote = "ln(case e.v[j] when -1 then th.n[c][j] when 1 then th.p[c][j] else greatest(1 - th.n[c][j] - th.p[c][j], 0.0001D) end)"
+    raw = f"transform({classes}, c -> exp(ln(th.s[c]) + aggregate({rules}, 0D, (a, j) -> a + {vote})))"
+    mine = f"transform(pats, e -> transform(array({raw}), r -> transform(r, w -> e.n * w / aggregate(r, 0D, (a, x) -> a + x)))[0])"
+    sums = f"transform({classes}, c -> aggregate(m, 0D, (a, r) -> a + r[c]))"
+    seen = lambda value: f"aggregate(sequence(0, size(pats) - 1), 0D, (a, i) -> a + if(pats[i].v[j] = {value}, m[i][c], 0D))"
+    prior = f"({PRIOR}D * {_sql(s0)}[c] * total)"
+    rate = lambda value, base: clip(f"({seen(value)} + {prior} * {_sql(base)}[c][j]) / (u[c] + {prior})")
+    two = "array(" + ", ".join("true" if two_sided(j) else "false" for j in names) + ")"
+    new = (
+        f"named_struct('s', transform({classes}, c -> {clip(f'(u[c] + {prior}) / ({1 + PRIOR}D * total)')}), 'n', transform({classes}, c -> transform({rules}, j -> {rate(-1, n0)})), "
+        f"'p', transform({classes}, c -> transform({rules}, j -> if({two}[j], {rate(1, p0)}, 0D))))"
+    )
+    step = f"transform(array({mine}), m -> transform(array({sums}), u -> {new})[0])[0]"
+    return f"aggregate(sequence(1, {rounds}), named_struct('s', {_sql(s0)}, 'n', {_sql(n0)}, 'p', {_sql(p0)}), (th, k) -> {step})"
+
+
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> dict:
     """theta after rounds of expectation-maximisation over the counts of vote patterns; start() for an empty table."""
-    names = [f"v_{name}" for name, _, _ in RULES]
-    patterns = written(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
+    names = [name for name, _, _ in RULES]
+    patterns = voted.groupBy(*(f"v_{j}" for j in names)).agg(F.count("*").cast("double").alias("n"))
+    votes_ = F.array(*(F.col(f"v_{j}") for j in names))
+    one = patterns.agg(F.sort_array(F.collect_list(F.struct("n", votes_.alias("v")))).alias("pats"), F.sum("n").alias("total"))  # 3^rules elements at most
+    row = one.where("total > 0").select(F.expr(rounds_sql(rounds)).alias("th")).first()
     theta = start()
-    for _ in range(rounds):
-        row = patterns.withColumns({f"w_{c}": F.expr(weight_sql(theta, c)) for c in CLASSES}).agg(*(F.expr(x).alias(k) for k, x in step_sql().items())).first()
-        if row["s_good"] is None:
-            break
-        theta = row.asDict()
+    if row is not None:
+        for c, share, bad, good in zip(CLASSES, row.th.s, row.th.n, row.th.p, strict=True):
+            theta[f"s_{c}"] = share
+            theta |= {f"n_{c}_{j}": v for j, v in zip(names, bad, strict=True)} | {f"p_{c}_{j}": v for j, v in zip(names, good, strict=True) if two_sided(j)}
     return theta
 
 
