@@ -318,7 +318,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "lead", "off", "part", "doc", "key", "start"])
 
     # the same columns as everywhere else, so that one exchange of the documents serves all
-    near = rest_of.join(flagged.hint("shuffle_hash"), "key").select("key", "doc", "text", F.hash("rest").alias("rest_"), "flagged")
+    near = rest_of.join(flagged.hint("shuffle_hash"), "key").select("key", "doc", "text", F.hash("rest").alias("rest_"), "flagged").sortWithinPartitions("doc", "key")  # in order, so that a repeated task sends the same rows
     sent = near.mapInArrow(bring, "bucket int, lead long, off int, part binary, doc long, key long, start int")
     sorted_ = sent.repartitionById(n, "bucket").sortWithinPartitions("lead")
 
