@@ -26,10 +26,10 @@ RULES = (
     ("shouting", "n_upper > 0.5 * word_chars", "false"),
     ("exclaiming", "n_exclaim > 0.3 * n_words", "false"),
     ("word_length", "word_chars > 12 * n_words or word_chars < 2.5 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
-    ("repeated_lines", "n_dup_lines > 0.3 * n_lines", "false"),
+    ("repeated_lines", "n_dup_lines > 0.5 * n_lines", "false"),
     ("repeated_words", "n_repeat_words > 0.3 * n_words", "false"),
     ("variety", "n_distinct < 0.05 * n_words", "false"),
-    ("sentences", "n_words >= 40 and n_stops * 100 < n_words", "n_stops * 60 >= n_words"),
+    ("sentences", "n_words >= 200 and n_stops * 400 < n_words", "n_stops * 60 >= n_words"),
 )
 ROUNDS = 15
 #: Pseudo-counts as a share of all documents: what the rates start from and are drawn to.
