@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: bytes.translate table: A-Z become a-z, and \x09-\x0D become a space.
 LOWER_AND_SPACE = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -41,6 +42,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_RECORDS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row: struct of doc_id and the text's digest, text): ids may be null or repeat."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text")
+
+
+def rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id, null or not, and text digest rows (doc_id, digest) has."""
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    return docs.join(rows, same, "left_semi").select(docs.columns)
+
+
+def one_of(docs: DataFrame, rows: DataFrame, every: DataFrame) -> DataFrame:
+    """rows_of(docs, rows), each once; every has (doc_id, digest) of all rows of docs."""
+    again = every.groupBy("doc_id", "digest").count().where("count > 1")
+    kept = rows_of(docs, rows)
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # texts move for it only where rows repeat
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,0 +1,192 @@
+"""Near copies by the exact Jaccard similarity of five-word shingles.
+
+Equal sets of shingles collapse first.  Two sets of n and m shingles that are
+similar enough share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1
+in any order that all sets follow, so sets without a common shingle there are no
+candidates and no link is lost.  The order puts shingles that a sample of texts
+finds common last; the sample decides the work, never the result.  Candidates
+are tested on their whole sets, in two passes: a star and a chain over the sets
+of each shared shingle, then all pairs that the first pass left unconnected, so
+that a large group of near copies isn't compared pair by pair.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER_AND_SPACE, keyed, one_of, small_batches, written
+from .components import components
+
+#: Words of a shingle, and the least similarity of near copies as a fraction.
+WORDS, OVER, UNDER = 5, 4, 5
+#: Texts of the sample (expected), least texts of it that hold a common shingle, most common shingles.
+SAMPLED, SEEN, COMMON = 10000, 3, 1 << 17
+LONGS = pa.list_(pa.int64())
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles of lower-cased words; a text of fewer words is one shingle."""
+    found = (text or b"").translate(LOWER_AND_SPACE).split()
+    if not found:
+        return np.zeros(0, np.int64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(joined)], np.uint64).view(np.int64)
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    end = np.cumsum(size + 1) - 1
+    start, end = (end - size)[: 1 - words or None].tolist(), end[words - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(start, end, strict=True)), np.uint64, len(start)).view(np.int64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """A set's number."""
+    return int(np.array([xxhash.xxh64_intdigest(found.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles that a similar set shares one of; common is sorted, rank says how common each is."""
+    n = len(found)
+    many = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        many = np.where(common[at] == found, rank[at] + 1, 0)
+    return found[np.lexsort((found, many))][: n - -(-OVER * n // UNDER) + 1]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def _mapped(docs: DataFrame, text_col: str, row, form: str, types: list) -> DataFrame:
+    """A row of form for each text: row(text bytes or None)."""
+    names = [c.split()[0] for c in form.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [row(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return docs.select(text_col).mapInArrow(run, form)
+
+
+def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of a sample, sorted, and how common each is."""
+    share = min(1.0, SAMPLED / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text_col).distinct()
+    seen = _mapped(some, text_col, lambda t: (shingles(t).tolist(),), "s array<bigint>", [LONGS]).select(F.explode("s").alias("s"))
+    rows = seen.groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    rows.sort(key=lambda r: r.s)
+    return np.array([r.s for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+
+
+def first_pairs(nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star and a chain over sets that share a shingle, but for pairs whose sizes differ too much."""
+    order = np.lexsort((nodes, sizes))
+    nodes, sizes = nodes[order], sizes[order]
+    n = len(nodes)
+    i, j = np.concatenate([np.arange(n - 1), np.full(n, n // 2)]), np.concatenate([np.arange(1, n), np.arange(n)])
+    ok = (i != j) & (UNDER * np.minimum(sizes[i], sizes[j]) >= OVER * np.maximum(sizes[i], sizes[j]))
+    return nodes[i[ok]], nodes[j[ok]]
+
+
+def other_pairs(nodes: np.ndarray, sizes: np.ndarray, group: np.ndarray):
+    """Parts of all pairs of different groups, but for pairs whose sizes differ too much."""
+    _, group, count = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.lexsort((nodes, count[group] == count.max()))  # what belongs to the largest groups meets the others only
+    nodes, sizes, group = nodes[order], sizes[order], group[order]
+    for k in range(len(nodes) - 1):
+        if len(count) == 1:
+            return
+        rest = slice(k + 1, None)
+        ok = (group[rest] != group[k]) & (UNDER * np.minimum(sizes[rest], sizes[k]) >= OVER * np.maximum(sizes[rest], sizes[k]))
+        if ok.any():
+            yield np.full(int(ok.sum()), nodes[k]), nodes[rest][ok]
+        elif group[k] == group[-1] and (group[rest] == group[k]).all():
+            return
+
+
+def _pairs(groups: DataFrame, make) -> DataFrame:
+    """(a, b), a < b, each once, of the pairs that make gives for the lists in a row of groups."""
+
+    def run(batches):
+        for b in batches:
+            lists = [c.to_pylist() for c in b.columns]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in zip(*lists, strict=True):
+                for i, j in make(*(np.array(x, np.int64) for x in row)):
+                    left.append(np.minimum(i, j))
+                    right.append(np.maximum(i, j))
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("found").alias(f"of_{c}"))
+
+    def run(batches):
+        for b in batches:
+            x, y = (b.column(k).to_pylist() for k in (2, 3))
+            ok = [similar(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)) for p, q in zip(x, y, strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component): sets of docs that are linked to others, directly or over other sets; a set alone has no row."""
+    small_batches(docs.sparkSession)
+    common, rank = _common(docs, text_col)
+
+    def heads(text):
+        found = shingles(text)
+        return node_of(found), len(found), prefix(found, common, rank).tolist()
+
+    entries = _mapped(docs, text_col, heads, "node long, size int, s array<bigint>", [pa.int64(), pa.int32(), LONGS]).select("node", "size", F.explode("s").alias("s"))
+    shared = entries.groupBy("s").agg(F.collect_set(F.struct("node", "size")).alias("m")).where("size(m) > 1").select("s", "m.node", "m.size")
+    shared = written(shared, "shared")
+    nodes = shared.select(F.explode("node").alias("node")).distinct()
+
+    def whole(text):
+        found = shingles(text)
+        return node_of(found), found.tobytes()
+
+    sets = _mapped(docs, text_col, whole, "node long, found binary", [pa.int64(), pa.binary()])
+    sets = written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")), "sets")
+    tested = written(_pairs(shared.select("node", "size"), lambda n, s: [first_pairs(n, s)]), "tested")
+    linked = written(_linked(tested, sets), "linked")
+    many = shared.where("size(node) > 2").select("s", F.explode(F.arrays_zip("node", "size")).alias("e")).select("s", "e.node", "e.size")
+    many = many.join(components(linked), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    apart = many.groupBy("s").agg(F.collect_list(F.struct("node", "size", "c")).alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+    rest = _pairs(apart.select("m.node", "m.size", "m.c"), other_pairs).join(tested, ["a", "b"], "left_anti")
+    return components(linked.union(written(_linked(rest, sets), "linked")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest id.
+
+    Near copies have a similarity of 0.8 or more, directly or over others.  Rows
+    without an id come after those with one; of equal ids the text's digest
+    decides.  Texts without words are copies of each other.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            got = [node_of(shingles(t)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["row", "node"])
+
+    rows = written(keyed(docs).mapInArrow(run, f"row struct<doc_id:{kind},digest:bigint>, node long"), "rows")
+    of = rows.join(grouped(docs), "node", "left").select("row.doc_id", "row.digest", F.coalesce("component", "node").alias("component"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = of.groupBy("component").agg(F.min(key).alias("k")).select("k.doc_id", "k.digest")
+    return one_of(docs, written(first, "first"), rows.select("row.doc_id", "row.digest"))
