@@ -89,8 +89,8 @@ def _speaking(words: dict) -> dict[str, list[str]]:
 
 
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>) of every row."""
-    df = _described(docs.select("doc_id", "text"))
+    """(doc_id, digest of the text, n_tokens, p_<domain>) of every row."""
+    df = _described(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")))
     words, by = model["words"], _speaking(model["words"])
     if words:
         df = df.withColumn("hits", F.array_intersect("words", F.array(*map(F.lit, words))))
@@ -108,7 +108,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     top = F.greatest(*(F.col(f"s_{d}") for d in DOMAINS))
     df = df.withColumns({f"e_{d}": F.exp(F.col(f"s_{d}") - top) for d in DOMAINS})
     norm = sum((F.col(f"e_{d}") for d in DOMAINS), F.lit(0.0))
-    return df.select("doc_id", "n_tokens", *((F.col(f"e_{d}") / norm).alias(f"p_{d}") for d in DOMAINS))
+    return df.select("doc_id", "digest", "n_tokens", *((F.col(f"e_{d}") / norm).alias(f"p_{d}") for d in DOMAINS))
 
 
 def rates(table: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -136,23 +136,26 @@ def rates(table: DataFrame, targets: dict[str, float] | None = None, rounds: int
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>, rate, copies) of every row of docs.
+    """(doc_id, digest, n_tokens, p_<domain>, rate, copies) of every row of docs.
 
     copies is the whole part of rate, and one more with its fraction as
-    probability, drawn by a hash of the id, so that a rerun gives the same.
+    probability, drawn by a hash of the id (of the text, for
+    rows without one), so that a rerun gives the same.
     Null and empty texts have no tokens; labels may be empty (posteriors are then
     the priors) and may repeat a document (its worst label counts).
     """
     table = written(posteriors(docs, fit(docs, labels)), "posteriors")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", F.lit("copies"))).otherwise(F.xxhash64("doc_id", F.lit("copies")))
+    draw = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     return rates(table, targets).withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
 
 
 def remix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with each row as often as its copies say (not at all for 0)."""
-    copies = mixed(docs, labels, targets).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    copies = mixed(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("copies").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    return docs.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

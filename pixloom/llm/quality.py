@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, keyed, rows_of, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -201,9 +201,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept."""
-    good = judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs that are kept, each by its own text, with an id or without."""
+    return rows_of(docs, judged(keyed(docs), "row").where("kept").select("row.doc_id", "row.digest").distinct())
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AND_SPACE, partitions, small_batches, written
+from .common import LOWER_AND_SPACE, keyed, one_of, partitions, small_batches, written
 from .components import components
 
 #: Fingerprints of one tile; two tiles and their links are what a task holds.
@@ -146,6 +146,14 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.repartition(partitions(spark), "a", "b").groupBy("a", "b").applyInArrow(compare, "a long, b long")
 
 
+def with_components(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """prints (id, fingerprint, more) with component_id."""
+    distinct = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "distinct")
+    found = components(written(links(distinct, radius), "links"))
+    of = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(of, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint long, component_id) of every row of docs.
 
@@ -156,18 +164,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null.  Repeated rows are kept, each with its component.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "distinct")
-    found = components(written(links(distinct, radius), "links"))
-    of = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
+    return with_components(prints, id_col, radius).select(id_col, "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, **more) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows with an equal id and text, one."""
-    firsts = near_duplicates(docs, **more).where("doc_id <=> component_id").select("doc_id").distinct()
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("u")).first()
-    docs = docs if ids.n == ids.u else docs.dropDuplicates(["doc_id", "text"])  # texts move for it only where ids repeat
-    return docs.join(firsts, "doc_id", "left_semi").select(docs.columns)
+def keep_first(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component: the one with its smallest id (of equal ids, the least digest of the text).
+
+    Rows without an id stay where no row with one has their fingerprint, one a fingerprint.
+    """
+    prints = written(fingerprints(keyed(docs), "row", "text", words), "prints").select("row.doc_id", "row.digest", "fingerprint")
+    mine = with_components(prints, "doc_id", radius).where("doc_id <=> component_id")
+    firsts = mine.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint"))).agg(F.min("digest").alias("digest"))
+    firsts = written(firsts.select("doc_id", "digest"), "firsts")
+    return one_of(docs, firsts, prints)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

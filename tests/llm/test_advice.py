@@ -5,7 +5,10 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from pixloom.llm import near_copies
+from pyspark.sql import functions as F
+
+from pixloom.llm import mixing, near_copies, quality, simhash
+from pixloom.llm.common import documents
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
 CLEAN = "The council met on Monday and agreed, after a long debate, that the old bridge over the river should be repaired before winter. Work starts next week."
@@ -71,3 +74,21 @@ def test_other_pairs_are_all_pairs_of_different_groups():
         got = {(min(a, b), max(a, b)) for i, j in near_copies.other_pairs(nodes, sizes, group) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
         want = {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i in range(n) for j in range(i) if group[i] != group[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])}
         assert got == want
+
+
+def test_documents_without_an_id_survive_each_stage(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = documents(spark, sf)
+    junk = "### $$$ *** " * 60
+    more = table(spark, [(None, CLEAN), (None, junk), (777777, CLEAN.replace("council", "committee").replace("river", "railway").replace("winter", "spring")), (777777, junk)])
+    docs = docs.unionByName(more.select(docs.columns))
+    found = lambda df, text: df.where((F.col("doc_id").isNull() | (F.col("doc_id") == 777777)) & (F.col("text") == text)).count()
+    good = quality.keep_good(docs).cache()
+    assert found(good, CLEAN) == 1 and found(good, junk) == 0 and good.where("doc_id = 777777").count() == 1
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.suffix_dedup):
+        assert found(stage(spark, good, sf), CLEAN) == 1, stage
+    assert found(simhash.keep_first(good), CLEAN) == 1
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    copies = mixing.mixed(good, labels).where("doc_id is null").first().copies
+    assert copies >= 1 and found(mixing.remix(good, labels), CLEAN) == copies
+    assert corpus_pipeline.encode(spark, good, sf).where("doc_id is null").count() == 1
