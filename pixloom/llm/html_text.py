@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Fixed values of HTML: elements that begin and end a block, and elements whose content is no text.
+#: Fixed values of HTML: elements that begin and end a block, and elements whose content is no text: raw text, or elements in turn.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "option", "button", "iframe", "object", "svg", "math", "title", "canvas", "audio", "video")
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("noscript template select datalist button iframe object svg canvas audio video".split())
 #: Elements, and words of class, id and role values, of a page's frame; and of the article.
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog head".split())
 FRAME_WORDS = frozenset(
@@ -35,7 +36,8 @@ BODY_WORDS = frozenset("article content post entry story main body text".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*)(?:>|\Z)",  # quotes count after = only
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -150,6 +152,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in frame, in article, heading) of the page's text blocks, in order."""
     out, parts, at = [], [], 0
     stack: list[tuple[str, bool, bool]] = []  # open block elements
+    hidden: list[str] = []  # open elements from a hidden one inwards
     linked, href, heading = 0, False, False
 
     def put(text: str) -> None:
@@ -178,17 +181,38 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
             continue
         m = TOKEN.search(html, at)
         if not m:
-            put(html[at:])
+            if not hidden:
+                put(html[at:])
             break
-        put(html[at : m.start()])
+        if not hidden:
+            put(html[at : m.start()])
         at, name = m.end(), (m["name"] or "").lower()
         if not name:
             continue
+        if hidden:
+            if name in RAW:
+                raw = None if m["end"] else name
+                continue
+            if not m["end"]:
+                if name == hidden[0] and name in ("button", "select"):  # these never nest: a button ends the one before, select ends itself
+                    hidden = [name] if name == "button" else []
+                elif name not in VOID and not m["rest"].endswith("/"):
+                    hidden.append(name)
+                continue
+            if name in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                continue
+            if all(s[0] != name for s in stack):
+                continue
+            hidden = []  # its parent's end
         if name == "br":
             parts.append(" ")
         elif name in RAW:
             if not m["end"] and not m["rest"].endswith("/"):
                 raw = name
+        elif name in HIDDEN:
+            if not m["end"] and not m["rest"].endswith("/"):
+                hidden = [name]
         elif name == "a":
             href = not m["end"]
         elif name in BLOCKS or (not m["end"] and name not in VOID and "=" in m["rest"] and _mark(name, m["rest"])[0]):

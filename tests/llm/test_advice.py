@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from pixloom.llm import mixing, near_copies, quality, simhash
+from pixloom.llm import html_text, mixing, near_copies, quality, simhash
 from pixloom.llm.common import documents
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
@@ -92,3 +92,17 @@ def test_documents_without_an_id_survive_each_stage(spark):
     copies = mixing.mixed(good, labels).where("doc_id is null").first().copies
     assert copies >= 1 and found(mixing.remix(good, labels), CLEAN) == copies
     assert corpus_pipeline.encode(spark, good, sf).where("doc_id is null").count() == 1
+
+
+def test_html_pages_are_not_cut_to_a_prefix():
+    first, last = "The first paragraph has quite a few words in it.", "The last paragraph has quite a few words as well."
+    page = lambda odd, between="": f"<body><header><form>{odd}</form></header><article><p>{first}</p>{between}<p>{last}</p></article></body>"
+    want = f"{first}\n\n{last}"
+    for odd in ("<datalist id=x><option value=a>A<option value=b>B</datalist>", "<select><option>A<option>B</select>", "<button>Go", "<svg><path d='M0'>", "<button>Go<button>Stop</button>", "<noscript><div><p>No</div>", "<option>A"):
+        assert html_text.main_text(page(odd)) == want, odd
+    for between in ("<div><video src=x></div>", "<div><object><object></object>hidden</object></div>", "<div><iframe src=x></div>", "<div><button><div>a</div>b</div>", "<script>'</article>'</script>", "<img alt=John's>", '<img title="5" tall">', '<img alt=a="b>', "<img alt = 'a > b'>", '<img alt="a > b">', "<template><style>'</template>'</style>x</template>"):
+        assert html_text.main_text(page("", between)) == want, between
+    for text in ("<p title=John's>", '<p title="5" tall">'):
+        assert html_text.main_text(f"<article>{text}{first}</p><p title='x' class=\"y\">{last}</p></article>") == want, text
+    formula = "<p>The area is <math><mi>r</mi><mo>\u00b7</mo><mi>s</mi></math> for these two sides.</p>"
+    assert html_text.main_text(page("", formula)) == f"{first}\n\nThe area is r\u00b7s for these two sides.\n\n{last}"
