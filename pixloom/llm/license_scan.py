@@ -9,6 +9,7 @@ the template's coverage and its span in the text.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -137,8 +138,25 @@ class Scanner:
             found.append((len(words) - length, length, state))
         return base, found
 
+    def chains(self, places: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(words matched, first word, word after the last, template position after it) of the best chain that ends with each match, matches sorted."""
+        out, live = [], []
+        for s, t, n in places:
+            grown = (n, s, s + n, t + n)
+            for matched, first, last, at in live[-64:]:
+                over = max(0, last - s, at - t)  # a match may start inside the one before
+                if over < n and s + over - last <= GAP and t + over - at <= GAP and (matched + n - over, first) > grown[:2]:
+                    grown = (matched + n - over, first, s + n, t + n)
+            live.append(grown)
+            out.append(grown)
+        return out
+
     def spans(self, found: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """(template, coverage, first word, word after the last) of the best chain of every template with matches."""
+        """(template, coverage, first word, word after the last) of the chains of every template with matches.
+
+        These are all chains that reach COVERAGE and don't overlap, the fullest
+        first; where a template has none, its best chain.
+        """
         by: dict[int, set[tuple[int, int, int]]] = {}
         for start, length, state in found:
             for k, end in self.auto.ends[state]:
@@ -146,17 +164,42 @@ class Scanner:
                     by.setdefault(k, set()).add((start, end - length, length))
         out = []
         for k, places in by.items():
-            best, chains = None, []  # a chain: words matched, first, word after the last, template position after it
-            for s, t, n in sorted(places):
-                grown = (n, s, s + n, t + n)
-                for matched, first, last, at in chains[-64:]:
-                    over = max(0, last - s, at - t)  # a match may start inside the one before
-                    if over < n and s + over - last <= GAP and t + over - at <= GAP and matched + n - over > grown[0]:
-                        grown = (matched + n - over, first, s + n, t + n)
-                chains.append(grown)
-                best = grown if best is None or grown[0] > best[0] else best
-            out.append((k, min(1.0, best[0] / self.size[k]), best[1], best[2]))
-        return sorted(out)
+            taken: list[tuple[int, int]] = []  # first words and words after the last, sorted
+            share = lambda c: min(1.0, c[0] / self.size[k])  # noqa: B023, E731
+            while places:
+                free: dict[int, list] = {}  # matches by the gap between chains that holds them: no chain reaches over another
+                for p in sorted(places):
+                    free.setdefault(bisect_left(taken, (p[0] + 1, 0)), []).append(p)
+                ordered = sorted((c for ps in free.values() for c in self.chains(ps)), key=lambda c: (-c[0], c[2] - c[1], c[1]))
+                more = [c for c in ordered if share(c) >= COVERAGE]
+                if not more:
+                    if not taken:
+                        out.append((k, share(ordered[0]), ordered[0][1], ordered[0][2]))
+                    break
+                for c in more:
+                    at = bisect_left(taken, (c[1], c[2]))
+                    if (at == 0 or taken[at - 1][1] <= c[1]) and (at == len(taken) or c[2] <= taken[at][0]):
+                        taken.insert(at, (c[1], c[2]))
+                        out.append((k, share(c), c[1], c[2]))
+                # what is left of the matches between the chains may chain anew
+                places = {p for m in places for p in outside(m, taken) if p[2] >= self.least[k]}
+        return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def outside(match: tuple[int, int, int], taken: list[tuple[int, int]]):
+    """The parts of a match (word, template position, words) outside of sorted intervals of words."""
+    s, t, n = match
+    at = max(0, bisect_left(taken, (s, 0)) - 1)
+    while at < len(taken) and taken[at][0] < s + n:
+        first, last = taken[at]
+        if first > s:
+            yield s, t, first - s
+        if last > s:
+            s, t, n = last, t + last - s, n - (last - s)
+            if n <= 0:
+                return
+        at += 1
+    yield s, t, n
 
 
 @lru_cache(2)

@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from pixloom.llm import html_text, mixing, near_copies, quality, simhash
+from pixloom.llm import html_text, license_scan, mixing, near_copies, quality, simhash
 from pixloom.llm.common import documents
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,3 +106,18 @@ def test_html_pages_are_not_cut_to_a_prefix():
         assert html_text.main_text(f"<article>{text}{first}</p><p title='x' class=\"y\">{last}</p></article>") == want, text
     formula = "<p>The area is <math><mi>r</mi><mo>\u00b7</mo><mi>s</mi></math> for these two sides.</p>"
     assert html_text.main_text(page("", formula)) == f"{first}\n\nThe area is r\u00b7s for these two sides.\n\n{last}"
+
+
+def test_every_copy_of_a_licence_is_a_span(spark):
+    isc, mit = dict(license_scan.TEMPLATES)["isc"], dict(license_scan.TEMPLATES[:1])["mit"]
+    n, cut = len(license_scan.tokens(isc.encode())), isc.replace("any purpose", "each and every aim")
+    rows = [
+        (1, f"{isc} {isc}"), (2, f"{isc} {'other words here ' * 30} {cut} {isc}"), (3, "All rights reserved. " * 5 + "x " * 40 + "all rights reserved"), (4, isc), (5, isc[: len(isc) // 2]),
+        (6, f"{isc} {mit} {isc} {mit}"), (7, "all rights reserved " * 20000), (8, f"{isc[:100]} all rights reserved {isc[100:]} all rights {isc} reserved"),
+    ]
+    got = {r.doc_id: [(s.label, s.first_word, s.end_word) for s in r.spans] for r in license_scan.scanned(table(spark, rows)).collect()}
+    assert got[1] == [("isc", 0, n), ("isc", n, 2 * n)]
+    assert got[2] == [("isc", 0, n), ("isc", n + 90, 2 * n + 92), ("isc", 2 * n + 92, 3 * n + 92)]
+    assert got[3] == [("all-rights-reserved", k, k + 3) for k in (0, 3, 6, 9, 12, 55)]
+    assert len(got[4]) == len(got[5]) == 1 and [s[0] for s in got[6] if s[0] in ("isc", "mit")] == ["mit", "mit", "isc", "isc"]
+    assert len(got[7]) == 20000 and [s[0] for s in got[8]].count("isc") == 2
