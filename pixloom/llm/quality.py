@@ -52,7 +52,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     df = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t"))
     df = df.withColumn("s", F.btrim("t", F.lit(SPACE)))
     df = df.select(id_col, "t", "s", F.when(F.col("s") == "", F.array().cast("array<string>")).otherwise(F.split("s", r"[\x20\x09-\x0D]+")).alias("w"))
-    lines = F.filter(F.split("s", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     df = df.select(
         id_col, "w", lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"), F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"), _less("t", SYMBOLS).cast("long").alias("n_symbols"),

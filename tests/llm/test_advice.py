@@ -94,6 +94,12 @@ def test_documents_without_an_id_survive_each_stage(spark):
     assert corpus_pipeline.encode(spark, good, sf).where("doc_id is null").count() == 1
 
 
+def test_first_and_last_lines_keep_their_white_space(spark):
+    rows = [" foo\n foo", "foo\nfoo ", "foo\r\nfoo\r\n", "\tx\n\tx\nx", "a\na", "  a\nb\n  a\n"]
+    got = {r.doc_id: (r.n_dup_lines, r.n_lines) for r in quality.features(table(spark, enumerate(rows))).collect()}
+    assert got == {0: (1, 2), 1: (0, 2), 2: (1, 2), 3: (1, 3), 4: (1, 2), 5: (1, 3)}
+
+
 def test_html_pages_are_not_cut_to_a_prefix():
     first, last = "The first paragraph has quite a few words in it.", "The last paragraph has quite a few words as well."
     page = lambda odd, between="": f"<body><header><form>{odd}</form></header><article><p>{first}</p>{between}<p>{last}</p></article></body>"
