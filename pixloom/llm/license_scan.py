@@ -143,7 +143,8 @@ class Scanner:
         out, live = [], []
         for s, t, n in places:
             grown = (n, s, s + n, t + n)
-            for matched, first, last, at in live[-64:]:
+            live = [c for c in live if s - c[2] <= GAP]  # none of the others can grow any more
+            for matched, first, last, at in live:
                 over = max(0, last - s, at - t)  # a match may start inside the one before
                 if over < n and s + over - last <= GAP and t + over - at <= GAP and (matched + n - over, first) > grown[:2]:
                     grown = (matched + n - over, first, s + n, t + n)

@@ -127,3 +127,12 @@ def test_every_copy_of_a_licence_is_a_span(spark):
     assert got[3] == [("all-rights-reserved", k, k + 3) for k in (0, 3, 6, 9, 12, 55)]
     assert len(got[4]) == len(got[5]) == 1 and [s[0] for s in got[6] if s[0] in ("isc", "mit")] == ["mit", "mit", "isc", "isc"]
     assert len(got[7]) == 20000 and [s[0] for s in got[8]].count("isc") == 2
+
+
+def test_a_chain_grows_past_many_matches():
+    """Seventy places of a phrase lie between the two halves of a chain."""
+    head, tail, phrase = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("h", 10), ("t", 10), ("p", 5)))
+    template = f"{head} {tail} " + " ".join(f"x{k} {phrase}" for k in range(70))
+    scanner = license_scan.Scanner((("no such", "other"),), (("own", template),))
+    (span,) = scanner.spans(scanner.scan(license_scan.tokens(f"{head} {phrase} {tail}".encode()))[1])
+    assert span == (1, 20 / len(template.split()), 0, 25)
