@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from pixloom.llm import html_text, license_scan, mixing, near_copies, quality, simhash
+from pixloom.llm import html_text, license_scan, mixing, quality, simhash
 from pixloom.llm.common import documents
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,7 +35,8 @@ def naive_groups(texts):
     return of
 
 
-def test_near_copies_against_brute_force(spark):
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 10)
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(3000)}"
     texts, passage = [], " ".join(f"p{k}" for k in range(25))
@@ -49,9 +50,9 @@ def test_near_copies_against_brute_force(spark):
             texts.append(" ".join(copy))
     texts += [f"{passage} {' '.join(word() for _ in range(rng.randint(1, 12)))}" for _ in range(25)]  # about as similar as the limit
     want = naive_groups(texts)
-    got = near_copies.keep_one(table(spark, enumerate(texts))).collect()
+    got = simhash.keep_first(table(spark, enumerate(texts))).collect()
     assert sorted(r.doc_id for r in got) == sorted(set(want)) and len(set(want)) < len(texts)
-    assert {len(got)} == {near_copies.keep_one(table(spark, list(enumerate(texts)) * 2)).count()}
+    assert {len(got)} == {simhash.keep_first(table(spark, list(enumerate(texts)) * 2)).count()}
 
 
 def test_pipeline_drops_planted_near_copies(spark):
@@ -67,15 +68,6 @@ def test_pipeline_drops_planted_near_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 9]
 
 
-def test_other_pairs_are_all_pairs_of_different_groups():
-    rng = np.random.default_rng(2)
-    for n, kinds in ((2, 2), (30, 4), (30, 30), (20, 1)):
-        nodes, sizes, group = rng.permutation(1000)[:n], rng.integers(80, 120, n), rng.integers(0, kinds, n)
-        got = {(min(a, b), max(a, b)) for i, j in near_copies.other_pairs(nodes, sizes, group) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-        want = {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i in range(n) for j in range(i) if group[i] != group[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])}
-        assert got == want
-
-
 def test_documents_without_an_id_survive_each_stage(spark):
     sf = "/root/testdata/sf0.001"
     docs = documents(spark, sf)
