@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pixloom.llm.bpe import digested, encoded
 from pixloom.llm.common import documents, written
 from pixloom.llm.mixing import remix
-from pixloom.llm.near_copies import keep_one
 from pixloom.llm.quality import keep_good
+from pixloom.llm.simhash import keep_first
 from pixloom.llm.suffix_dedup import without_repeats
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles of similarity 0.8 or more): the one with the smallest id."""
-    return keep_one(docs)
+    """One document of each group of near copies (SimHash candidates, five-word shingles of similarity 0.8 or more): the one with the smallest id."""
+    return keep_first(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
