@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks.  Every block is described by its own
-and its neighbours' word counts and link densities, and by whether an element
-around it names an article or a part of the page's frame.  A decision tree
-trained on the small labelled table below keeps a block or drops it.
+A page becomes a flat list of text blocks.  Every block is described by the word
+counts and link densities of itself and of both neighbours, by its kind
+(paragraph, heading or other), and, as one weak feature, by what the elements
+around it are named.  A decision tree trained on the small labelled table below
+keeps a block or drops it; names only refine what its first levels have split by
+word counts, link densities and kinds.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ HIDDEN = frozenset("noscript template select datalist button iframe object svg c
 #: Elements, and words of class, id and role values, of a page's frame; and of the article.
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog head".split())
 FRAME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs menu nav navbar navigation sidebar side aside footer foot header masthead topbar cookie cookies consent notice notices gdpr privacy popup modal overlay comment comments commentlist reply replies respond disqus discussion form login signup subscribe newsletter search share sharing social related recommended widget toolbar pagination pager tags copyright legal disclaimer skip complementary contentinfo alert".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs menu nav navbar navigation sidebar aside footer masthead topbar cookie cookies consent notice notices gdpr privacy popup modal comment comments commentlist reply replies respond disqus discussion login signup subscribe newsletter share sharing related recommended pagination pager copyright disclaimer complementary contentinfo alert".split()
 )
+#: Words that may stand beside a frame word in a name without changing what it says.
+AROUND = frozenset("area bar bottom box block button buttons column container content group header holder inner items left links list main outer page panel policy post right row section site slot social text title top unit widget wrap wrapper".split())
 BODY_TAGS = frozenset(["article", "main"])
-BODY_WORDS = frozenset("article content post entry story main body text".split())
+BODY_NAMES = frozenset("article article-body article-content content entry entry-content main main-content post post-body post-content story story-body".split())
+PARAGRAPHS = frozenset("p blockquote pre li dd dt td th figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
@@ -44,76 +49,98 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
-#: words and link density of the block before, of the block and of the one after; in a frame element; in an article element; is a heading: keep?
-FEATURES = ("words_before", "links_before", "words", "links", "words_after", "links_after", "in_frame", "in_article", "heading")
+#: words and link density of the block before, of the block and of the one after; is a paragraph, is a heading; named as frame (-1) or article (1).
+FEATURES = ("words_before", "links_before", "words", "links", "words_after", "links_after", "paragraph", "heading", "named")
+#: Levels of the tree that don't look at names.
+PLAIN_LEVELS = 2
+#: A page a line, a block an item: * is main text, then words, L (all) or l (half) for links, p, h or d for the kind, + or - for names.
 LABELLED = """
-0 0    1 1    1 1    1 0 0 : 0
-1 1    1 1    1 1    1 0 0 : 0
-1 1    2 1    12 0   1 0 0 : 0
-1 1    12 0   8 0    1 0 0 : 0
-1 1    30 0   8 0    1 0 0 : 0
-12 0   8 0    40 0   0 1 1 : 1
-12 0   9 0    2 0    0 1 1 : 1
-8 0    40 0   60 0   0 1 0 : 1
-40 0   1 0    60 0   0 1 0 : 1
-60 0   80 0.1 20 0   0 1 0 : 1
-60 0   3 0    9 0    0 1 0 : 1
-20 0   12 0   9 0    0 1 0 : 1
-20 0   6 1    9 0    0 1 0 : 1
-9 0    30 0   12 0.5 0 1 0 : 1
-1 0    2 0    1 0    0 1 0 : 1
-3 0    1 0    0 0    0 1 0 : 1
-6 0    5 0    2 0    0 1 0 : 1
-4 0    3 0    5 1    0 1 0 : 1
-30 0   1 0    3 0.6  0 1 0 : 1
-2 1    5 0    3 0    0 1 1 : 1
-2 0    1 0    6 0    0 1 0 : 1
-1 1    4 0.2  1 0    0 1 0 : 1
-60 0   9 0    0 0    1 0 0 : 0
-60 0   30 0   0 0    1 0 0 : 0
-60 0   15 0.8 0 0    1 0 0 : 0
-60 0   20 0   40 0   1 1 0 : 0
-60 0   4 0.5  40 0   1 1 0 : 0
-20 0   50 0   30 0   1 1 0 : 0
-60 0   3 0    25 0   1 1 1 : 0
-1 1    1 1    1 1    0 0 0 : 0
-0 0    2 1    2 1    0 0 0 : 0
-2 1    1 1    40 0   0 0 0 : 0
-1 1    3 0.7  5 0.6  0 0 0 : 0
-40 0   1 1    0 0    0 0 0 : 0
-3 0    4 0    2 1    0 0 0 : 0
-0 0    5 0    1 1    0 0 0 : 0
-40 0   6 0    0 0    0 0 0 : 0
-1 1    40 0   30 0   0 0 0 : 1
-30 0   60 0   40 0   0 0 0 : 1
-40 0   25 0.1 60 0   0 0 0 : 1
-60 0   35 0   0 0    0 0 0 : 1
-1 1    7 0    45 0   0 0 1 : 1
-5 0    6 0    30 0   0 0 1 : 1
-30 0   7 0    40 0   0 0 1 : 1
-30 0   4 0    40 0   0 0 0 : 1
-50 0   8 0    60 0   0 0 0 : 1
-14 0   14 0   2 1    0 0 0 : 1
-40 0   12 0   1 1    0 0 0 : 1
-20 0   30 0   3 1    0 0 0 : 1
-0 0    20 0   0 0    0 0 0 : 1
-14 0   2 1    0 0    0 0 0 : 0
-2 1    6 1    2 1    0 0 0 : 0
+1Lp- 1Lp- 1Lp- 1Lp- 8d- *12h+ *60p+ *3p+ *45p+ *20p+ 14d-
+1Lp- 1Lp- 1Lp- 6d- *12h+ *30p+ *25p+ *2p+ 9d-
+1Lp- 1Lp- 2Lp- 12d- *9h+ *40p+ *12p+ *1p+ *70p+ 18d-
+1Lp- 2Lp- 11d- *14h+ *16p+ *8p+ *5p+ 22d-
+1Lp- 1Lp- 9d- *12h+ *120p+ 13d-
+1Lp- 10d- *11h+ *4p+ 11d-
+1Lp 1Lp 2Lp 1Lp *7h *45p *60p *5p *30p 3ld 2Ld 6d
+2Lp 1Lp 8d *9h *35p *28p *3p *50p 12d
+1Ld 1Ld *8h *50d *65d *40d 2Ld 5d
+4h- 9p- 1Lp- 1Lp- *9h+ *40p+ *25p+ 20p- *55p+ *6p+ 4h- 18p- 30p- 12p- 3h- 5Lp- 6Lp- 10d-
+5d- 14p- 1Lp- 1Lp- *6h+ *80p+ *5h+ *30p+ *22p+ 2h- 25p- 40p- 8p- 7d-
+25d- 1Lp- 2Lp- *8h+ *70p+ *35p+ *12p+ *50p+ 8d-
+22p- 2Ld- *10h *30p *45p *9p 6d
+3h 2Lp 2Lp 1Lp *11h *33p *4h *27p *18p 3h 6Lp 5Lp 7Lp 9d
+2h- 1Lp- 1Lp- *8h+ *15p+ *6p+ *9p+ *14p+ 2h- 4Lp- 6Lp- 12d-
+1Lp- *5h+ *22p+ *6p+ *7p+ *5p+ *30p+ 16p- 9d-
+1Lp- *5h+ *40p+ *30lp+ *12p+ *4Lp+ *25p+ 10d-
+*10h *30p *40p
+*20p *25p
+*60d
+*14d *20d *35d
+1Lp 1Lp 1Lp 5Lp 4Lp 6Lp 3d
+1Ld 2Ld 3Ld 7d
+2Lp 5ld 4ld 3Ld 6ld
+1Lp 3h 8Lp 12lp 7Lp 10lp 9Lp 8d
+1Lp- 8p- *7h *90p *2h *45p *20p 28p- 35p- 12d-
+12p- *9h+ *32p+ *41p+ 12p- *28p+ 6h- 15p- 12p- 21p-
+1Lp- 45p- *10h+ *50p+ *60p+ 50p- 9d-
+*8h+ *20p+ 8p- *35p+ 3p- *24p+
+3d 5d *12h *45p *30p 4d 2d
+*9h+ *6p+ *11p+ *8p+ *13p+ *7p+ *16p+ *10p+ *5p+ 12d-
+*12p+ *14p+ *9p+ *18p+ *11p+ *3p+ *22p+ *6p+ *27p+ *8p+ *12p+ 9d-
+*7h+ *28p+ *9p+ *12p+ *6p+ *2p+ *4p+ *1p+ *9p+ *33p+ *12p+ *5p+
+*2h+ *1p+ *2p+ *1p+ *24p+ *1p+ *15p+ *2p+ *60p+ *1p+
+*6d+ *12d+ *9d+ *30d+ *4d+ *3p+ *1d+
+1Lp- 17d- *3h+ *5Lp+ *3Lp+ *18p+ *2Lp+ *7lp+ *40p+ *6Lp+ 30d-
+1Lp- 5d- *1h+ *1p+ 3d-
+1Lp- 3d- *4h+ *2p+ 28d-
+1Lp- 1Lp- 24d- *2h+ *9p+ *8p+ 5d-
+9d 12d 7d 11d 5d 8d
+6h 5d 8d 12d 6d 9d
+*14p *14p *14p *14p 2ld
+*27p
+*24p *18p *16p 6d
+1Lp 1Lp 1Ld *5h *15p *18p *13p *33p *9p 1Lp 2Ld
+1Lp 2Lp *3h *28p *45p *26p 1Lp 1Lp 1Lp
+1Lp 1Lp *11h *60p *5h *30p *4h *75p 2Lp 1Lp
+1Lp *8h *33p *70p *48p 2Lp 1Lp 1Lp
+9p- 1Lp- *5h+ 22p- *40p+ *66p+ *31p+ *8p+ *2p+ 2h- 18p- 35p- 14d-
+24p- 1Lp- 1Lp- *9h+ 6p- *28p+ *35p+ *12p+ 1h- 33p- 8p- 45d-
+*4h+ 33p- *50p+ *44p+ *29p+ 2h- 12p- 28p- 37p-
+*10h+ 14p- *77p+ *31p+ *1p+ 19p- 2h- 36p- 24p- 6p-
+1Lp- 2Lp- *6h+ 38p- *27p+ *55p+ *13p+ *6p+ 1h- 6p- 9p- 38p-
+*3h+ 3p- *26p+ *5h+ *70p+ 27p- 1h- 39p- 39p- 60d-
+1Lp- 1Lp- 16p- 9p- 11p- 14p- 6p- 30p- 12p- 25p- 3p-
+8h- 20p- 16p- 40p- 9p- 60p- 5p- 33p- 12d- 50d- 7d-
 """
+ITEM = re.compile(r"(\*?)(\d+)([Ll]?)([phd])([+-]?)")
+
+
+def described(found: list[tuple[int, float, bool, bool, int]]) -> list[tuple[float, ...]]:
+    """FEATURES of each block of a page, from (words, link density, paragraph, heading, named) of all."""
+    ends = (0, 0.0)
+    out = []
+    for k, (words, links, paragraph, heading, named) in enumerate(found):
+        before, after = found[k - 1][:2] if k else ends, found[k + 1][:2] if k + 1 < len(found) else ends
+        out.append((*before, words, links, *after, float(paragraph), float(heading), float(named)))
+    return out
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    rows = [line.split() for line in LABELLED.strip().splitlines()]
-    return np.array([[float(x) for x in r[:-2]] for r in rows]), np.array([int(r[-1]) for r in rows])
+    x, y = [], []
+    for line in LABELLED.strip().splitlines():
+        items = ITEM.findall(line)
+        x += described([(int(n), {"": 0.0, "l": 0.5, "L": 1.0}[links], kind == "p", kind == "h", {"": 0, "+": 1, "-": -1}[named]) for _, n, links, kind, named in items])
+        y += [int(star == "*") for star, *_ in items]
+    return np.array(x), np.array(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
-    """A decision tree by Gini impurity: a share of keeps, or (feature, threshold, below, above)."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, plain: int = PLAIN_LEVELS):
+    """A decision tree by Gini impurity: a share of keeps, or (feature, threshold, below, above); the first `plain` levels don't see names."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
     best = None
-    for f in (6, 7, 8, 0, 1, 2, 3, 4, 5):  # of equally good splits the first of this order
+    for f in range(len(FEATURES) - (plain > 0)):  # of equally good splits the first
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < t
@@ -123,7 +150,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if best is None:
         return share
     _, f, t, low = best
-    return f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    return f, t, grow(x[low], y[low], depth - 1, plain - 1), grow(x[~low], y[~low], depth - 1, plain - 1)
 
 
 @lru_cache(1)
@@ -138,22 +165,38 @@ def decide(node, row) -> bool:
     return node >= 0.5
 
 
-def _mark(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element belongs to the frame, and to the article."""
-    frame, body = name in FRAME_TAGS, name in BODY_TAGS
+def _frame_name(name: str) -> bool:
+    """Whether one class, id or role names a part of the frame: frame words, and nothing else but words that may stand around them."""
+    words = WORDS.findall(name.lower())
+    return any(w in FRAME_WORDS for w in words) and all(w in FRAME_WORDS or w in AROUND for w in words)
+
+
+def _mark(name: str, rest: str) -> int:
+    """What an element is named as: frame (-1), article (1) or neither (0)."""
+    if name in BODY_TAGS:
+        return 1
+    if name in FRAME_TAGS:
+        return -1
+    named = 0
     if "=" in rest and name not in ("html", "body"):
         for _, a, b, c in ATTRIBUTE.findall(rest):
-            words = set(WORDS.findall((a or b or c).lower()))
-            frame, body = frame or bool(words & FRAME_WORDS), body or bool(words & BODY_WORDS)
-    return frame and name not in BODY_TAGS, body
+            names = (a or b or c).split()
+            if any(map(_frame_name, names)):
+                return -1
+            named = named or int(any(n.lower() in BODY_NAMES for n in names))
+    return named
+
 
+def blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
+    """(text, link density, paragraph, heading, named) of the page's text blocks, in order.
 
-def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link density, in frame, in article, heading) of the page's text blocks, in order."""
+    A block is named by the nearest element around it that is named as frame or
+    article; inside a frame only a whole article element counts as article.
+    """
     out, parts, at = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # open block elements
+    stack: list[tuple[str, int]] = []  # open block elements and what their text is named as
     hidden: list[str] = []  # open elements from a hidden one inwards
-    linked, href, heading = 0, False, False
+    linked, href = 0, False
 
     def put(text: str) -> None:
         nonlocal linked
@@ -164,14 +207,14 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
                 linked += len(text.split())
 
     def close() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         if parts:
             text = SPACES.sub(" ", "".join(parts)).strip()
             if text:
-                top = stack[-1] if stack else ("", False, False)
-                out.append((text, min(1.0, linked / len(text.split())), top[1], top[2], heading))
+                kind, named = stack[-1] if stack else ("", 0)
+                out.append((text, min(1.0, linked / len(text.split())), kind in PARAGRAPHS, kind in HEADINGS, named))
             parts.clear()
-        linked, heading = 0, False
+        linked = 0
 
     raw = None
     while at < len(html):
@@ -215,20 +258,18 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
                 hidden = [name]
         elif name == "a":
             href = not m["end"]
-        elif name in BLOCKS or (not m["end"] and name not in VOID and "=" in m["rest"] and _mark(name, m["rest"])[0]):
+        elif name in BLOCKS or (not m["end"] and name not in VOID and "=" in m["rest"] and _mark(name, m["rest"]) < 0):
             close()
             if m["end"]:
                 names = [s[0] for s in stack]
                 if name in names:
                     del stack[len(names) - 1 - names[::-1].index(name) :]
-                heading = False
             elif name not in VOID:
                 if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                frame, body = _mark(name, m["rest"])
-                over = stack[-1] if stack else ("", False, False)
-                stack.append((name, frame or over[1] and not body, body or over[2]))
-                heading, href = name in HEADINGS, href and name not in ("div", "p", "article", "section", "nav", "footer")
+                named, over = _mark(name, m["rest"]), stack[-1][1] if stack else 0
+                stack.append((name, over if not named or over < 0 and name not in BODY_TAGS else named))
+                href = href and name not in ("div", "p", "article", "section", "nav", "footer")
         elif m["end"] and any(s[0] == name for s in stack):
             close()
             names = [s[0] for s in stack]
@@ -237,21 +278,19 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, bool]]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The kept blocks, joined by an empty line; empty for null, empty or text-free pages."""
+def main_text(html: str | None, names: bool = True) -> str:
+    """The kept blocks, joined by an empty line; empty for null, empty or text-free pages.  Without names, elements' names say nothing."""
     found = blocks(html or "")
-    size = [len(b[0].split()) for b in found]
-    keep = []
-    for k, (text, density, frame, body, heading) in enumerate(found):
-        before = (size[k - 1], found[k - 1][1]) if k else (0, 0.0)
-        after = (size[k + 1], found[k + 1][1]) if k + 1 < len(found) else (0, 0.0)
-        if decide(tree(), (*before, size[k], density, *after, float(frame), float(body), float(heading))):
-            keep.append(text)
-    return "\n\n".join(keep)
+    rows = described([(len(text.split()), links, paragraph, heading, named * names) for text, links, paragraph, heading, named in found])
+    return "\n\n".join(b[0] for b, row in zip(found, rows, strict=True) if decide(tree(), row))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages' id and url with text and n_chars (code points).  Rows are kept one for one; null html gives an empty text."""
+    """pages' id and url with text and n_chars (code points).
+
+    Rows are kept one for one, repeated ones and those with null ids or urls
+    too; null and empty html gives an empty text.  Other columns are not read.
+    """
     small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, "url")}
 
@@ -265,4 +304,5 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; odd rows as in `extracted`."""
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
