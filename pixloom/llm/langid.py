@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 
 ORDER = 4
-#: Bytes of training text a language gets (a documented bound on the labelled sample), and of the cost table's contexts.
-TRAIN_BYTES, MAX_CONTEXTS, LEAST_COUNT = 1 << 20, 24_000, 12
+#: Bounds of the labelled sample: bytes of text that a language gets, that all get together, and languages (those with the most text).
+TRAIN_BYTES, ALL_BYTES, LANGUAGES = 1 << 19, 1 << 23, 128
+#: Occurrences in a language's sample from which a context is kept.  A language keeps at most (ORDER + 1) * bytes / LEAST_COUNT contexts.
+LEAST_COUNT = 24
 #: Bytes of text that are scored together; longer texts go in pieces that know the ORDER bytes before them.
 SEGMENT = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 def _codes(data: np.ndarray, order: int) -> np.ndarray:
@@ -37,10 +39,15 @@ def _codes(data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (superscripts and fractions, which a pattern takes for one, aren't)."""
+    return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
+
+
 class Model:
     """Cost tables; languages in alphabetical order."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT, most: int = MAX_CONTEXTS):
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT):
         self.langs, self.order = sorted(samples), order
         texts = [np.frombuffer(b"\n".join(samples[k]) + b"\n", np.uint8) for k in self.langs]
         used = np.unique(np.concatenate([*texts, np.zeros(0, np.uint8)]))
@@ -55,11 +62,7 @@ class Model:
                     both, c = np.unique((_codes(t, d) << np.uint64(8)) | t[d:].astype(np.uint64), return_counts=True)
                     rows.append((np.full(len(c), k), both >> np.uint64(8), self.code[(both & np.uint64(255)).astype(np.int64)], c))
             counts.append([np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4)
-        while True:
-            kept = [self._kept(*c[:2], c[3], 1 if d == 0 else least) for d, c in enumerate(counts)]
-            if sum(len(x) for x in kept) <= most:
-                break
-            least *= 2
+        kept = [self._kept(*c[:2], c[3], 1 if d == 0 else least) for d, c in enumerate(counts)]
         first = np.cumsum([0, *(len(x) for x in kept)])
         total = max(1, int(first[-1]))
         cost = np.empty((total, size, n))
@@ -146,7 +149,7 @@ class Model:
                 out[k] = self.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum())
 
         for k, t in enumerate(texts):
-            if not self.langs or not t or not LETTER.search(t):
+            if not self.langs or not t or not has_letter(t):
                 continue
             t = t.lower().encode()
             if len(t) > SEGMENT:
@@ -163,12 +166,13 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, most: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """Whole lower-cased texts by language, chosen by a hash of the id: about `most` bytes of each, twice that at the utmost."""
+def sample(docs: DataFrame, most: int = TRAIN_BYTES, total: int = ALL_BYTES, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
+    """Whole lower-cased texts by language, chosen by a hash of the id: about `most` bytes of each (its share of total), twice that at the utmost."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("remainder") != 2))
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return {}
+    most = min(most, total // len(sizes))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / max(1, n)))))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = train.withColumn("rank", rank).where(F.col("rank") < share[F.col("lang")]).select("lang", "rank", "text")
@@ -187,11 +191,12 @@ def identified(docs: DataFrame) -> DataFrame:
     held_out rows (crc32 of the id's text mod 4 is 2) and rows without an id or
     lang train nothing.  Null, empty and letterless texts are "und" with score 0,
     as is all text where nothing trains.  Ties go to the first language by name.
+    Repeated rows are kept, each with its prediction; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     marked = docs.select("doc_id", "text", "lang", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).alias("remainder"))
-    model = spark.sparkContext.broadcast(Model(sample(marked)))  # bounded by MAX_CONTEXTS
+    model = spark.sparkContext.broadcast(Model(sample(marked)))  # bounded by the sample's bounds
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -205,4 +210,5 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
+    """Language and score of every document; odd rows as in `identified`."""
     return identified(documents(spark, sf_dir))
