@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, written
 
-FRAME, HOP = 2048, 512
+#: Samples of a frame and between frames at BASE samples a second; at other rates frames last as long.
+BASE, FRAME, HOP = 4000, 2048, 512
 #: Frequencies that count, in Hz, and the A that pitch classes are counted from.
 LOW, HIGH, A = 60.0, 1800.0, 440.0
 #: A filter: kind, first pitch class, pitch classes, frames.  By rule: the widest first, each kind over the octave's parts.
@@ -29,8 +30,10 @@ BOUNDS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Least equal integers at one offset, least frames of overlap, most share of differing bits of a match.
 VOTES, OVERLAP, ERRORS = 3, 12, 0.2
-#: Recordings of one block of queries and of one block of rows.
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Most recordings and bytes of one block of queries and of one block of rows (expected: a hash deals them), and least blocks of rows.
+QUERY_BLOCK, ROW_BLOCK, BLOCK_BYTES, LEAST_BLOCKS = 1024, 4096, 16 << 20, 32
+#: The integer of silence, which says nothing about an offset; and equal integers paired at a time.
+SILENCE, PAIRS = 0xFFFFFFFF, 1 << 21
 
 
 def pcm(wav: bytes | None) -> tuple[np.ndarray, int]:
@@ -60,18 +63,22 @@ def wav(samples: np.ndarray, rate: int) -> bytes:
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     """(frames, 12): share of each pitch class in a frame's energy; silent frames are zero."""
-    n = (len(samples) - FRAME) // HOP + 1
-    if n < 1:
+    frame, hop = round(FRAME * rate / BASE), HOP * rate / BASE
+    n = int((len(samples) - frame) // hop) + 1
+    if n < 1 or frame < 2:
         return np.zeros((0, 12))
-    freq = np.fft.rfftfreq(FRAME, 1 / rate)
+    freq = np.fft.rfftfreq(frame, 1 / rate)
     use = np.nonzero((freq >= LOW) & (freq <= HIGH))[0]
     pitch = np.round(12 * np.log2(freq[use] / A)).astype(int) % 12
     to = np.zeros((len(use), 12))
     to[np.arange(len(use)), pitch] = 1
     out = np.zeros((n, 12))
-    for at in range(0, n, 512):  # bounded memory for long recordings
-        rows = np.lib.stride_tricks.sliding_window_view(samples[at * HOP : (min(n, at + 512) - 1) * HOP + FRAME], FRAME)[::HOP]
-        out[at : at + 512] = (np.abs(np.fft.rfft(rows * np.hanning(FRAME), axis=1)[:, use]) ** 2) @ to
+    begin = np.floor(np.arange(n) * hop + 1e-6).astype(np.int64)
+    windows, step = np.lib.stride_tricks.sliding_window_view(samples, frame), max(1, (512 * FRAME) // frame)
+    for at in range(0, n, step):  # bounded memory for long recordings
+        rows = windows[begin[at : at + step]] * np.hanning(frame)
+        out[at : at + step] = (np.abs(np.fft.rfft(rows, axis=1)[:, use]) ** 2) @ to
+    out *= (FRAME / frame) ** 2
     total = out.sum(axis=1, keepdims=True)
     return np.where(total > 1e-6, out / np.maximum(total, 1e-6), 0)
 
@@ -108,47 +115,56 @@ def fingerprint(audio: bytes | None) -> np.ndarray:
     return integers(chroma(*pcm(audio)))
 
 
+def _votes(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    key, back = np.unique(key, return_inverse=True)
+    return key, np.bincount(back, count, minlength=len(key)).astype(np.int64)
+
+
 def align(a: list[np.ndarray], b: list[np.ndarray], skip=None) -> list[tuple[int, int, int, int, int, int]]:
-    """(i, j, offset, votes, overlap, bit errors) of fingerprints a[i], b[j] that match; offset is a's frame at b's first."""
-    whole_a, whole_b = (np.concatenate([*x, np.zeros(0, np.uint32)]) for x in (a, b))
-    start_a, start_b = (np.cumsum([0, *map(len, x)])[:-1] for x in (a, b))
-    own_a, own_b = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b))
+    """(i, j, offset, votes, overlap, bit errors) of fingerprints a[i], b[j] that match; offset is a's frame at b's first.
+
+    Recordings of a go in groups of about PAIRS equal integers, and a group's
+    histogram is added up PAIRS at a time.
+    """
+    whole_b = np.concatenate([*b, np.zeros(0, np.uint32)])
+    start_b, own_b = np.cumsum([0, *map(len, b)])[:-1], np.repeat(np.arange(len(b)), [len(v) for v in b])
     order = np.argsort(whole_b, kind="stable")
     values = whole_b[order]
-    low, high = np.searchsorted(values, whole_a, "left"), np.searchsorted(values, whole_a, "right")
-    span = 1 << 21
-    keys, counts = [], []
-    step = np.cumsum(high - low)
-    cuts = [0, *np.searchsorted(step, np.arange(1 << 21, int(step[-1]) if len(step) else 0, 1 << 21)).tolist(), len(whole_a)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):  # about two million equal pairs at a time
-        n = (high - low)[lo:hi]
-        if not n.sum():
-            continue
-        pa_ = np.repeat(np.arange(lo, hi), n)
-        pb_ = order[np.repeat(low[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        i, j = own_a[pa_], own_b[pb_]
-        key = ((i.astype(np.int64) * len(b) + j) * span) + (pa_ - start_a[i]) - (pb_ - start_b[j]) + span // 2
-        k, c = np.unique(key, return_counts=True)
-        keys.append(k)
-        counts.append(c)
-    if not keys:
-        return []
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-    pair = key // span
-    best = np.lexsort((key, -count, pair))
-    best = best[np.r_[True, pair[best][1:] != pair[best][:-1]]]
-    best = best[count[best] >= VOTES]
-    out = []
-    for k in best.tolist():
-        i, j, offset = int(pair[k] // len(b)), int(pair[k] % len(b)), int(key[k] % span - span // 2)
-        if skip and skip(i, j):
-            continue
-        x, y = a[i][max(0, offset) :], b[j][max(0, -offset) :]
-        n = min(len(x), len(y))
-        errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
-        if n >= OVERLAP and errors <= ERRORS * 32 * n:
-            out.append((i, j, offset, int(count[k]), n, errors))
+    low = [np.searchsorted(values, x, "left") for x in a]
+    many = [np.where(x == SILENCE, 0, np.searchsorted(values, x, "right") - lo) for x, lo in zip(a, low, strict=True)]
+    back = max(map(len, b), default=0)  # offsets begin at -back
+    span = back + max(map(len, a), default=0) + 1
+    out, i = [], 0
+    while i < len(a):
+        first, size = i, 0
+        while i < len(a) and (i == first or size + many[i].sum() <= PAIRS):
+            size += int(many[i].sum())
+            i += 1
+        group = range(first, i)
+        own, at = np.repeat(np.array(group), [len(a[k]) for k in group]), np.concatenate([np.arange(len(a[k])) for k in group])
+        n, lo = np.concatenate([many[k] for k in group]), np.concatenate([low[k] for k in group])
+        ends = np.cumsum(n)
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p in range(0, size, PAIRS):
+            pair = np.arange(p, min(size, p + PAIRS))
+            row = np.searchsorted(ends, pair, side="right")
+            other = order[lo[row] + pair - (ends[row] - n[row])]
+            offset = at[row] - (other - start_b[own_b[other]]) + back
+            found = _votes((own[row] * len(b) + own_b[other]) * span + offset, np.ones(len(pair)))
+            key, count = _votes(np.concatenate([key, found[0]]), np.concatenate([count, found[1]]))
+        both = key // span
+        best = np.lexsort((key, -count, both))
+        best = best[np.r_[True, both[best][1:] != both[best][:-1]]] if len(best) else best
+        for k in best[count[best] >= VOTES].tolist():
+            x, y, offset = int(both[k] // len(b)), int(both[k] % len(b)), int(key[k] % span - back)
+            if skip and skip(x, y):
+                continue
+            u, v = a[x][max(0, offset) :], b[y][max(0, -offset) :]
+            n_both = min(len(u), len(v))
+            errors = int(np.bitwise_count(u[:n_both] ^ v[:n_both]).sum())
+            if n_both >= OVERLAP and errors <= ERRORS * 32 * n_both:
+                out.append((x, y, offset, int(count[k]), n_both, errors))
     return out
 
 
@@ -171,14 +187,17 @@ def matched(prints: DataFrame, id_col: str, queries) -> DataFrame:
     The recordings that `queries` (a Column) holds for are searched for, class by
     class and block by block, among all classes; n_links counts the other classes
     that match and match_id is the one with the least share of bit errors (ties:
-    the smaller id).  Empty fingerprints match nothing.
+    the smaller id).  Empty fingerprints match nothing, and silence has no say
+    in offsets.  Repeated rows and rows without an id are kept; ids are integers.
     """
     spark = prints.sparkSession
     prints = written(prints, "prints")
     classes = prints.where(F.length("print") > 0).groupBy("print").agg(F.min(id_col).alias("class_id"), F.max(F.coalesce(queries, F.lit(False))).alias("asked")).where("class_id is not null")
     classes = written(classes, "classes")
-    size = classes.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
-    n_rows, n_queries = max(1, -(-size.n // ROW_BLOCK)), max(1, -(-size.q // QUERY_BLOCK))
+    length = F.length("print")
+    size = classes.agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.sum(length).alias("bytes"), F.sum(F.when(F.col("asked"), length)).alias("q_bytes")).first()
+    n_rows = max(LEAST_BLOCKS, -(-size.n // ROW_BLOCK), -(-(size.bytes or 0) // BLOCK_BYTES))
+    n_queries = max(1, -(-size.q // QUERY_BLOCK), -(-(size.q_bytes or 0) // BLOCK_BYTES))
 
     def pack(table):
         fps = table.column("print").to_pylist()
@@ -243,6 +262,7 @@ def recordings(embeddings: DataFrame) -> DataFrame:
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
+    """Class, links and best match of every embedding's recording; odd rows as in `matched`."""
     small_batches(spark)
     media = recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     found = matched(fingerprints(media, "vec_id", "audio"), "vec_id", F.col("vec_id") % 20 == 0)
