@@ -33,6 +33,11 @@ TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -217,6 +222,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
     labels holds base_labels and the labels of templates covered to COVERAGE or
     more; score is the best template's coverage, 0.5 at least beside a base
     phrase.  Null and empty texts have no words, labels or spans and score 0.
+    Repeated rows and rows without an id are kept; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -245,4 +251,5 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
 
 
 def op9_license(spark, sf_dir: str) -> DataFrame:
+    """Base places, labels and score of every document; odd rows as in `scanned`."""
     return scanned(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
