@@ -81,6 +81,47 @@ def test_html_tree_fits_its_table():
     assert np.mean([html_text.decide(html_text.tree(), r) == bool(v) for r, v in zip(x, y, strict=True)]) == 1
 
 
+def generated(rng, named):
+    """A page and its main text; with names, of one of several layouts."""
+    word = lambda: "".join(rng.choice(list("abdegilmnorst"), rng.integers(2, 9)))
+    say = lambda low, high: " ".join(word() for _ in range(rng.integers(low, high)))
+    links = lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>{say(1, 3)}</a>" for _ in range(rng.integers(3, 8))) + "</ul>"
+    blocks = [("h1", say(3, 12))] + [("p" if rng.random() < 0.85 else "h2", say(25, 80)) for _ in range(rng.integers(3, 9))]
+    if named:
+        blocks += [("p", say(1, 15)) for _ in range(rng.integers(0, 4))]
+    body = "\n".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+    want = "\n\n".join(x for _, x in blocks)
+    if not named:
+        return f"<body><div>{links()}</div><div>{body}</div><div>{links()}</div></body>", want
+    kind = rng.integers(3)
+    at = body.index("</h1>") + 5
+    advert = f"<div class='{rng.choice(['ad', 'ad-box', 'sponsored', 'share-links', 'cookie-notice'])}'><p>{say(3, 40)}</p></div>"
+    body = body[:at] + advert + body[at:]
+    comments = f"<section id=comments><h3>{say(1, 3)}</h3><p>{say(5, 40)}</p><p>{say(5, 40)}</p></section>"
+    if kind == 0:
+        return f"<header><p>{say(2, 30)}</p><nav>{links()}</nav></header><article>{body}{comments}</article><footer>{say(2, 20)}</footer>", want
+    if kind == 1:
+        return f"<div class=navbar>{links()}</div><div class='post-content'>{body}</div>{comments}<div class='sidebar widget-area'><p>{say(4, 40)}</p></div>", want
+    return f"<div class='search-results-page'><main>{body}<aside>{say(4, 30)}</aside></main>{comments}<form><p>{say(2, 20)}</p></form></div>", want
+
+
+def test_generated_pages():
+    rng = np.random.default_rng(5)
+    pages = [generated(rng, True) for _ in range(300)]
+    assert np.mean([html_text.main_text(h) == w for h, w in pages]) >= 0.97
+    plain = [generated(rng, False) for _ in range(300)]  # nothing but counts and link densities to go by
+    assert np.mean([html_text.main_text(h) == w for h, w in plain]) >= 0.8
+    assert sum(html_text.main_text(h) != html_text.main_text(h, names=False) for h, _ in plain) == 0
+
+
+def test_names_of_elements_decide_little():
+    text = "Only one paragraph of plain text stands in the middle of this page, and it has enough words to be read as such by anyone who cares."
+    assert html_text.main_text(f'<div class="search-results-page"><p>{text}</p></div>') == text
+    assert html_text.main_text(f'<article><p>{text}</p><p class="share-of-voice">{text} And more.</p></article>') == f"{text}\n\n{text} And more."
+    root = html_text.tree()
+    assert html_text.FEATURES[root[0]] != "named" and all(html_text.FEATURES[n[0]] != "named" for n in root[2:] if isinstance(n, tuple))
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "", "")], PAGES).selectExpr("*", "'x' as text", "5 as n_chars")
     got = html_text.extracted(df).collect()
@@ -131,7 +172,49 @@ def test_odd_audio():
     for x in (None, b"", b"RIFF", b"RIFF0000WAVEdata", sound(1)[:60], media.wav(np.zeros(100), 8000)):
         assert len(media.fingerprint(x)) == 0
     stereo = media.wav(np.zeros(4), 8000)
-    assert media.pcm(stereo)[1] == 8000 and not media.integers(media.chroma(np.zeros(20000), 4000)).any() or True
+    assert media.pcm(stereo)[1] == 8000
+    silence = media.integers(media.chroma(np.zeros(20000), 4000))
+    assert len(silence) and (silence == media.SILENCE).all() and media.align([silence], [silence]) == []
+
+
+def test_long_recordings_align():
+    """A cut from beyond 2^20 frames is found, with its offset, beside another recording."""
+    rng = np.random.default_rng(9)
+    long, other = rng.integers(0, 2**32, 1_300_000, dtype=np.uint32), rng.integers(0, 2**32, 1000, dtype=np.uint32)
+    cut = long[1_200_000:1_200_200]
+    assert [f[:3] + f[4:] for f in media.align([long, other], [other, cut])] == [(0, 1, 1_200_000, 200, 0), (1, 0, 0, 1000, 0)]
+    assert [f[:3] + f[4:] for f in media.align([cut], [other, long])] == [(0, 1, -1_200_000, 200, 0)]
+
+
+def test_one_recording_at_two_rates():
+    rng = np.random.default_rng(3)
+    tune = rng.integers(-20, 12, 40)
+
+    def play(rate):
+        hz = np.repeat(440 * 2 ** (tune / 12), rate // 8)
+        return media.wav(0.5 * np.sin(2 * np.pi * np.cumsum(hz) / rate), rate)
+
+    low, high = media.fingerprint(play(8000)), media.fingerprint(play(44100))
+    (found,) = media.align([low], [high])
+    assert abs(found[2]) <= 1 and found[4] >= len(low) - 2
+
+
+def test_common_integers_are_counted_whole(monkeypatch):
+    """Votes by definition where many integers are equal and a group's pairs don't fit at once."""
+    rng = np.random.default_rng(8)
+    a, b = [rng.integers(0, 3, n).astype(np.uint32) for n in (40, 25, 60)], [rng.integers(0, 3, n).astype(np.uint32) for n in (50, 0, 30)]
+    a[1][:20] = b[2][5:25]
+    monkeypatch.setattr(media, "ERRORS", 1.0)
+    whole = media.align(a, b)
+    monkeypatch.setattr(media, "PAIRS", 100)
+    assert media.align(a, b) == whole and len(whole) == 6
+    for i, j, offset, votes, *_ in whole:
+        hist = {}
+        for p, x in enumerate(a[i]):
+            for q, y in enumerate(b[j]):
+                if x == y:
+                    hist[p - q] = hist.get(p - q, 0) + 1
+        assert votes == max(hist.values()) == hist[offset]
 
 
 def test_matched_recordings(spark):
