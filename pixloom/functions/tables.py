@@ -157,21 +157,25 @@ def sharpen(strength: float = 0.5) -> list[list[float]]:
     return [[0, -strength, 0], [-strength, 1 + 4 * strength, -strength], [0, -strength, 0]]
 
 
-#: Signs of the effect at the eight neighbours in reading order; corners weigh 1 + strength, sides weigh strength.
-EMBOSS = {"top_left": (0, -1, -1, 1, -1, 1, 1, 0), "top_right": (-1, -1, 0, -1, 1, 0, 1, 1), "bottom_right": (1, 1, 0, 1, -1, 0, -1, -1), "bottom_left": (0, 1, 1, -1, 1, -1, -1, 0)}
+#: Directions in which brightness rises across an embossed edge, as steps to the right and down.
+RISES = {"top_left": (-1, 1), "top_right": (1, 1), "bottom_right": (-1, -1), "bottom_left": (1, -1)}
 #: The other four names fall to the one beside them.
 EMBOSS_NAMES = {"top": "top_left", "right": "top_right", "bottom": "bottom_right", "left": "bottom_left"}
 
 
 def emboss(direction: str = "top_left", alpha: float = 0.5, strength: float = 0.5) -> list[list[int]]:
-    """Taps of 256ths."""
-    signs = list(EMBOSS[EMBOSS_NAMES.get(direction, direction)])
-    effect = [s * (1 + strength if k in (0, 2, 5, 7) else strength) for k, s in enumerate(signs)]
-    nine = [*effect[:4], 1.0, *effect[4:]]
-    blended = [alpha * e + (1 - alpha) * (k == 4) for k, e in enumerate(nine)]
-    return np.array([math.trunc(x * 256) for x in blended]).reshape(3, 3).tolist()
+    """Taps of 256ths: a neighbour counts by how far it lies along the rise, strength for one step and 1 more for two."""
+    right, down = RISES[EMBOSS_NAMES.get(direction, direction)]
 
+    def tap(x: int, y: int) -> int:
+        along = x * right + y * down
+        effect = 1.0 if x == y == 0 else math.copysign(abs(along) - 1 + strength, along) if along else 0.0
+        return math.trunc((alpha * effect + (1 - alpha) * (x == y == 0)) * 256)
 
+    return [[tap(x, y) for x in (-1, 0, 1)] for y in (-1, 0, 1)]
+
+
+# A formula that must match: the inverse of scale, rotation and shear about the centre.
 def inverse_affine(w: int, h: int, scale=1.0, rotate=0.0, translate=(0, 0), shear=(0, 0)) -> tuple[float, ...]:
     """(a, b, c, d, e, f): source x = a x + b y + c, y = d x + e y + f, about the image's centre."""
     sx, sy = (scale, scale) if np.isscalar(scale) else scale
@@ -186,15 +190,14 @@ def inverse_affine(w: int, h: int, scale=1.0, rotate=0.0, translate=(0, 0), shea
     return float(m[0, 0]), float(m[0, 1]), float(c), float(m[1, 0]), float(m[1, 1]), float(f)
 
 
+def grids(max_tiles: int) -> list[tuple[int, int]]:
+    """All (columns, rows) of at most max_tiles tiles."""
+    return [(n // rows, rows) for n in range(1, max_tiles + 1) for rows in range(1, n + 1) if n % rows == 0]
+
+
 def select_grid(w: int, h: int, max_tiles: int = 6) -> tuple[int, int]:
-    """(columns, rows) with at most max_tiles tiles whose shape is nearest the image's; of equals the finer one."""
-    best, least = (1, 1), math.inf
-    for cols in range(1, max_tiles + 1):
-        for rows in range(1, max_tiles // cols + 1):
-            error = abs(math.log(w / h) - math.log(cols / rows))
-            if error < least - 1e-5 or (abs(error - least) <= 1e-5 and cols * rows > best[0] * best[1]):
-                best, least = (cols, rows), error
-    return best
+    """The grid whose shape is nearest the image's, by the error to five places; then the one of most tiles, then of fewest columns."""
+    return min(grids(max_tiles), key=lambda g: (round(abs(math.log(w / h) - math.log(g[0] / g[1])), 5), -g[0] * g[1], g))
 
 
 def beta_table(alpha: float, size: int = 1024) -> list[float]:

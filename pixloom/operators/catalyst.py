@@ -1,8 +1,7 @@
 """Operators as Catalyst expressions over planes (image_id, w, h, planes).
 
 An image is one row, so a coordinate map, a convolution or a colour matrix is a
-projection: no join and no shuffle, whatever the number of images.  Only equalize
-moves data: 256 counts an image and channel, combined on the map side.  Sizes are
+projection: no join and no shuffle, whatever the number of images.  Sizes are
 columns, so images of different sizes pass through the same expression.
 """
 
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions.draws import unit_column
 from ..plans.program import Op, matrix, square, tables
-from .kernels import dropped
 
 OTHERS = ("planes", "w", "h")
 
@@ -88,20 +86,26 @@ def pad(df: DataFrame, top=0, right=0, bottom=0, left=0, mode="reflect", value=0
     return _from(df, _at(_border(x, "w", mode), _border(y, "h", mode)), w, h)
 
 
-def _blend(x: str, y: str, w: str, h: str) -> str:
-    """Bilinear sample at column x and row y of a grid of size w x h over the image."""
-    sx, sy = f"(({x} + 0.5D) * (w / {w}) - 0.5D)", f"(({y} + 0.5D) * (h / {h}) - 0.5D)"
-    x0, y0 = f"least(greatest(floor({sx}), 0), w - 1)", f"least(greatest(floor({sy}), 0), h - 1)"
-    fx, fy = f"if({sx} < 0 or {sx} >= w - 1, 0D, {sx} - floor({sx}))", f"if({sy} < 0 or {sy} >= h - 1, 0D, {sy} - floor({sy}))"
-    x1, y1 = f"least({x0} + 1, w - 1)", f"least({y0} + 1, h - 1)"
-    total = f"{_at(x0, y0)} * (1 - {fx}) * (1 - {fy}) + {_at(x1, y0)} * {fx} * (1 - {fy}) + {_at(x0, y1)} * (1 - {fx}) * {fy} + {_at(x1, y1)} * {fx} * {fy}"
-    return f"cast(floor({total} + 0.5D) as int)"
+def _axis(n: str, size: str, new: str, first: str = "0") -> str:
+    """Bilinear taps of n positions from `first` of an axis of `new` over one of `size`: the lower sample, the upper one and the upper's share."""
+    at = f"((k + {first} + 0.5D) * ({size} / {new}) - 0.5D)"
+    low = f"cast(least(greatest(floor({at}), 0), {size} - 1) as int)"
+    return f"transform(sequence(0, cast({n} as int) - 1), k -> named_struct('a', {low}, 'b', cast(least({low} + 1, {size} - 1) as int), 'f', if({at} < 0 or {at} >= {size} - 1, 0D, {at} - floor({at}))))"
+
+
+def _blended(df: DataFrame, xs: str, ys: str, w: str, h: str) -> DataFrame:
+    """New planes of size w x h from taps of both axes: rows of two samples each are mixed as the taps say."""
+    taps = df.withColumns({"_xs": F.expr(xs), "_ys": F.expr(ys)})
+    row = "transform(_xs, x -> {})"
+    mixed = "get(p, y.a * w + x.a) * (1 - x.f) * (1 - y.f) + get(p, y.a * w + x.b) * x.f * (1 - y.f) + get(p, y.b * w + x.a) * (1 - x.f) * y.f + get(p, y.b * w + x.b) * x.f * y.f"
+    new = f"flatten(transform(_ys, y -> {row.format(f'cast(floor({mixed} + 0.5D) as int)')}))"
+    return _with(taps, f"transform(planes, p -> {new})", w, h).drop("_xs", "_ys")
 
 
 def resize(df: DataFrame, width: int, height: int, interpolation="bilinear") -> DataFrame:
     if interpolation == "nearest":
         return _from(df, _at(f"least({{x}} * w div {width}, w - 1)", f"least({{y}} * h div {height}, h - 1)"), str(width), str(height))
-    return _from(df, _blend("{x}", "{y}", str(width), str(height)), str(width), str(height))
+    return _blended(df, _axis(str(width), "w", str(width)), _axis(str(height), "h", str(height)), str(width), str(height))
 
 
 def affine(df: DataFrame, scale=1.0, rotate=0.0, translate=(0, 0), shear=(0, 0), interpolation="bilinear", border_mode="constant", value=0) -> DataFrame:
@@ -160,6 +164,32 @@ def to_rgb(df: DataFrame) -> DataFrame:
     return _with(df, "if(size(planes) = 1, array_repeat(planes[0], 3), planes)")
 
 
+def hue_saturation_value(df: DataFrame, hue_shift=0, saturation_scale=1.0, value_scale=1.0) -> DataFrame:
+    """Hue, saturation and value in integers of eight bits, pixel by pixel; a formula that must match.
+
+    Each step is an array of structs that the next one reads, so nothing is computed twice.
+    """
+    if not hue_shift:
+        return saturation_value(df, saturation_scale, value_scale)
+    s, v = math.trunc(saturation_scale * 256), math.trunc(value_scale * 256)
+    whole = "transform(sequence(0, w * h - 1), i -> named_struct('r', get(planes[0], i), 'g', get(planes[1], i), 'b', get(planes[2], i)))"
+    steps = [
+        f"if(size(planes) = 3, {whole}, array())",
+        "transform(_q, e -> named_struct('r', e.r, 'g', e.g, 'b', e.b, 't', greatest(e.r, e.g, e.b), 'd', greatest(e.r, e.g, e.b) - least(e.r, e.g, e.b)))",
+        "transform(_q, e -> named_struct('t', e.t, 'd', e.d, 'hue', pmod(60D * case when e.d = 0 then 0D when e.t = e.r then (e.g - e.b) / cast(e.d as double) "
+        f"when e.t = e.g then (e.b - e.r) / cast(e.d as double) + 2 else (e.r - e.g) / cast(e.d as double) + 4 end + {int(hue_shift)}, 360D)))",
+        f"transform(_q, e -> named_struct('hue', e.hue, 'val', least(shiftright(e.t * {v} + 128, 8), 255), 'sat', least(shiftright(if(e.t > 0, least(255, e.d * 256 div e.t), 0) * {s} + 128, 8), 255)))",
+        "transform(_q, e -> named_struct('val', e.val, 'c', e.val * e.sat, 'k', cast(least(floor(e.hue / 60), 5) as int), 'm', cast(shiftright(e.val * e.sat * (255 - cast(floor(abs(e.hue / 60 % 2 - 1) * 255) as bigint)) + 128, 8) as bigint)))",
+    ]
+    for k, step in enumerate(steps):
+        df = df.withColumn("_q", F.expr(step))
+    part = "element_at(array({}), e.k + 1)"
+    rgb = [part.format(x) for x in ("e.c, e.m, 0, 0, e.m, e.c", "e.m, e.c, e.c, e.m, 0, 0", "0, 0, e.m, e.c, e.c, e.m")]
+    made = [f"transform(_q, e -> cast(if(e.c = 0, e.val, least(greatest(shiftright({x} + e.val * 256 - e.c, 8), 0), 255)) as int))" for x in rgb]
+    gray = f"transform(planes, p -> transform(p, x -> cast(least(shiftright(x * {v} + 128, 8), 255) as int)))"
+    return _with(df, f"case size(planes) when 3 then array({', '.join(made)}) when 1 then {gray} else planes end").drop("_q")
+
+
 def saturation_value(df: DataFrame, saturation_scale=1.0, value_scale=1.0) -> DataFrame:
     """Saturation and value scaled; hue stays."""
     s, v = float(saturation_scale), float(value_scale)
@@ -194,18 +224,15 @@ def auto_contrast(df: DataFrame, cutoff: float = 0.0, then=None) -> DataFrame:
 
 
 def equalize(df: DataFrame, then=None) -> DataFrame:
-    """Counts by image, channel and level, 256 rows at most each; later tables join the small side."""
-    flat = df.select("image_id", F.posexplode("planes").alias("c", "p")).where("c < 3").select("image_id", "c", F.explode("p").alias("v"))
-    counts = flat.groupBy("image_id", "c", "v").agg(F.count("*").alias("n"))
-    by = counts.groupBy("image_id", "c").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("b"))
-    by = by.withColumn("total", F.expr("aggregate(b, 0L, (a, e) -> a + e.n)"))
-    below = "aggregate(filter(b, e -> e.v <= k), 0L, (a, e) -> a + e.n)"
-    level = f"if(total = b[0].n, k, cast(floor(255D * greatest({below} - b[0].n, 0) / (total - b[0].n) + 0.5D) as int))"
+    """Tables inside the row: a plane's sorted samples give its levels and how many samples lie at or below each; no shuffle."""
+    ends = "filter(sequence(0, size(s) - 1), i -> i = size(s) - 1 or get(s, i + 1) <> get(s, i))"
+    level = "if(e[0] + 1 = size(s), get(s, i), cast(floor(255D * (i - e[0]) / (size(s) - 1 - e[0]) + 0.5D) as int))"
     if then:
         level = f"element_at({_literal(then)}, {level} + 1)"
-    by = by.withColumn("t", F.expr(f"transform(sequence(0, 255), k -> {level})"))
-    of = by.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("c", "t"))).alias("_t"))
-    return _with(df.join(of, "image_id"), "transform(planes, (p, c) -> if(c < 3, transform(p, v -> element_at(_t[c], v + 1)), p))").drop("_t")
+    table = f"transform(array({ends}), e -> named_struct('v', transform(e, i -> get(s, i)), 't', transform(e, i -> {level})))[0]"
+    new = f"transform(array(transform(array(array_sort(p)), s -> {table})[0]), q -> transform(p, v -> element_at(q.t, cast(array_position(q.v, v) as int))))[0]"
+    rest = f"transform(p, v -> element_at({_literal(then)}, v + 1))" if then else "p"
+    return _with(df, f"transform(planes, (p, c) -> if(c < 3 and size(p) > 0, {new}, {rest}))")
 
 
 def mixed_unit(at: str, seed: int) -> str:
@@ -231,12 +258,32 @@ def coarse_dropout(df: DataFrame, holes=8, hole_size=(0.08, 0.08), fill=0, seed=
     return _with(cut, f"transform(planes, p -> transform(p, (v, i) -> if({inside}, {fill}, v)))").drop("_holes")
 
 
-def grid_dropout(df: DataFrame, ratio=0.5, unit_size=16, fill=0, seed=0, size: tuple[int, int] | None = None) -> DataFrame:
-    """size: the images' width and height, by which the dropped cells are chosen."""
-    w, h = size
-    cols = -(-w // unit_size)
-    gone = _literal(sorted(dropped(cols * -(-h // unit_size), ratio, seed)))
-    return _with(df, f"transform(planes, p -> transform(p, (v, i) -> if(array_contains({gone}, cast((i div w) div {unit_size} * {cols} + (i % w) div {unit_size} as int)), {fill}, v)))")
+def mixed_normal(at: str, seed: int) -> str:
+    """Standard normal numbers by position, as the packed kernels draw them."""
+    return f"(sqrt(-2D * ln(1D - {mixed_unit(f'({at}) * 2', seed)})) * cos({2 * math.pi!r}D * {mixed_unit(f'({at}) * 2 + 1', seed)}))"
+
+
+def gauss_noise(df: DataFrame, mean=0, std=10, seed=0) -> DataFrame:
+    z = mixed_normal("cast(i as bigint) * size(planes) + c", seed)
+    return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> cast(floor(least(greatest(v + {float(mean)!r}D + {float(std)!r}D * {z}, 0D), 255D) + 0.5D) as int)))")
+
+
+def multiplicative_noise(df: DataFrame, multiplier=1, std=0.1, granularity="vector", block=8, seed=0) -> DataFrame:
+    sample = "cast(i as bigint) * size(planes) + c"
+    at = {"pixel": sample, "block": f"(i div w) div {block} * cast(ceil(w / {block}) as int) + (i % w) div {block}", "vector": f"({sample}) div 8"}[granularity if granularity in ("pixel", "block") else "vector"]
+    factor = f"({float(multiplier)!r}D + {float(std)!r}D * {mixed_normal(at, seed)})"
+    return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> cast(floor(least(greatest(v * {factor}, 0D), 255D) + 0.5D) as int)))")
+
+
+def grid_dropout(df: DataFrame, ratio=0.5, unit_size=16, fill=0, seed=0) -> DataFrame:
+    """The share of cells that come first in the order of their hashes, by each image's own size."""
+    u = int(unit_size)
+    cols = f"cast(ceil(w / {u}) as int)"
+    cells = f"({cols} * cast(ceil(h / {u}) as int))"
+    ranked = f"array_sort(transform(sequence(0, {cells} - 1), k -> named_struct('u', {mixed_unit('k', seed)}, 'k', k)))"
+    gone = f"transform(slice({ranked}, 1, cast(ceil(round({cells} * {float(ratio)!r}D, 9)) as int)), e -> e.k)"
+    cut = df.withColumn("_gone", F.expr(gone))
+    return _with(cut, f"transform(planes, p -> transform(p, (v, i) -> if(array_contains(_gone, cast((i div w) div {u} * {cols} + (i % w) div {u} as int)), {fill}, v)))").drop("_gone")
 
 
 def _near(dx: int, dy: int) -> str:
@@ -281,19 +328,23 @@ def sobel(df: DataFrame) -> DataFrame:
     return _from(df, f"if(least(w, h) < 3, {_at('{x}', '{y}')}, {edge})")
 
 
+def best_grid(max_tiles: int = 6):
+    """A struct with the columns c and rows r that tables.select_grid takes for w and h."""
+    rows = ", ".join(f"named_struct('c', {c}, 'r', {r})" for c, r in T.grids(max_tiles))
+    error = "round(abs(ln(w / h) - ln(g.c / g.r)), 5)"
+    return F.expr(f"array_min(transform(array({rows}), g -> named_struct('e', {error}, 'm', -g.c * g.r, 'c', g.c, 'r', g.r)))")
+
+
 def any_res(df: DataFrame, tile_size: int = 448, max_tiles: int = 6, include_thumbnail: bool = True) -> DataFrame:
     """(image_id, tile, w, h, planes): grid choice is a minimum over a small literal array, tiles are an explode."""
-    grids = [(c, r) for c in range(1, max_tiles + 1) for r in range(1, max_tiles // c + 1)]
-    error = "round(abs(ln(w / h) - ln(g.c / g.r)), 5)"
-    rows = ", ".join(f"named_struct('c', {c}, 'r', {r})" for c, r in grids)
-    best = f"array_min(transform(array({rows}), g -> named_struct('e', {error}, 'm', -g.c * g.r, 'c', g.c, 'r', g.r)))"
-    g = df.withColumn("_g", F.expr(best)).withColumn("tile", F.expr(f"explode(sequence(0, _g.c * _g.r - {0 if include_thumbnail else 1}))"))
+    g = df.withColumn("_g", best_grid(max_tiles)).withColumn("tile", F.expr(f"explode(sequence(0, _g.c * _g.r - {0 if include_thumbnail else 1}))"))
     s = str(tile_size)
-    part = _blend(f"({{x}} + (tile % _g.c) * {s})", f"({{y}} + (tile div _g.c) * {s})", f"(_g.c * {s})", f"(_g.r * {s})")
-    return _from(g, f"if(tile < _g.c * _g.r, {part}, {_blend('{x}', '{y}', s, s)})", s, s).drop("_g")
+    place = {k: f"if(tile < _g.c * _g.r, {at}, 0) * {s}" for k, at in (("x", "tile % _g.c"), ("y", "tile div _g.c"))}
+    new = {k: f"if(tile < _g.c * _g.r, _g.{n} * {s}, {s})" for k, n in (("x", "c"), ("y", "r"))}
+    return _blended(g, _axis(s, "w", new["x"], place["x"]), _axis(s, "h", new["y"], place["y"]), s, s).drop("_g")
 
 
-def apply(df: DataFrame, op: Op, size: tuple[int, int] | None = None) -> DataFrame:
+def apply(df: DataFrame, op: Op) -> DataFrame:
     """One operation; random crops take the operation's own anchors."""
     p = op.params
     if (t := tables(op)) is not None:
@@ -306,16 +357,16 @@ def apply(df: DataFrame, op: Op, size: tuple[int, int] | None = None) -> DataFra
     if e := square(op):
         return turn(df, e)
     match op.name:
-        case "hue_saturation_value":
-            if p["hue_shift"]:
-                raise NotImplementedError("hue shifts run on packed images")
-            return saturation_value(df, p["saturation_scale"], p["value_scale"])
         case "random_crop":
             slack = {k: f"({n} - {p[m]})" for k, n, m in (("x", "w", "width"), ("y", "h", "height"))}
             return crop(df, *(f"least(cast({p['f' + k]!r}D * ({slack[k]} + 1) as int), {slack[k]})" for k in "xy"), p["width"], p["height"])
         case "gaussian_blur":
             return separable(df, *T.gauss_taps(p["kernel_size"]))
         case "gaussian_blur_sigma":
+            if p["quality"] == "fast" and p["sigma"] > 4:
+                for _ in range(3):
+                    df = box_blur(df, max(1, round(p["sigma"] * 0.94)))
+                return df
             return separable(df, *T.sigma_taps(p["sigma"]))
         case "sharpen":
             return convolve(df, [[float(v) for v in row] for row in T.sharpen(p["strength"])])
@@ -324,14 +375,12 @@ def apply(df: DataFrame, op: Op, size: tuple[int, int] | None = None) -> DataFra
         case "edge_detection":
             return convolve(df, T.LAPLACIAN) if p["method"] in ("laplacian", "prewitt") else sobel(df)
         case "grid_dropout":
-            return grid_dropout(df, p["ratio"], p["unit_size"], p["fill"], p["seed"], size)
-        case "gauss_noise" | "multiplicative_noise":
-            raise NotImplementedError("normal noise runs on packed images")
+            return grid_dropout(df, p["ratio"], p["unit_size"], p["fill"], p["seed"])
         case _:
             return globals()[op.name](df, **p)
 
 
-def run(df: DataFrame, stages, size: tuple[int, int] | None = None) -> DataFrame:
+def run(df: DataFrame, stages) -> DataFrame:
     for op in stages:
-        df = apply(df, op, size)
+        df = apply(df, op)
     return df

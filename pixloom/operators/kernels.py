@@ -65,7 +65,7 @@ def hue_saturation_value(img: np.ndarray, hue_shift=0, saturation_scale=1, value
         chroma = np.minimum(np.divide(value * spread * s, top, out=np.zeros_like(top), where=top > 0), value)
         part = np.divide(x - low, spread, out=np.zeros_like(x), where=spread > 0)
         return _round(value - chroma + chroma * part)
-    # integer hue, saturation and value of eight bits
+    # a formula that must match: integer hue, saturation and value of eight bits
     t, lo = top[..., 0].astype(np.int64), low[..., 0].astype(np.int64)
     d, (r, g, b) = t - lo, (img[..., k].astype(np.int64) for k in range(3))
     safe = np.maximum(d, 1)
@@ -216,35 +216,39 @@ def sobel(img: np.ndarray) -> np.ndarray:
     return _round(np.sqrt((gx * gx + gy * gy).astype(np.float64)))
 
 
-def _noise(seed: int, shape) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(key=seed)).standard_normal(shape)
+def mixed_unit(at: np.ndarray, seed: int) -> np.ndarray:
+    """A bounded congruential hash of positions to [0, 1); catalyst.mixed_unit is the same in SQL."""
+    low = np.int64(2147483647)
+    k = (np.asarray(at, np.int64) * 7919 + seed % 1000003) & low
+    for _ in range(4):
+        k = (k * 1103515245 + 12345) & low
+        k = ((k & 65535) << 15) + (k >> 16)  # low bits of the product are poor: turn them up
+    return k / 2147483648.0
+
+
+def mixed_normal(at: np.ndarray, seed: int) -> np.ndarray:
+    """Standard normal numbers by position."""
+    at = np.asarray(at, np.int64) * 2
+    return np.sqrt(-2 * np.log(1 - mixed_unit(at, seed))) * np.cos(2 * np.pi * mixed_unit(at + 1, seed))
 
 
 def gauss_noise(img: np.ndarray, mean=0, std=10, seed=0) -> np.ndarray:
-    return _round(img + mean + std * _noise(seed, img.shape))
+    return _round(img + mean + std * mixed_normal(np.arange(img.size), seed).reshape(img.shape))
 
 
 def multiplicative_noise(img: np.ndarray, multiplier=1, std=0.1, granularity="vector", block=8, seed=0) -> np.ndarray:
     """A factor for each sample (pixel), each square of block pixels, or each run of eight samples (vector)."""
     h, w, c = img.shape
     if granularity == "pixel":
-        f = _noise(seed, img.shape)
+        f = mixed_normal(np.arange(img.size), seed).reshape(img.shape)
     elif granularity == "block":
-        f = _noise(seed, (-(-h // block), -(-w // block), 1)).repeat(block, 0)[:h].repeat(block, 1)[:, :w]
+        rows, cols = -(-h // block), -(-w // block)
+        f = mixed_normal(np.arange(rows * cols), seed).reshape(rows, cols, 1).repeat(block, 0)[:h].repeat(block, 1)[:, :w]
     else:
-        f = _noise(seed, -(-h * w * c // 8)).repeat(8)[: h * w * c].reshape(img.shape)
+        f = mixed_normal(np.arange(-(-h * w * c // 8)), seed).repeat(8)[: h * w * c].reshape(img.shape)
     return _round(img * (multiplier + std * f))
 
 
-def mixed_unit(at: np.ndarray, seed: int) -> np.ndarray:
-    """A bounded congruential hash of positions to [0, 1); catalyst.mixed_unit is the same in SQL."""
-    k = (np.asarray(at, np.int64) * 7919 + seed % 1000003) % 2147483648
-    for _ in range(4):
-        k = (k * 1103515245 + 12345) % 2147483648
-        k = k % 65536 * 32768 + k // 65536  # low bits of the product are poor: turn them up
-    return k / 2147483648.0
-
-
 def salt_and_pepper(img: np.ndarray, amount=0.05, salt_vs_pepper=0.5, seed=0) -> np.ndarray:
     at = np.arange(img.size).reshape(img.shape)
     return np.where(mixed_unit(at, seed) < amount, np.where(mixed_unit(at + img.size, seed) < salt_vs_pepper, 255, 0), img).astype(np.uint8)
@@ -269,13 +273,8 @@ def coarse_dropout(img: np.ndarray, count, size, fill, seed) -> np.ndarray:
 
 
 def dropped(cells: int, ratio: float, seed: int) -> list[int]:
-    """ceil(cells * ratio) different cells, by steps near the golden ratio that share no factor with their number."""
-    if cells < 2:
-        return [0] * math.ceil(cells * ratio)
-    step = int(cells * 1.618033988749895) + 1 + seed % cells
-    while math.gcd(step, cells) > 1:
-        step += 1
-    return [(seed % cells + k * step) % cells for k in range(math.ceil(round(cells * ratio, 9)))]
+    """The share of cells that come first in the order of their hashes."""
+    return np.argsort(mixed_unit(np.arange(cells), seed), kind="stable")[: math.ceil(round(cells * ratio, 9))].tolist()
 
 
 def grid_dropout(img: np.ndarray, ratio=0.5, unit_size=16, fill=0, seed=0) -> np.ndarray:

@@ -32,9 +32,8 @@ class Plan:
     optimized: bool = True
 
     def explain(self) -> str:
-        saved = 100 * (1 - len(self.stages) / self.before) if self.before else 0
-        lines = [f"{self.before} transforms -> {len(self.stages)} execution nodes ({saved:.0f}% fusion)"]
-        return "\n".join([*lines, *(f"  {k}: {o}" for k, o in enumerate(self.stages)), *(f"  note: {n}" for n in self.notes)])
+        head = f"{len(self.stages)} {'stage' if len(self.stages) == 1 else 'stages'} for {self.before} operations"
+        return "\n".join([head, *(f"  [{k}] {o}" for k, o in enumerate(self.stages, 1)), *(f"  ({n})" for n in self.notes)])
 
     def mermaid(self) -> str:
         nodes = ["in([image])", *(f'n{k}["{o}"]' for k, o in enumerate(self.stages)), "out([image])"]

@@ -17,8 +17,7 @@ from .operators import catalyst as C
 from .operators import labels as L
 from .operators import mixing as M
 from .operators import packed as P
-from .operators.kernels import dropped
-from .plans.pipeline import Choice, Compose, Maybe, Transform
+from .plans.pipeline import Choice, Compose, Identity, Maybe, SomeOf, Transform, color_jitter
 from .plans.planner import plan
 from .plans.program import Op, Program
 from .schema import pixels
@@ -44,7 +43,7 @@ def _add(name: str, make, sql: str | None = None) -> None:
 
 def _image(name: str, op, sql: str | None, source=S.rgb) -> None:
     """op: planes -> planes, or an Op."""
-    f = (lambda df: C.apply(df, op, (8, 8))) if isinstance(op, Op) else op
+    f = (lambda df: C.apply(df, op)) if isinstance(op, Op) else op
     _add(name, lambda spark, d: pixels(f(source(spark, d))), sql)
 
 
@@ -118,10 +117,33 @@ _image("salt_and_pepper", Op("salt_and_pepper", {"amount": 0.2, "seed": SEED}),
 _u = {j: _mixed_sql(f"k * 4 + {j}", SEED) for j in range(4)}
 _holes = f", ends as (select k, ({_u[0]} * 2)::double as a, ({_u[1]} * 1)::double as b from (select unnest(range(3)) as k)), sized as (select k, floor(a)::int + 1 as hw, floor(b)::int + 1 as hh from ends), holes as (select hw, hh, floor({_u[2]} * (8 - hw))::int as hx, floor({_u[3]} * (8 - hh))::int as hy from sized)"
 _image("coarse_dropout", Op("coarse_dropout", {"holes": 3, "hole_size": (0.25, 0.375), "seed": SEED}), f"{RGB}{_holes} select image_id, c, y, x, case when exists (select 1 from holes where px.x between hx and hx + hw - 1 and px.y between hy and hy + hh - 1) then 0 else v end as v from px")
-_image("grid_dropout", Op("grid_dropout", {"ratio": 0.4, "unit_size": 2, "seed": SEED}), _values(f"case when (y // 2) * 4 + x // 2 in ({', '.join(map(str, dropped(16, 0.4, SEED)))}) then 0 else v end"))
-for _n, _p in {"gauss_noise": {"std": 12, "seed": SEED}, "multiplicative_noise": {"multiplier": 1.1, "granularity": "block", "block": 4, "seed": SEED}}.items():
-    _add(_n, lambda spark, d, op=Op(_n, _p): pixels(S.unpacked(P.transform(S.packed(S.rgb(spark, d)), Program([op])))))
-_add("hue_shift", lambda spark, d: pixels(S.unpacked(P.transform(S.packed(S.rgb(spark, d)), Program([Op("hue_saturation_value", {"hue_shift": 60, "saturation_scale": 1.2})])))))
+_cells = f", cells as (select k, row_number() over (order by {_mixed_sql('k', SEED)}, k) as n from (select unnest(range(16)) as k)), gone as (select k from cells where n <= ceil(16 * 0.4))"
+_image("grid_dropout", Op("grid_dropout", {"ratio": 0.4, "unit_size": 2, "seed": SEED}), f"{RGB}{_cells} select image_id, c, y, x, case when (y // 2) * 4 + x // 2 in (select k from gone) then 0 else v end as v from px")
+
+
+def _normal_sql(at: str, seed: int) -> str:
+    return f"(sqrt(-2 * ln(1 - {_mixed_sql(f'({at}) * 2', seed)})) * cos(2 * pi() * {_mixed_sql(f'({at}) * 2 + 1', seed)}))"
+
+
+def _noised(value: str) -> str:
+    return _values(f"floor(least(greatest({value}, 0), 255) + 0.5)")
+
+
+_image("gauss_noise", Op("gauss_noise", {"std": 12, "seed": SEED}), _noised(f"v + 12 * {_normal_sql(_pos, SEED)}"))
+for _n, _at in {"pixel": _pos, "block": "(y // 4) * 2 + x // 4", "vector": f"{_pos} // 8"}.items():
+    _image(f"multiplicative_noise_{_n}", Op("multiplicative_noise", {"multiplier": 1.1, "granularity": _n, "block": 4, "seed": SEED}), _noised(f"v * (1.1::double + 0.1::double * {_normal_sql(_at, SEED)})"))
+_add("gauss_noise_packed", lambda spark, d: pixels(S.unpacked(P.transform(S.packed(S.rgb(spark, d)), Program([Op("gauss_noise", {"std": 12, "seed": SEED})])))), _SQL["gauss_noise"])
+_hsv = (
+    ", q1 as (select *, greatest(r, g, b) as t, greatest(r, g, b) - least(r, g, b) as d from wide), "
+    "q2 as (select *, 60 * (case when d = 0 then 0 when t = r then (g - b) / d::double when t = g then (b - r) / d::double + 2 else (r - g) / d::double + 4 end) + 60 as raw from q1), "
+    f"q3 as (select *, raw - 360 * floor(raw / 360) as hue, least((t * 256 + 128) // 256, 255) as val, least(((case when t > 0 then least(255, d * 256 // t) else 0 end) * {int(1.2 * 256)} + 128) // 256, 255) as sat from q2), "
+    "q4 as (select *, val * sat as ch, least(floor(hue / 60), 5)::int as k, (val * sat * (255 - floor(abs(hue / 60 - 2 * floor(hue / 120) - 1) * 255)::int) + 128) // 256 as m from q3) "
+)
+_sector = {0: "[ch, m, 0, 0, m, ch]", 1: "[m, ch, ch, m, 0, 0]", 2: "[0, 0, m, ch, ch, m]"}
+_hue_sql = f"{RGB}{WIDE}{_hsv}" + " union all ".join(f"select image_id, {c} as c, y, x, (case when ch = 0 then val else least(greatest((({parts})[k + 1] + val * 256 - ch) // 256, 0), 255) end)::int as v from q4" for c, parts in _sector.items())
+HUE = Op("hue_saturation_value", {"hue_shift": 60, "saturation_scale": 1.2})
+_image("hue_shift", HUE, _hue_sql)
+_add("hue_shift_packed", lambda spark, d: pixels(S.unpacked(P.transform(S.packed(S.rgb(spark, d)), Program([HUE])))), _hue_sql)
 
 # --- geometry -----------------------------------------------------------------
 
@@ -169,8 +191,17 @@ _image("resize_bilinear", Op("resize", {"width": 12, "height": 5}), _bilinear(12
 _a, _b, _c, _d, _e, _f = T.inverse_affine(8, 8, 1.25, 30.0, (1, -1), (5, 0))
 _fx = "floor((floor(({b!r}::double * k + {c!r}::double) * 65536 + 0.5) + i * {a} + 32768) / 65536)"
 _image("affine_nearest", Op("affine", {"scale": 1.25, "rotate": 30.0, "translate": (1, -1), "shear": (5, 0), "interpolation": "nearest", "value": 3}), _gather(8, 8, _fx.format(a=int(__import__("math").floor(_a * 65536 + 0.5)), b=_b, c=_c), _fx.format(a=int(__import__("math").floor(_d * 65536 + 0.5)), b=_e, c=_f), "3"))
-_add("affine_bilinear", lambda spark, d: pixels(C.apply(S.rgb(spark, d), Op("affine", {"rotate": 20.0, "border_mode": "reflect"}))))
-_add("anyres_grid", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 40 + 200).alias("w"), (F.col("p_partkey") % 900 + 100).cast("int").alias("h")).withColumn("g", F.expr("array_min(transform(flatten(transform(sequence(1, 6), c -> transform(sequence(1, 6 div c), r -> named_struct('c', c, 'r', r)))), g -> named_struct('e', round(abs(ln(w / h) - ln(g.c / g.r)), 5), 'm', -g.c * g.r, 'c', g.c, 'r', g.r)))")).selectExpr("image_id", "w", "h", "g.c as cols", "g.r as rows"),
+_a, _b, _c, _d, _e, _f = T.inverse_affine(8, 8, 1.0, 20.0, (0, 0), (0, 0))
+_fixed = lambda b, c, a: f"floor(({b!r}::double * k + {c!r}::double) * 65536 + 0.5)::bigint + i * {__import__('math').floor(a * 65536 + 0.5)}"
+_fold = lambda x: f"(case when (({x}) % 16 + 16) % 16 >= 8 then 15 - (({x}) % 16 + 16) % 16 else (({x}) % 16 + 16) % 16 end)"
+_corner = " union all ".join(f"select i, k, {_fold(f'(sx >> 16) + {p}')} as px, {_fold(f'(sy >> 16) + {q}')} as py, {'fx' if p else '(256 - fx)'} * {'fy' if q else '(256 - fy)'} as share from spot" for p in (0, 1) for q in (0, 1))
+_affine_sql = (
+    f"{RGB}, raw as (select i, k, {_fixed(_b, _c, _a)} as sx, {_fixed(_e, _f, _d)} as sy from (select unnest(range(8)) as i) cross join (select unnest(range(8)) as k)), "
+    f"spot as (select *, (sx >> 8) & 255 as fx, (sy >> 8) & 255 as fy from raw), taps as ({_corner}) "
+    "select image_id, c, k::int as y, i::int as x, ((sum(v * share) + 32768)::bigint >> 16)::int as v from taps join px on px.x = taps.px and px.y = taps.py group by image_id, c, k, i"
+)
+_image("affine_bilinear", Op("affine", {"rotate": 20.0, "border_mode": "reflect"}), _affine_sql)
+_add("anyres_grid", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 40 + 200).alias("w"), (F.col("p_partkey") % 900 + 100).cast("int").alias("h")).withColumn("g", C.best_grid(6)).selectExpr("image_id", "w", "h", "g.c as cols", "g.r as rows"),
      "with i as (select p_partkey as image_id, (p_size * 40 + 200)::int as w, (p_partkey % 900 + 100)::int as h from part), g as (select c::int as c, r::int as r from (select unnest(range(1, 7)) as c) cross join (select unnest(range(1, 7)) as r) where c * r <= 6), s as (select image_id, w, h, c, r, row_number() over (partition by image_id order by round(abs(ln(w / h::double) - ln(c / r::double)), 5), c * r desc, c) as n from i cross join g) select image_id, w, h, c as cols, r as rows from s where n = 1")
 _tile = " union all ".join(f"select image_id, {2 * r + q} as tile, c, y - {4 * r} as y, x - {4 * q} as x, v from big where y between {4 * r} and {4 * r + 3} and x between {4 * q} and {4 * q + 3}" for r in (0, 1) for q in (0, 1))
 _small = _bilinear(4, 4).split("px as materialized", 1)[1].split("), ax as", 1)[1]
@@ -282,34 +313,47 @@ _add("draws", lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").sel
      f"select vec_id, round(-20 + 50 * {_units['uniform'][0]}, 6) as uniform, round(1 + floor({_units['integer'][0]} * 6), 6) as integer, ({_units['bernoulli'][0]} < 0.3::double)::int::double as bernoulli, round(5 + 2 * sqrt(-2 * ln(1 - {_units['normal'][0]})) * cos(2 * pi() * {_units['normal'][1]}), 6) as normal from embeddings")
 
 
-def _choice(spark: SparkSession, d: str) -> DataFrame:
-    """Each image takes one of three tables, by weights 2, 1 and 1."""
-    df, u = S.rgb(spark, d), D.unit_column(SEED, "choice")
-    k = F.when(u * 4 <= 2, 0).when(u * 4 <= 3, 1).otherwise(2)
-    tables = F.array(*(F.lit(t) for t in (T.invert(), T.brightness(40), T.solarize(100))))
-    return pixels(df.withColumn("_t", F.element_at(tables, k + 1)).withColumn("planes", F.expr("transform(planes, p -> transform(p, v -> element_at(_t, v + 1)))")).drop("_t"))
+def _through(pipe: Compose, source=S.rgb):
+    """The images after a random pipeline, on packed rows."""
+    return lambda spark, d: pixels(S.unpacked(P.transform(S.packed(source(spark, d)), pipe, SEED)))
 
 
-_roll = f"(4 * {D.unit_sql(SEED, 'choice')})"
-_add("choice", _choice, _values(f"case when {_roll} <= 2 then 255 - v when {_roll} <= 3 then least(255, v + 40) when v >= 100 then 255 - v else v end"))
-_add("maybe", lambda spark, d: pixels(S.gray(spark, d).withColumn("planes", F.when(D.unit_column(SEED, "maybe") < 0.5, F.expr("transform(planes, p -> transform(p, v -> 255 - v))")).otherwise(F.col("planes")))), _values(f"case when {D.unit_sql(SEED, 'maybe')} < 0.5::double then 255 - v else v end", GRAY))
-PIPE = Compose([Maybe(Transform("horizontal_flip"), 0.5), Choice([Transform("brightness", delta=(-30, 30)), Transform("gamma", gamma=(0.7, 1.4))]), Transform("random_crop", width=6, height=6), Transform("gauss_noise", std=(2, 8), p=0.5)])
-_add("pipeline_packed", lambda spark, d: pixels(S.unpacked(P.transform(S.packed(S.rgb(spark, d)), PIPE, SEED))))
-_add("pipeline_programs", lambda spark, d: P.programs(S.packed(S.rgb(spark, d)), PIPE, SEED))
+_roll = f"(4 * {D.unit_sql(SEED, '0/0/c')})"
+_add("choice", _through(Compose([Choice([Transform("invert"), Transform("brightness", delta=40), Transform("solarize", threshold=100)], weights=[2, 1, 1])])), _values(f"case when {_roll} <= 2 then 255 - v when {_roll} <= 3 then least(255, v + 40) when v >= 100 then 255 - v else v end"))
+_add("maybe", _through(Compose([Maybe(Transform("invert"), 0.5)]), S.gray), _values(f"case when {D.unit_sql(SEED, '0/0/p')} < 0.5::double then 255 - v else v end", GRAY))
+_ranks = " + ".join(f"(case when u{j} < u{{k}} or (u{j} = u{{k}} and {j} < {{k}}) then 1 else 0 end)" for j in range(3))
+_some = f", us as (select image_id, {', '.join(f'{D.unit_sql(SEED, f"0/0/s/{j}")} as u{j}' for j in range(3))} from whole), rk as (select image_id, {', '.join(f'{_ranks.format(k=k)} as r{k}' for k in range(3))} from us)"
+_each = lambda v, at: f"(case when r0 = {at} then 255 - {v} when r1 = {at} then least(255, {v} + 40) else {v} // 32 * 32 end)"
+_add("some_of", _through(Compose([SomeOf([Transform("invert"), Transform("brightness", delta=40), Transform("posterize", bits=3)], 2)])), f"{RGB}{_some}, one as (select px.*, r0, r1, r2, {_each('v', 0)} as v1 from px join rk using (image_id)) select image_id, c, y, x, {_each('v1', 1)}::int as v from one")
+_add("identity", _through(Compose([Identity()])), _values("v"))
+_jb, _jc = (f"(-{h!r}::double + {2 * h!r}::double * {D.unit_sql(SEED, f'0/0/{k}/{n}')})" for k, n, h in ((0, "delta", 51.0), (1, "factor", 0.2)))
+_add("color_jitter", _through(Compose([color_jitter(brightness=0.2, contrast=0.2)])), f"{RGB}, a as (select image_id, c, y, x, floor(least(greatest(v::float + ({_jb})::float, 0), 255)) as v from px) select image_id, c, y, x, floor(least(greatest((v::float - 128::float) * (0.8::double + {_jc} + 0.2::double)::float + 128::float, 0), 255))::int as v from a")
+PIPE = Compose([Maybe(Transform("horizontal_flip"), 0.5), Choice([Transform("brightness", delta=(-30, 30)), Transform("solarize", threshold=(60, 200))]), Transform("random_crop", width=6, height=6), Transform("gauss_noise", std=(2, 8), p=0.5)])
+_pu = {k: D.unit_sql(SEED, f"0/{k}") for k in ("0/p", "1/c", "1/0/delta", "1/1/threshold", "2/fx", "2/fy", "3/p", "3/std", "3/seed")}
+_seeded = f"(({_pos} * 2 + {{j}})::bigint * 7919 + sd) % 2147483648"
 
 
-def _video(spark: SparkSession, d: str) -> DataFrame:
-    """Every frame of a clip takes its clip's shift and flip."""
-    df = S.clips(spark, d)
-    shift = F.floor(D.Uniform(-40, 40).drawn(SEED, "video", "clip_id")).cast("int")
-    flip = D.unit_column(SEED, "video/flip", "clip_id") < 0.5
-    df = df.withColumn("_s", shift).withColumn("planes", F.expr("transform(planes, p -> transform(p, v -> least(greatest(v + _s, 0), 255)))"))
-    turned = C.turn(df.withColumn("_f", flip).withColumn("_p", F.col("planes")), "hflip").withColumn("planes", F.when(F.col("_f"), F.col("planes")).otherwise(F.col("_p")))
-    return pixels(turned)
+def _seeded_mix(j: int) -> str:
+    k = f"({_seeded.format(j=j).replace('y', 'ny').replace(' x', ' nx').replace('* 8', '* 6')})"
+    for _ in range(4):
+        k = f"({_step.format(k=k)})"
+    return f"({k} / 2147483648.0::double)"
 
 
-_us, _uf = D.unit_sql(SEED, "video", "(image_id // 8)"), D.unit_sql(SEED, "video/flip", "(image_id // 8)")
-_add("video_consistent", _video, f"{GRAY} select image_id, c, y, (case when {_uf} < 0.5::double then 7 - x else x end)::int as x, greatest(0, least(255, v + floor(-40 + 80 * {_us})))::int as v from px")
+_pipe_sql = (
+    f"{RGB}, dr as materialized (select image_id, {_pu['0/p']} < 0.5::double as flip, {_pu['1/c']} * 2 <= 1 as bright, (-30 + 60 * {_pu['1/0/delta']})::float as delta, floor(60 + 140 * {_pu['1/1/threshold']} + 0.5)::int as th, "
+    f"least(floor({_pu['2/fx']} * 3), 2)::int as ox, least(floor({_pu['2/fy']} * 3), 2)::int as oy, {_pu['3/p']} < 0.5::double as noisy, 2 + 6 * {_pu['3/std']} as std, floor({_pu['3/seed']} * 2147483648)::bigint % 1000003 as sd from whole), "
+    "a as (select px.image_id, c, y, case when flip then 7 - x else x end as x, case when bright then floor(least(greatest(v::float + delta, 0), 255))::int when v >= th then 255 - v else v end as v from px join dr using (image_id)), "
+    "b as materialized (select a.image_id, c, (y - oy)::int as ny, (x - ox)::int as nx, v, noisy, std, sd from a join dr using (image_id) where y >= oy and y < oy + 6 and x >= ox and x < ox + 6) "
+    f"select image_id, c, ny as y, nx as x, case when noisy then floor(least(greatest(v + std * sqrt(-2 * ln(1 - {_seeded_mix(0)})) * cos(2 * pi() * {_seeded_mix(1)}), 0), 255) + 0.5)::int else v end as v from b"
+)
+_add("pipeline_packed", _through(PIPE), _pipe_sql)
+_add("pipeline_programs", lambda spark, d: P.programs(S.packed(S.rgb(spark, d)), PIPE, SEED).selectExpr("image_id", "array_join(from_json(program, 'ops array<struct<op:string>>').ops.op, ',') as ops", "get_json_object(program, '$.version') as version"),
+     f"{RGB} select image_id, concat_ws(',', case when {_pu['0/p']} < 0.5::double then 'horizontal_flip' end, case when {_pu['1/c']} * 2 <= 1 then 'brightness' else 'solarize' end, 'random_crop', case when {_pu['3/p']} < 0.5::double then 'gauss_noise' end) as ops, '2' as version from whole")
+CLIP_PIPE = Compose([Transform("brightness", delta=(-40, 40)), Maybe(Transform("horizontal_flip"), 0.5)])
+_us, _uf = D.unit_sql(SEED, "0/0/delta", "(image_id // 8)"), D.unit_sql(SEED, "0/1/p", "(image_id // 8)")
+_add("video_consistent", lambda spark, d: pixels(S.unpacked(P.transform_video(S.packed(S.clips(spark, d)).withColumn("clip_id", F.expr("image_id div 8")), CLIP_PIPE, SEED))),
+     f"{GRAY} select image_id, c, y, (case when {_uf} < 0.5::double then 7 - x else x end)::int as x, floor(least(greatest(v::float + (-40 + 80 * {_us})::float, 0), 255))::int as v from px")
 
 # --- across images ----------------------------------------------------------------
 
