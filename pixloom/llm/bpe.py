@@ -179,4 +179,5 @@ def digested(tokens: DataFrame, id_col: str = "doc_id", path: str | None = None)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, and digest of what they decode to; odd rows as in `encoded`."""
     return digested(encoded(documents(spark, sf_dir)))

@@ -257,14 +257,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     in the same text.  Null ids come first.  Rows with an equal id and an equal
     text are one document and lose the same bytes; rows with an equal id and
     different texts are ordered by a hash of the text.  Null texts are empty.
+    Ids are integers; other columns ride along in `rest`.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("ids must be integers: their order says which of equal strings stays")
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("u")).first()
-    plain = ids.n == ids.u and docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    plain = ids.n == ids.u
     text = F.coalesce(F.col(text_col), F.lit(""))
-    doc = F.col(id_col).cast("long") if docs.schema[id_col].dataType.typeName() != "string" else F.xxhash64(id_col)
+    doc = F.col(id_col).cast("long")
     key = F.coalesce(doc, F.lit(0)) if plain else F.xxhash64(id_col, text)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
     base = docs.select(key.alias("key"), doc.alias("doc"), text.alias("text"), rest.alias("rest"))
@@ -383,4 +386,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_suffix(spark, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and runs, and digest of what is left of every document; odd rows as in `repeated`."""
     return removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
