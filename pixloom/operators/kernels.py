@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 from ..functions import tables as T
-from ..plans.program import Op, matrix, square, tables, window
+from ..plans.program import POINTWISE_TABLE, Op, matrix, square, tables, window
 
 
 def _round(x: np.ndarray) -> np.ndarray:
@@ -18,16 +18,30 @@ def _cut(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 255).astype(np.uint8)
 
 
+def looked_up(img: np.ndarray, table: bytes) -> np.ndarray:
+    """One table for all samples, by the interpreter's own byte map."""
+    return np.frombuffer(img.tobytes().translate(table), np.uint8).reshape(img.shape)
+
+
 def lookup(img: np.ndarray, op: Op) -> np.ndarray:
-    t, c = tables(op), img.shape[2]
-    if len(t) == 1:
-        return np.array(t[0], np.uint8)[img]
-    if c not in (3, 4):
-        return np.array(T.mean_shift(**op.params) if op.name == "rgb_shift" else t[0], np.uint8)[img]
-    out = img.copy()
-    for k in range(3):  # a fourth channel stays
-        out[..., k] = np.array(t[k], np.uint8)[img[..., k]]
-    return out
+    return table_stage(op)(img)
+
+
+def table_stage(op: Op):
+    """The function of a table operation, its tables built once."""
+    t = tables(op)
+    first, three = bytes(t[0]), [np.array(x, np.uint8) for x in t]
+    other = bytes(T.mean_shift(**op.params)) if op.name == "rgb_shift" else first
+
+    def run(img):
+        if len(three) == 1 or img.shape[-1] not in (3, 4):
+            return looked_up(img, first if len(three) == 1 else other)
+        out = img.copy()
+        for k in range(3):  # a fourth channel stays
+            out[..., k] = three[k][img[..., k]]
+        return out
+
+    return run
 
 
 def mix(img: np.ndarray, op: Op) -> np.ndarray:
@@ -42,7 +56,7 @@ def mix(img: np.ndarray, op: Op) -> np.ndarray:
 def to_gray(img: np.ndarray) -> np.ndarray:
     if img.shape[2] != 3:
         return img
-    x = img.astype(np.int32)
+    x = img.astype(np.uint16)
     return ((77 * x[..., :1] + 150 * x[..., 1:2] + 29 * x[..., 2:] + 128) >> 8).astype(np.uint8)
 
 
@@ -102,9 +116,13 @@ def auto_contrast(img: np.ndarray, cutoff=0.0, then=None) -> np.ndarray:
 
 
 def turn(img: np.ndarray, element: str) -> np.ndarray:
+    """A symmetry of the last axes but one; pixels move as whole items."""
     swap, fx, fy = T.SQUARE[element]
-    img = img.transpose(1, 0, 2) if swap else img
-    return img[:: -1 if fy else 1, :: -1 if fx else 1]
+    c = img.shape[-1]
+    x = np.ascontiguousarray(img).view(np.dtype((np.void, c)))[..., 0]
+    x = x.swapaxes(-1, -2) if swap else x
+    x = np.ascontiguousarray(x[..., :: -1 if fy else 1, :: -1 if fx else 1])
+    return x.view(np.uint8).reshape(*x.shape, c)
 
 
 def pad(img: np.ndarray, top, right, bottom, left, mode, value) -> np.ndarray:
@@ -171,19 +189,26 @@ def _around(img: np.ndarray, ry: int, rx: int) -> np.ndarray:
 
 
 def separable(img: np.ndarray, taps: list[int], scale: int) -> np.ndarray:
-    """Rows, then columns, each pass truncated to eight bits."""
-    r = len(taps) // 2
-    x, n = _around(img, 0, r).astype(np.int64), img.shape[1]
-    img = np.minimum(sum(t * x[:, k : k + n] for k, t in enumerate(taps)) // scale, 255)
-    x, n = _around(img, r, 0), img.shape[0]
-    return np.minimum(sum(t * x[k : k + n] for k, t in enumerate(taps)) // scale, 255).astype(np.uint8)
+    """Rows, then columns, each pass truncated to eight bits; in the narrowest integers that hold the sums."""
+    r, kind = len(taps) // 2, np.uint16 if 255 * sum(taps) < 1 << 16 else np.int32
+    bits = scale.bit_length() - 1
+    for axis in (1, 0):
+        x, n = _around(img, r * (axis == 0), r * (axis == 1)).astype(kind), img.shape[axis]
+        part = (lambda k: x[:, k : k + n]) if axis else (lambda k: x[k : k + n])  # noqa: B023
+        total = np.zeros(img.shape, kind)
+        for k, t in enumerate(taps):
+            if t:
+                total += part(k) if t == 1 else part(k) * kind(t)
+        img = np.minimum(total >> kind(bits) if scale == 1 << bits else total // kind(scale), 255).astype(np.uint8)
+    return img
 
 
 def convolve(img: np.ndarray, taps, scale=1) -> np.ndarray:
     """Integer taps truncate towards zero before the clip."""
     taps = np.asarray(taps)
     ry, rx = taps.shape[0] // 2, taps.shape[1] // 2
-    x, (h, w) = _around(img, ry, rx).astype(taps.dtype if taps.dtype.kind == "f" else np.int64), img.shape[:2]
+    x, (h, w) = _around(img, ry, rx).astype(taps.dtype if taps.dtype.kind == "f" else np.int32), img.shape[:2]
+    taps = taps.astype(x.dtype)
     total = sum(taps[j, i] * x[j : j + h, i : i + w] for j in range(taps.shape[0]) for i in range(taps.shape[1]) if taps[j, i])
     return _cut(np.trunc(total / scale) if scale != 1 else total)
 
@@ -192,7 +217,7 @@ def box_blur(img: np.ndarray, radius: int) -> np.ndarray:
     """The mean of what the window holds of the image, rounded, by rows and then columns."""
     for axis in (1, 0):
         n = img.shape[axis]
-        total = np.concatenate([np.zeros_like(img.take([0], axis), np.int64), img.cumsum(axis=axis, dtype=np.int64)], axis=axis)
+        total = np.concatenate([np.zeros_like(img.take([0], axis), np.int32), img.cumsum(axis=axis, dtype=np.int32)], axis=axis)
         lo, hi = np.maximum(np.arange(n) - radius, 0), np.minimum(np.arange(n) + radius + 1, n)
         size = (hi - lo).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
         img = ((total.take(hi, axis) - total.take(lo, axis) + size // 2) // size).astype(np.uint8)
@@ -211,7 +236,7 @@ def median_blur(img: np.ndarray, kernel_size=3) -> np.ndarray:
 def sobel(img: np.ndarray) -> np.ndarray:
     if min(img.shape[:2]) < 3:
         return img
-    x, (h, w) = _around(img, 1, 1).astype(np.int64), img.shape[:2]
+    x, (h, w) = _around(img, 1, 1).astype(np.int32), img.shape[:2]
     gx, gy = (sum(t[j][i] * x[j : j + h, i : i + w] for j in range(3) for i in range(3)) for t in (T.SOBEL_X, T.SOBEL_Y))
     return _round(np.sqrt((gx * gx + gy * gy).astype(np.float64)))
 
@@ -233,7 +258,7 @@ def mixed_normal(at: np.ndarray, seed: int) -> np.ndarray:
 
 
 def gauss_noise(img: np.ndarray, mean=0, std=10, seed=0) -> np.ndarray:
-    return _round(img + mean + std * mixed_normal(np.arange(img.size), seed).reshape(img.shape))
+    return _round(img.astype(np.float64) + mean + std * mixed_normal(np.arange(img.size), seed).reshape(img.shape))
 
 
 def multiplicative_noise(img: np.ndarray, multiplier=1, std=0.1, granularity="vector", block=8, seed=0) -> np.ndarray:
@@ -294,7 +319,7 @@ def normalize(img: np.ndarray, mean=0, std=1) -> np.ndarray:
 def apply(img: np.ndarray, op: Op) -> np.ndarray:
     """One operation on one image; the result may share memory with img."""
     p = op.params
-    if tables(op) is not None:
+    if op.name in POINTWISE_TABLE:
         return lookup(img, op)
     if matrix(op) is not None:
         return mix(img, op)
@@ -326,7 +351,46 @@ def apply(img: np.ndarray, op: Op) -> np.ndarray:
             return globals()[op.name](img, **p)
 
 
+def prepared(op: Op):
+    """(function of an image, whether it also takes a batch of equal sizes)."""
+    if op.name in POINTWISE_TABLE:
+        return table_stage(op), True
+    if element := square(op):
+        return (lambda img: turn(img, element)), True
+    if op.name == "crop":
+        def cut(img):
+            x, y, w, h = window(op, img.shape[-2], img.shape[-3])
+            return img[..., y : y + h, x : x + w, :]
+
+        return cut, True
+    if op.name in ("to_gray", "to_rgb") or op.name == "channel_shuffle":
+        return (lambda img: _last_axis(img, op)), True
+    return (lambda img: apply(img, op)), False
+
+
+def _last_axis(img: np.ndarray, op: Op) -> np.ndarray:
+    """Operations on the channels alone, on an image or a batch seen as one tall image."""
+    flat = apply(img.reshape(-1, *img.shape[-2:]), op)
+    return flat.reshape(*img.shape[:-1], flat.shape[-1])
+
+
 def run(img: np.ndarray, stages) -> np.ndarray:
     for op in stages:
         img = apply(img, op)
     return img
+
+
+def run_batch(batch: np.ndarray, stages) -> np.ndarray:
+    """Prepared stages over (n, height, width, channels): at once where all can, else image by image (which stays in cache)."""
+    if all(whole for _, whole in stages):
+        for f, _ in stages:
+            batch = f(batch)
+        return batch
+    out = None
+    for k, img in enumerate(batch):
+        for f, _ in stages:
+            img = f(img)
+        if out is None:
+            out = np.empty((len(batch), *img.shape), img.dtype)
+        out[k] = img
+    return out

@@ -21,7 +21,10 @@ READ = {"xywh": ("a", "b", "c", "d"), "xyxy": ("a", "b", "c - a", "d - b"), "cxc
 WRITE = {"xywh": ("x", "y", "bw", "bh"), "xyxy": ("x", "y", "x + bw", "y + bh"), "cxcywh": ("x + bw / 2", "y + bh / 2", "bw", "bh")}
 
 
-def _format(name: str, known) -> tuple[str, bool]:
+KNOWN_BOXES, KNOWN_POINTS = frozenset(READ), frozenset(["xy", "xyv"])
+
+
+def known_format(name: str, known) -> tuple[str, bool]:
     name = ALIASES.get(name, name)
     rel = name.startswith("rel_")
     if name.removeprefix("rel_") not in known:
@@ -31,7 +34,7 @@ def _format(name: str, known) -> tuple[str, bool]:
 
 def read_boxes(df: DataFrame, fmt: str = "xywh", columns=("a", "b", "c", "d")) -> DataFrame:
     """Four columns in a format -> x, y, bw, bh in pixels; relative formats are shares of w and h."""
-    fmt, rel = _format(fmt, READ)
+    fmt, rel = known_format(fmt, KNOWN_BOXES)
     four = dict(zip("abcd", (f"({c} * {n})" if rel else c for c, n in zip(columns, ("w", "h", "w", "h"), strict=True)), strict=True))
     sql = ["".join(four.get(ch, ch) for ch in e) for e in READ[fmt]]
     return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in columns], *(f"cast({e} as double) as {n}" for e, n in zip(sql, ("x", "y", "bw", "bh"), strict=True)))
@@ -39,21 +42,21 @@ def read_boxes(df: DataFrame, fmt: str = "xywh", columns=("a", "b", "c", "d")) -
 
 def write_boxes(df: DataFrame, fmt: str = "xywh", columns=("a", "b", "c", "d")) -> DataFrame:
     """x, y, bw, bh -> four columns in a format; relative formats use the final size."""
-    fmt, rel = _format(fmt, WRITE)
+    fmt, rel = known_format(fmt, KNOWN_BOXES)
     rest = [f"`{c}`" for c in df.columns if c not in ("x", "y", "bw", "bh")]
     return df.selectExpr(*rest, *(f"({e}){f' / {n}' if rel else ''} as {c}" for e, n, c in zip(WRITE[fmt], ("w", "h", "w", "h"), columns, strict=True)))
 
 
 def read_points(df: DataFrame, fmt: str = "xy", columns=("a", "b")) -> DataFrame:
     """Columns in a format -> x, y in pixels, and v: 2 (visible) where the format has none."""
-    fmt, rel = _format(fmt, ("xy", "xyv"))
+    fmt, rel = known_format(fmt, KNOWN_POINTS)
     a, b = (f"{c} * {n}" if rel else c for c, n in zip(columns, ("w", "h"), strict=False))
     v = columns[2] if fmt == "xyv" else "2"
     return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in columns], f"cast({a} as double) as x", f"cast({b} as double) as y", f"cast({v} as int) as v")
 
 
 def write_points(df: DataFrame, fmt: str = "xy", columns=("a", "b")) -> DataFrame:
-    fmt, rel = _format(fmt, ("xy", "xyv"))
+    fmt, rel = known_format(fmt, KNOWN_POINTS)
     rest = [f"`{c}`" for c in df.columns if c not in ("x", "y", "v")]
     a, b = ("x / w", "y / h") if rel else ("x", "y")
     return df.selectExpr(*rest, f"{a} as {columns[0]}", f"{b} as {columns[1]}", *([f"v as {columns[2]}"] if fmt == "xyv" else []))

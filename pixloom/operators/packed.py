@@ -19,45 +19,109 @@ def image(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)
 
 
-def _small(spark) -> None:
+def small_arrow_batches(spark) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 256:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)  # images are large rows
 
 
-@lru_cache(4096)
-def _planned(text: str, optimize: bool, channels: int, moves: bool):
-    program = Program.from_json(text)
+def planned(program: Program, optimize: bool, channels: int, moves: bool = False) -> list:
     return plan(program.moves() if moves else program, optimize, channels).stages
 
 
+@lru_cache(256)
+def _prepared(text: str, optimize: bool, channels: int, moves: bool):
+    """A fixed program's stages, tables built."""
+    return [kernels.prepared(op) for op in planned(Program.from_json(text), optimize, channels, moves)]
+
+
+def _samples(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each row's end) of a binary column without nulls, as views."""
+    if pa.types.is_large_binary(column.type):
+        kind = np.int64
+    else:
+        column, kind = column.cast(pa.binary()), np.int32
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of equally long rows (n, ...), as a view."""
+    n = len(rows)
+    rows = np.ascontiguousarray(rows)
+    each = rows.nbytes // max(1, n)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * each, each, dtype=np.int32) if each else np.zeros(n + 1, np.int32)), pa.py_buffer(rows.reshape(-1).view(np.uint8))])
+
+
+#: Bytes of a batch that is worked on at once.
+AT_ONCE = 64 << 20
+
+
 def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key: str = "image_id", optimize: bool = True, floats: bool = False, masks: bool = False) -> DataFrame:
     """images (PACKED and any other columns) after the pipeline, other columns untouched.
 
     Every row samples its own program by (seed, key); rows with an equal key,
     such as the frames of a clip, go through the same one.  With masks only what
     moves pixels applies.  With floats the last operation may be normalize and
-    data holds little-endian float32.  Null data stays null.
+    data holds little-endian float32.  Null data stays null.  A fixed program is
+    planned once, and images of equal size go through it together, as views of
+    the Arrow buffers.
     """
-    _small(images.sparkSession)
+    small_arrow_batches(images.sparkSession)
     columns, kinds = images.columns, images.schema
     at = {c: columns.index(c) for c in ("width", "height", "channels", "data", key)}
     fixed = isinstance(pipeline, Program) or pipeline.fixed()
     once = (pipeline if isinstance(pipeline, Program) else pipeline.program(seed)).to_json() if fixed else None
+    types = {"width": pa.int32(), "height": pa.int32(), "channels": pa.int32(), "data": pa.binary()}
+
+    def checked(out: np.ndarray) -> np.ndarray:
+        if out.dtype != np.uint8 and not floats:
+            raise ValueError("normalize makes float32: ask for floats=True")
+        return out
+
+    def alike(b):
+        """The images as one array, if all have one size and none is null."""
+        if not once or not b.num_rows or any(b.column(at[n]).null_count for n in types):
+            return None
+        w, h, c = (b.column(at[n]).to_numpy() for n in ("width", "height", "channels"))
+        if (w != w[0]).any() or (h != h[0]).any() or (c != c[0]).any() or not int(w[0]) * int(h[0]) * int(c[0]):
+            return None
+        data, ends = _samples(b.column(at["data"]))
+        return data[ends[0] : ends[-1]].reshape(len(w), int(h[0]), int(w[0]), int(c[0]))
 
     def run(batches):
+        last = None, []  # rows with equal keys often follow one another
         for b in batches:
+            whole = alike(b)
+            step = max(1, AT_ONCE // max(1, whole[0].size)) if whole is not None else 0
+            for lo in range(0, b.num_rows, step) if step else ():
+                part = whole[lo : lo + step]
+                Program.from_json(once).validate(part.shape[2], part.shape[1])
+                out = checked(kernels.run_batch(part, _prepared(once, optimize, part.shape[3], masks)))
+                size = {n: pa.array(np.full(len(out), v, np.int32)) for n, v in zip(("height", "width", "channels"), out.shape[1:], strict=True)}
+                new = size | {"data": _binary(out)}
+                yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(k).slice(lo, step) for k, n in enumerate(columns)], names=columns)
+            if step:
+                continue
             rows = []
             for w, h, c, data, k in zip(*(b.column(at[n]).to_pylist() for n in ("width", "height", "channels", "data", key)), strict=True):
                 if data is None:
                     rows.append((w, h, c, None))
                     continue
-                text = once or pipeline.program(seed, k).to_json()
-                out = kernels.run(image(data, w, h, c), _planned(text, optimize, c, masks))
-                if out.dtype != np.uint8 and not floats:
-                    raise ValueError("normalize makes float32: ask for floats=True")
-                rows.append((out.shape[1], out.shape[0], out.shape[2], np.ascontiguousarray(out).tobytes()))
-            new = dict(zip(("width", "height", "channels", "data"), zip(*rows, strict=True) if rows else [()] * 4, strict=True))
-            types = {"width": pa.int32(), "height": pa.int32(), "channels": pa.int32(), "data": pa.binary()}
+                if once:
+                    Program.from_json(once).validate(w, h)
+                    stages = _prepared(once, optimize, c, masks)
+                else:
+                    if last[0] != (k, c, w, h):
+                        program = pipeline.program(seed, k)
+                        program.validate(w, h)
+                        last = (k, c, w, h), [kernels.prepared(op) for op in planned(program, optimize, c, masks)]
+                    stages = last[1]
+                out = image(data, w, h, c)
+                for f, _ in stages:
+                    out = f(out)
+                rows.append((out.shape[1], out.shape[0], out.shape[2], np.ascontiguousarray(checked(out)).tobytes()))
+            new = dict(zip(types, zip(*rows, strict=True) if rows else [()] * 4, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(new[n], types[n]) if n in new else b.column(k) for k, n in enumerate(columns)], names=columns)
 
     return images.mapInArrow(run, kinds)
@@ -82,13 +146,13 @@ def programs(images: DataFrame, pipeline: Compose, seed: int = 0, key: str = "im
 
 def replay(images: DataFrame, key: str = "image_id") -> DataFrame:
     """images with a program column (JSON) after that program."""
-    _small(images.sparkSession)
+    small_arrow_batches(images.sparkSession)
     columns = [c for c in images.columns if c != "program"]
 
     def run(batches):
         for b in batches:
             rows = {c: b.column(k).to_pylist() for k, c in enumerate(b.schema.names)}
-            done = [kernels.run(image(d, w, h, c), _planned(t, True, c, False)) for d, w, h, c, t in zip(rows["data"], rows["width"], rows["height"], rows["channels"], rows["program"], strict=True)]
+            done = [kernels.run(image(d, w, h, c), planned(Program.from_json(t), True, c)) for d, w, h, c, t in zip(rows["data"], rows["width"], rows["height"], rows["channels"], rows["program"], strict=True)]
             rows |= {"width": [x.shape[1] for x in done], "height": [x.shape[0] for x in done], "channels": [x.shape[2] for x in done], "data": [np.ascontiguousarray(x).tobytes() for x in done]}
             types = {"width": pa.int32(), "height": pa.int32(), "channels": pa.int32(), "data": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], types.get(c, b.schema.field(c).type)) for c in columns], names=columns)
@@ -98,7 +162,7 @@ def replay(images: DataFrame, key: str = "image_id") -> DataFrame:
 
 def any_res(images: DataFrame, tile_size: int = 448, max_tiles: int = 6, include_thumbnail: bool = True, interpolation: str = "bilinear") -> DataFrame:
     """(image_id, tile, width, height, channels, data): tiles in reading order, the thumbnail last."""
-    _small(images.sparkSession)
+    small_arrow_batches(images.sparkSession)
 
     def run(batches):
         for b in batches:

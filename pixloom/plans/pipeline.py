@@ -153,6 +153,12 @@ class Compose(Node):
             return []
         return [o for k, t in enumerate(self.transforms) for o in t.sample(seed, key, f"{path}/{k}")]
 
+    def __call__(self, images, seed: int = 0, **targets):
+        """images with image, boxes, points and masks after each row's program; see operators.targets.annotated."""
+        from ..operators.targets import annotated
+
+        return annotated(images, self, seed, **targets)
+
     def program(self, seed: int = 0, key=0) -> Program:
         return Program(self.sample(seed, key))
 

@@ -17,6 +17,7 @@ from .operators import catalyst as C
 from .operators import labels as L
 from .operators import mixing as M
 from .operators import packed as P
+from .operators.targets import annotated
 from .plans.pipeline import Choice, Compose, Identity, Maybe, SomeOf, Transform, color_jitter
 from .plans.planner import plan
 from .plans.program import Op, Program
@@ -285,8 +286,10 @@ _box("bbox_hflip", Op("horizontal_flip"), {"x": "w - (x + bw)"})
 _box("bbox_vflip", Op("vertical_flip"), {"y": "h - (y + bh)"})
 _box("bbox_transpose", Op("transpose"), {"x": "y", "y": "x", "bw": "bh", "bh": "bw", "w": "h", "h": "w"})
 _box("bbox_rotate90", Op("rotate", {"angle": 90}), {"x": "h - (y + bh)", "y": "x", "bw": "bh", "bh": "bw", "w": "h", "h": "w"})
+_box("bbox_rotate180", Op("rotate", {"angle": 180}), {"x": "w - (x + bw)", "y": "h - (y + bh)"})
 _box("bbox_rotate270", Op("rotate", {"angle": 270}), {"x": "y", "y": "w - (x + bw)", "bw": "bh", "bh": "bw", "w": "h", "h": "w"})
 _box("bbox_crop", Op("crop", {"x": 20, "y": 15, "width": 60, "height": 50}), {"x": "greatest(x - 20, 0)", "y": "greatest(y - 15, 0)", "bw": "least(x + bw - 20, 60) - greatest(x - 20, 0)", "bh": "least(y + bh - 15, 50) - greatest(y - 15, 0)", "w": "60", "h": "50"}, "bw > 0 and bh > 0")
+_box("bbox_random_crop", Op("random_crop", {"width": 60, "height": 50, "fx": 0.4, "fy": 0.7}), {"x": "greatest(x - 24, 0)", "y": "greatest(y - 35, 0)", "bw": "least(x + bw - 24, 60) - greatest(x - 24, 0)", "bh": "least(y + bh - 35, 50) - greatest(y - 35, 0)", "w": "60", "h": "50"}, "bw > 0 and bh > 0")
 _box("bbox_pad", Op("pad", {"top": 3, "left": 5, "right": 7, "bottom": 1}), {"x": "x + 5", "y": "y + 3", "w": "w + 12", "h": "h + 4"})
 _box("bbox_resize", Op("resize", {"width": 60, "height": 150}), {"x": "x / 2", "y": "y * 1.5", "bw": "bw / 2", "bh": "bh * 1.5", "w": "60", "h": "150"})
 _cos, _sin = 0.8, 0.6
@@ -301,6 +304,9 @@ _point("keypoint_rotate90", Op("rotate", {"angle": 90}), {"x": "h - y", "y": "x"
 _point("keypoint_crop", Op("crop", {"x": 20, "y": 15, "width": 60, "height": 50}), {"x": "x - 20", "y": "y - 15", "w": "60", "h": "50"}, "x >= 0 and y >= 0 and x < 60 and y < 50")
 _point("keypoint_pad", Op("pad", {"top": 3, "left": 5}), {"x": "x + 5", "y": "y + 3", "w": "w + 5", "h": "h + 3"})
 _point("keypoint_resize", Op("resize", {"width": 60, "height": 150}), {"x": "x / 2", "y": "y * 1.5", "w": "60", "h": "150"})
+_half = lambda f: f.format("(x + 0.5)", "(y + 0.5)")  # noqa: E731  (pixel centres)
+_point("keypoint_affine", Op("affine", {"rotate": _rot}), {"x": f"{_half(_px)} - 0.5", "y": f"{_half(_py)} - 0.5"}, "x >= 0 and y >= 0 and x < w and y < h")
+_point("keypoint_transpose", Op("transpose"), {"x": "y", "y": "x", "w": "h", "h": "w"})
 LABELLED = Program([Op("brightness", {"delta": 9}), Op("horizontal_flip"), Op("rotate", {"angle": 90}), Op("pad", {"left": 4}), Op("resize", {"width": 52, "height": 60})])
 _add("bbox_program", lambda spark, d: _round6(L.write_boxes(L.apply_to_boxes(L.read_boxes(_boxes(spark, d)), LABELLED), "xyxy"), *"abcd"), f"{_BSQL}, m as (select image_id, box_no, tag, (h - (y + bh) + 4) / 2 as x, (w - (x + bw)) / 2 as y, bh / 2 as bw, bw / 2 as bh from q) select image_id, box_no, tag, 52 as w, 60 as h, round(x, 6) as a, round(y, 6) as b, round(x + bw, 6) as c, round(y + bh, 6) as d from m")
 MASKED = Program([Op("brightness", {"delta": 9}), Op("horizontal_flip"), Op("gaussian_blur"), Op("resize", {"width": 5, "height": 13})])
@@ -350,6 +356,47 @@ _pipe_sql = (
 _add("pipeline_packed", _through(PIPE), _pipe_sql)
 _add("pipeline_programs", lambda spark, d: P.programs(S.packed(S.rgb(spark, d)), PIPE, SEED).selectExpr("image_id", "array_join(from_json(program, 'ops array<struct<op:string>>').ops.op, ',') as ops", "get_json_object(program, '$.version') as version"),
      f"{RGB} select image_id, concat_ws(',', case when {_pu['0/p']} < 0.5::double then 'horizontal_flip' end, case when {_pu['1/c']} * 2 <= 1 then 'brightness' else 'solarize' end, 'random_crop', case when {_pu['3/p']} < 0.5::double then 'gauss_noise' end) as ops, '2' as version from whole")
+JOINT = Compose([Transform("brightness", delta=25), Maybe(Transform("horizontal_flip"), 0.5), Choice([Transform("rotate", angle=90), Transform("vertical_flip")]), Transform("random_crop", width=6, height=5)], bbox_format="pascal_voc", keypoint_format="rel_xyv")
+_ju = {k: D.unit_sql(SEED, f"0/{k}") for k in ("1/p", "2/c", "3/fx", "3/fy")}
+_joint = f", jd as materialized (select image_id, {_ju['1/p']} < 0.5::double as flip, {_ju['2/c']} * 2 <= 1 as turned, least(floor({_ju['3/fx']} * 3), 2)::int as ox, least(floor({_ju['3/fy']} * 4), 3)::int as oy from whole)"
+_boxes_of = "array(array(cast(image_id % 4 as double), cast(image_id % 3 as double), cast(image_id % 4 + 3 as double), cast(image_id % 3 + 2 as double), 1D), array(2D, cast(image_id % 5 as double), cast(image_id % 4 + 4 as double), cast(image_id % 5 + 3 as double), 2D))"
+_points_of = "array(array((image_id % 8) / 8D, (image_id % 7) / 8D, 2D, 1D), array(0.25D, (image_id % 6) / 8D, 1D, 2D))"
+
+
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    """Images with boxes, points and a mask (the image's first bytes), all through one random program."""
+    images = S.packed(S.rgb(spark, d)).selectExpr("*", f"{_boxes_of} as boxes", f"{_points_of} as points", "substring(data, 1, 64) as mask")
+    return JOINT(images, SEED, boxes="boxes", points="points", masks="mask")
+
+
+_bx = "select image_id, 1 as tag, (image_id % 4)::double as x, (image_id % 3)::double as y, 3::double as bw, 2::double as bh from whole union all select image_id, 2, 2, image_id % 5, image_id % 4 + 2, 3 from whole"
+_boxed_sql = (
+    f"{RGB}{_joint}, b0 as ({_bx}), b1 as (select b0.* exclude (x), case when flip then 8 - (x + bw) else x end as x, turned, ox, oy from b0 join jd using (image_id)), "
+    "b2 as (select image_id, tag, ox, oy, case when turned then 8 - (y + bh) else x end as x, case when turned then x else 8 - (y + bh) end as y, case when turned then bh else bw end as bw, case when turned then bw else bh end as bh from b1), "
+    "b3 as (select image_id, tag, greatest(x - ox, 0) as a, greatest(y - oy, 0) as b, least(x + bw - ox, 6) as c, least(y + bh - oy, 5) as d from b2) select image_id, tag, 6 as w, 5 as h, a, b, c, d from b3 where c > a and d > b"
+)
+_add("compose_labels", lambda spark, d: _joined(spark, d).select("image_id", "width", "height", F.explode("boxes").alias("e")).selectExpr("image_id", "cast(e[4] as int) as tag", "width as w", "height as h", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d"), _boxed_sql)
+_pt = "select image_id, 1 as tag, 2 as s, (image_id % 8)::double as x, (image_id % 7)::double as y from whole union all select image_id, 2, 1, 2, image_id % 6 from whole"
+_points_sql = (
+    f"{RGB}{_joint}, p0 as ({_pt}), p1 as (select p0.* exclude (x), case when flip then 8 - x else x end as x, turned, ox, oy from p0 join jd using (image_id)), "
+    "p2 as (select image_id, tag, s, case when turned then 8 - y else x end - ox as x, case when turned then x else 8 - y end - oy as y from p1) select image_id, tag, s, round(x / 6, 6) as x, round(y / 5, 6) as y from p2 where x >= 0 and y >= 0 and x < 6 and y < 5"
+)
+_add("compose_keypoints", lambda spark, d: _joined(spark, d).select("image_id", F.explode("points").alias("e")).selectExpr("image_id", "cast(e[3] as int) as tag", "cast(e[2] as int) as s", "round(e[0], 6) as x", "round(e[1], 6) as y"), _points_sql)
+_moved = "m1 as (select image_id, c, y, case when flip then 7 - x else x end as x, v, turned, ox, oy from m0 join jd using (image_id)), m2 as (select image_id, c, v, case when turned then 7 - y else x end - ox as x, case when turned then x else 7 - y end - oy as y from m1) select image_id, c, y::int as y, x::int as x, v from m2 where x between 0 and 5 and y between 0 and 4"
+_add("compose_masks", lambda spark, d: pixels(S.unpacked(_joined(spark, d).selectExpr("image_id", "width", "height", "1 as channels", "mask as data"))),
+     f"{RGB}{_joint}, m0 as (select image_id, 0 as c, ((y * 8 + x) * 3 + c) // 8 as y, ((y * 8 + x) * 3 + c) % 8 as x, v from px where (y * 8 + x) * 3 + c < 64), {_moved}")
+_add("compose_images", lambda spark, d: pixels(S.unpacked(_joined(spark, d))), f"{RGB}{_joint}, m0 as (select image_id, c, y, x, least(255, v + 25) as v from px), {_moved}")
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The same programs, stored as JSON texts and replayed on images and boxes."""
+    images = S.packed(S.rgb(spark, d)).withColumn("boxes", F.expr(_boxes_of))
+    stored = images.join(P.programs(images, JOINT, SEED), "image_id")
+    done = annotated(stored, None, boxes="boxes", program="program", bbox_format="pascal_voc")
+    return done.select("image_id", "width", "height", F.explode("boxes").alias("e")).selectExpr("image_id", "cast(e[4] as int) as tag", "width as w", "height as h", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d")
+
+
+_add("replayed_labels", _replayed, _boxed_sql)
 CLIP_PIPE = Compose([Transform("brightness", delta=(-40, 40)), Maybe(Transform("horizontal_flip"), 0.5)])
 _us, _uf = D.unit_sql(SEED, "0/0/delta", "(image_id // 8)"), D.unit_sql(SEED, "0/1/p", "(image_id // 8)")
 _add("video_consistent", lambda spark, d: pixels(S.unpacked(P.transform_video(S.packed(S.clips(spark, d)).withColumn("clip_id", F.expr("image_id div 8")), CLIP_PIPE, SEED))),
