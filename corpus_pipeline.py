@@ -46,11 +46,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("encode", encode)]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; tests hold near copies, repeated strings and encoding against brute force, quality against SQL and rates against numpy.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over all that its predecessor kept; nulls, repeats and odd texts as each stage's operator says."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
