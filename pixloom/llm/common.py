@@ -50,6 +50,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_RECORDS)
 
 
+def grouped(rows: DataFrame, by: str, split: list[str], part: list, whole: list, having: str) -> DataFrame:
+    """rows with figures of their group (equal `by`), for groups that meet `having`; no task holds a whole group.
+
+    Rows are dealt out by (by, salt), the salt from their columns `split`.  Each
+    (by, salt) gives partial figures `part`, each group the figures `whole` from
+    these, and they go back to the salts that the group has.  A hot group is thus
+    spread over all partitions.  Rows without a group go.  Rows are dealt out once if `part`
+    uses all their columns and no Python made them.
+    """
+    n = partitions(rows.sparkSession)
+    salt = F.coalesce(F.pmod(F.xxhash64(*split), F.lit(n)).cast("int"), F.lit(0))
+    dealt = rows.where(F.col(by).isNotNull()).withColumn("salt", salt).repartition(n, by, "salt")
+    parts = dealt.groupBy(by, "salt").agg(*part)
+    groups = parts.groupBy(by).agg(*whole, F.collect_list("salt").alias("salts")).where(having)
+    return dealt.join(groups.withColumn("salt", F.explode("salts")).drop("salts"), [by, "salt"]).drop("salt")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(row: struct of doc_id and the text's digest, text): ids may be null or repeat."""
     return docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text")

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches
+from .common import documents, grouped, partitions, small_batches
 
 #: Bytes of a string that counts as repeated, and of what an anchor is chosen by.
 LENGTH, K = 100, 32
-#: Documents sampled for splitters; the bound doesn't grow with the input.
+#: Documents sampled for splitters and hot anchors; the bound doesn't grow with the input.
 SAMPLE = 2_000
 #: Occurrences of an anchor above which its windows are dealt out by ranges of their offsets, and one by one.
 HOT, HUGE = 4096, 1 << 20
@@ -71,7 +71,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K
         return none, none, none, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         h = gram_hashes(data, k)
-    bits = np.uint64(int(len(h)).bit_length())
+    bits = np.uint64(32)  # whatever the data's length, so that equal windows choose alike
     mask = (np.uint64(1) << bits) - np.uint64(1)
     key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
     at = (_least(key, length - k + 1) & mask).astype(np.int64)
@@ -137,8 +137,6 @@ def suffix_runs(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> t
     return order, run
 
 
-
-
 def _parts(low: int, high: int, count: int, span: int = LENGTH - K + 1):
     """Ranges of the offsets low..high (bytes of a window before its anchor) that an anchor with count places is dealt out by.
 
@@ -250,6 +248,23 @@ def left(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def hot_anchors(some: DataFrame, every_nth: int, seen: int = 8, least: int = HOT) -> dict[int, int]:
+    """Anchors' hashes that a sample of texts shows to be hot, each with the places it has by the sample.
+
+    Each occurs `seen` times in the sample's different texts, so it is repeated
+    and need not be counted: its places skip the task that would count them.  A
+    hash that the sample doesn't show is counted; results are the same.
+    """
+
+    def hashes(batches):
+        for b in batches:
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(*_laid([text]))[3].view(np.int64))], names=["h"])
+
+    counts = some.dropDuplicates(["text"]).mapInArrow(hashes, "h long").groupBy("h").agg((F.count("*") * every_nth).alias("n"))
+    return {r.h: r.n for r in counts.where((F.col("n") >= seen * every_nth) & (F.col("n") > least)).collect()}
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, doc, text, rest: docs' other columns) and `windows`: ranges (a, z) of repeated windows' starts, null if there is none.
 
@@ -273,8 +288,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(key.alias("key"), doc.alias("doc"), text.alias("text"), rest.alias("rest"))
     # whole copies of an earlier text lose every window; the sort needn't see them
     digest = base.select("key", "doc", F.md5("text").alias("m"))
-    first = digest.groupBy("m").agg(F.min(F.struct("doc", "key")).alias("f"), F.count("*").alias("n")).where("n > 1").select("m", "f")
-    copies = digest.join(first, "m").where("not (doc <=> f.doc and key <=> f.key)").select("key", F.lit(True).alias("copy")).distinct()
+    least = F.min(F.struct("doc", "key")).alias("f"), F.count("*").alias("n")
+    every = grouped(digest, "m", ["doc", "key"], [*least], [F.min("f").alias("f"), F.sum("n").alias("n")], "n > 1")
+    copies = every.where("not (doc <=> f.doc and key <=> f.key)").select("key", F.lit(True).alias("copy")).distinct()
     held = base.repartition(n, "key").join(copies.hint("shuffle_hash"), "key", "left")
     rest_of = held.where("copy is null")
 
@@ -286,7 +302,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 at, _, _, h = anchors(data, ends)
                 own = np.searchsorted(ends, at, side="right")
                 first = np.searchsorted(own, np.arange(hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[lo:hi][own]), pa.array((np.arange(len(at)) - first[own]).astype(np.int32))], names=["h", "key", "no"])
+                h, no = h.view(np.int64), (np.arange(len(at)) - first[own]).astype(np.int32)
+                known = [hot.get(x) for x in h.tolist()]
+                salt = np.where([c is None for c in known], 0, (keys[lo:hi][own] + no) % n)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[lo:hi][own]), pa.array(no), pa.array(salt.astype(np.int32)), pa.array(known, pa.int64())], names=["h", "key", "no", "salt", "known"])
 
     tokens_of = lambda b: [int.from_bytes(t[a : a + 8], "big") for t in b.column("text").cast(pa.binary()).to_pylist() for a in anchors(*_laid([t]))[0].tolist()[::8]]
 
@@ -295,11 +314,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             got = np.array(tokens_of(b), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((got ^ np.uint64(1 << 63)).view(np.int64))], names=["lead"])
 
-    some = base.where(F.pmod(F.xxhash64("key"), F.lit(max(1, ids.n // SAMPLE))) == 0).mapInArrow(leads, "lead long")
-    cuts = some.agg(F.percentile_approx("lead", [k / n for k in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
+    every_nth = max(1, ids.n // SAMPLE)
+    some = base.where(F.pmod(F.xxhash64("key"), F.lit(every_nth)) == 0).select("text")
+    cuts = some.mapInArrow(leads, "lead long").agg(F.percentile_approx("lead", [k / n for k in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
     splitters = np.array(sorted(set(cuts)), np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    found = rest_of.mapInArrow(find, "h long, key long, no int").repartition(n, "h")
-    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    hot = hot_anchors(some, every_nth)
+    found = rest_of.mapInArrow(find, "h long, key long, no int, salt int, known long").repartition(n, "h", "salt")
+    counted = found.withColumn("n", F.coalesce("known", F.count("*").over(Window.partitionBy("h", "salt")))).where("n > 1")
     flagged = counted.groupBy("key").agg(F.collect_list(F.struct("no", F.least("n", F.lit(HUGE + 1)).cast("int").alias("n"))).alias("flagged"))
 
     def bring(batches):

@@ -283,6 +283,27 @@ def test_repeated_strings_against_brute_force(spark, corpus):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == naive_removed(corpus)
 
 
+def test_anchors_known_from_the_sample_change_nothing(spark, monkeypatch):
+    """Places of anchors that the sample shows skip the count; the same strings go, with copies and repeated ids too."""
+    rng = random.Random(12)
+    passage = prose(rng, 40)
+    rows = [(k, f"{prose(rng, 12)} {passage} {prose(rng, 12)}") for k in range(60)]
+    rows += [(k, rows[k % 7][1]) for k in range(60, 90)]
+    seen = {}
+    find = suffix_dedup.hot_anchors
+    monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda some, nth: seen.update(find(some, nth, 8, 0)) or {h: suffix_dedup.HOT + c for h, c in seen.items()})
+    got = suffix_dedup.removed(table(spark, rows)).collect()
+    assert seen and {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == naive_removed(rows)
+
+
+def test_anchors_do_not_depend_on_what_lies_beside_a_text():
+    text = np.frombuffer(prose(random.Random(3), 200).encode(), np.uint8)
+    alone = suffix_dedup.anchors(text, np.array([len(text)]))
+    more = np.r_[text, np.tile(text, 400)]
+    both = suffix_dedup.anchors(more, np.array([len(text), len(more)]))
+    assert all(np.array_equal(a, b[: len(a)]) for a, b in zip(alone, both, strict=True))
+
+
 def test_repeated_rows_keep_their_text(spark):
     text = prose(random.Random(9), 60)
     got = suffix_dedup.removed(table(spark, [(5, text), (5, text), (6, text), (None, "x")])).collect()
