@@ -50,7 +50,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_RECORDS)
 
 
-def grouped(rows: DataFrame, by: str, split: list[str], part: list, whole: list, having: str) -> DataFrame:
+def grouped(rows: DataFrame, by: str, split: list[str], part: list, whole: list, having: str = "true") -> DataFrame:
     """rows with figures of their group (equal `by`), for groups that meet `having`; no task holds a whole group.
 
     Rows are dealt out by (by, salt), the salt from their columns `split`.  Each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import grouped, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -13,13 +13,13 @@ def _stars(edges: DataFrame) -> DataFrame:
 
     Large: every neighbour above u hangs on the least of u and its neighbours.
     Small: every neighbour below u, and u, hang on the least of them.
+    Neighbours of a hub are spread over tasks.
     """
+    least = [F.min("v").alias("m")], [F.min("m").alias("m")]
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(low.select("u", F.col("m").alias("v"))).distinct()
+    large = grouped(both, "u", ["v"], *least).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    small = grouped(large, "u", ["v"], *least)
+    return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
