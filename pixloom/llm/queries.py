@@ -10,7 +10,7 @@ from .media import op3_media
 from .mixing import op6_mixing
 from .quality import op4_quality, op4_sql
 from .simhash import op1_simhash
-from .suffix_dedup import op5_suffix
+from .suffix_dedup import OP5_SQL, op5_suffix
 from .warc import OP8_SQL, op8_warc
 
 
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": op4_sql(), "op8_warc": OP8_SQL}
+    return {"op4_quality": op4_sql(), "op5_suffix": OP5_SQL, "op8_warc": OP8_SQL}

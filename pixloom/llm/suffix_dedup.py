@@ -409,3 +409,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op5_suffix(spark, sf_dir: str) -> DataFrame:
     """Bytes, removed bytes and runs, and digest of what is left of every document; odd rows as in `repeated`."""
     return removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS k FROM texts),
+ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_slice(b, k, k + {LENGTH - 1}) ORDER BY doc_id, k) AS nth FROM places),
+gone AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {LENGTH} THEN 0 ELSE 1 END AS starts FROM ranked WHERE nth > 1),
+runs AS (SELECT doc_id, k, sum(starts) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone),
+cuts AS (
+    SELECT doc_id, min(k) AS a, max(k) + {LENGTH} AS z FROM runs GROUP BY doc_id, run
+    UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) + 1 FROM texts
+),
+pieces AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a, z) AS f FROM cuts)
+SELECT doc_id, any_value(octet_length(b))::BIGINT AS n_bytes, sum(z - a)::BIGINT AS n_removed, count(*) FILTER (z > a)::BIGINT AS n_spans,
+    sha256(unhex(string_agg(CASE WHEN a > f THEN hex(array_slice(b, f, a - 1)) ELSE '' END, '' ORDER BY a, z))) AS kept_sha256
+FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id
+"""
