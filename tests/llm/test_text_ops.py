@@ -63,6 +63,15 @@ def naive_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_components_with_a_hub(spark):
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1040)]
+    edges += [(7, 7), (0, 1), (1, 0)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = [e for e in edges if e[0] != e[1]]
+    assert got == naive_components({x for e in linked for x in e}, linked)
+
+
 def naive_components(ids, linked):
     parent = {i: i for i in ids}
 
