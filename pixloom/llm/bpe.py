@@ -40,7 +40,8 @@ class Codec:
         self.words = {i: b for b, i in self.ranks.items()}
         self.names = {i: str(i) for i in self.words}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
+        # to this pattern a pre-token is whole, whatever it would be cut into without the text around it
+        self.one = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -52,8 +53,8 @@ class Codec:
         for p in [p for p in set(pieces) if p not in known]:
             if len(known) >= REMEMBERED:
                 known.clear()
-                return b"".join(array("i", self.one(p.encode())).tobytes() for p in pieces)
-            known[p] = array("i", self.one(p.encode())).tobytes()
+                return b"".join(array("i", self.one(p)).tobytes() for p in pieces)
+            known[p] = array("i", self.one(p)).tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:

@@ -421,6 +421,25 @@ def test_bpe_equals_library(spark, corpus):
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def merged(ranks, piece):
+    """Ids of a piece: the pair with the least rank, the first of them, joins until none has a rank."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_merges_against_brute_force(corpus):
+    codec = bpe.Codec(*bpe.vocabulary())
+    rng = random.Random(16)
+    pieces = {p for _, t in corpus[:60] for p in codec.pieces(t or "")} | {"".join(rng.choice("aabetz é漢\n=\U0001f600") for _ in range(rng.randint(1, 60))) for _ in range(300)}
+    for p in [*pieces, "a" * 700, " \n" * 300]:
+        assert np.frombuffer(codec.packed([p]), np.int32).tolist() == merged(codec.ranks, p.encode()), p
+
+
 # --- op 9 -----------------------------------------------------------------------
 
 
