@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AND_SPACE, keyed, one_of, partitions, small_batches, written
+from .common import LOWER_AND_SPACE, grouped, keyed, one_of, partitions, small_batches, written
 from .components import components
 
 #: Tiles that the fingerprints are dealt to, and the bounds of a tile's size; a task holds two tiles and their links.
@@ -270,15 +270,20 @@ def similar_forest(sets: list[np.ndarray], cut: int | None = None) -> tuple[np.n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def celled(near: DataFrame) -> DataFrame:
+    """near (component, node, size: numbers of a set) with the cells that its component's sets are dealt to."""
+    part = [F.count("*").alias("n"), F.sum("size").alias("numbers")]
+    count = F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.sum("numbers") * 8 / CELL_BYTES)).cast("int")
+    return grouped(near, "component", ["node"], part, [count.alias("cells")])
+
+
 def confirmed(members: DataFrame) -> DataFrame:
-    """(a, b): nodes of similar sets that connect all that similar sets connect; members is (node, component, found: bytes of the set).
+    """(a, b): nodes of similar sets that connect all that similar sets connect; members is (node, component, cells, found: bytes of the set).
 
     A component's members are dealt to cells by a hash of the node, so that a
     task compares two cells, however large the component is.
     """
-    count = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("found")).alias("bytes"))
-    count = count.select("component", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("cells"))
-    dealt = members.join(count, "component").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = members.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     pairs = dealt.select("component", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "node", "found")
 
     def compare(table):
@@ -321,13 +326,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     def whole(batches):
         for b in batches:
             found = [np.unique(shingle_hashes(t, WORDS)).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), pa.array(found, pa.binary())], names=["node", "component", "found"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "component", "cells")), pa.array(found, pa.binary())], names=["node", "component", "cells", "found"])
 
     # one row's text for each set that has candidates
-    asked = distinct.join(near, "node").select("k.doc_id", "k.digest", "node", "component")
+    cells = celled(near.join(distinct.select("node", "size"), "node").select("component", "node", "size"))
+    asked = distinct.select("node", "k").join(cells, "node").select("k.doc_id", "k.digest", "node", "component", "cells")
     texts = keyed(docs).select("row.doc_id", "row.digest", "text")
     same = F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.digest") == F.col("k.digest"))
-    members = texts.alias("t").join(asked.alias("k"), same).select("k.node", "k.component", "t.text").mapInArrow(whole, "node long, component long, found binary")
+    members = texts.alias("t").join(asked.alias("k"), same).select("k.node", "k.component", "k.cells", "t.text").mapInArrow(whole, "node long, component long, cells int, found binary")
     members = written(members.dropDuplicates(["node"]), "members")
     linked = components(written(confirmed(members), "confirmed"))
     of = distinct.select("node", "k").join(linked, "node", "left").withColumn("c", F.coalesce("component", "node"))
