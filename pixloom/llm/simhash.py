@@ -220,12 +220,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other.  Rows without an id link like others; a component without any id has
     a null component_id.  Repeated rows are kept, each with its component.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("rep")), "distinct")
+    prints = fingerprints(docs, id_col, text_col, words)
+    salt = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(partitions(docs.sparkSession))).cast("int"), F.lit(0))
+    prints = written(prints.withColumn("_salt", salt), "prints")
+    # a fingerprint's rows are counted and joined by (fingerprint, salt), so that a common one is spread over all tasks
+    parts = prints.groupBy("fingerprint", "_salt").agg(F.min(id_col).alias("rep"))
+    distinct = written(parts.groupBy("fingerprint").agg(F.min("rep").alias("rep"), F.collect_list("_salt").alias("salts")), "distinct")
     found = components(written(links(distinct.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("w0")), radius), "links"))
     of = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "rep", F.coalesce("component", "fingerprint").alias("c"))
-    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    return prints.join(of.join(least, "c").select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id")
+    least = grouped(of, "c", ["fingerprint"], [F.min("rep").alias("m")], [F.min("m").alias("component_id")]).select("fingerprint", "component_id")
+    told = distinct.select("fingerprint", F.explode("salts").alias("_salt")).join(least, "fingerprint")
+    return prints.join(told, ["fingerprint", "_salt"]).select(id_col, "fingerprint", "component_id")
 
 
 # --- similar texts ----------------------------------------------------------------
