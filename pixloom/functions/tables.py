@@ -33,7 +33,7 @@ def contrast(factor: float = 1) -> list[int]:
 def gamma(gamma: float = 1) -> list[int]:
     if gamma <= 0:
         raise ValueError("gamma must be positive")
-    return _bytes(f32(255) * np.power(LEVELS / f32(255), f32(gamma), dtype=np.float32))
+    return _bytes(f32(255) * np.power((LEVELS / f32(255)).astype(float), float(f32(gamma))).astype(f32))
 
 
 def invert() -> list[int]:

@@ -14,12 +14,25 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.draws import unit_column
-from ..plans.program import Op, matrix, square, tables
+from ..plans.program import POINTWISE_TABLE, Op, matrix, square, tables
 
 OTHERS = ("planes", "w", "h")
+#: A struct column of what a random pipeline draws for the row.
+DRAWN = "_drawn"
+
+
+class Sql(str):
+    """A parameter that is a column: SQL over the row's draws."""
+
+
+def number(x) -> str:
+    """A parameter as a double in SQL."""
+    return f"cast({x} as double)" if isinstance(x, Sql) else f"{float(x)!r}D"
 
 
 def _with(df: DataFrame, planes: str, w: str = "w", h: str = "h") -> DataFrame:
+    if DRAWN in planes:  # bound once a row, else each draw would be hashed again for every sample
+        planes = f"transform(array({DRAWN}), {DRAWN} -> {planes})[0]"
     rest = [f"`{c}`" for c in df.columns if c not in OTHERS]
     return df.selectExpr(*rest, f"cast({w} as int) as w", f"cast({h} as int) as h", f"{planes} as planes")
 
@@ -56,9 +69,9 @@ def turn(df: DataFrame, element: str) -> DataFrame:
     return _from(df, _at(y, x) if swap else _at(x, y), w, h)
 
 
-def crop(df: DataFrame, x, y, width: int, height: int) -> DataFrame:
-    """A window; x and y may be SQL.  A window that leaves the image is an error."""
-    fine = f"if(({x}) < 0 or ({y}) < 0 or ({x}) + {width} > w or ({y}) + {height} > h, raise_error('the window leaves the image'), true)"
+def crop(df: DataFrame, x, y, width: int, height: int, on: str = "true") -> DataFrame:
+    """A window; numbers may be SQL.  A window that leaves the image is an error in rows where `on` holds."""
+    fine = f"if(({on}) and (({x}) < 0 or ({y}) < 0 or ({x}) + {width} > w or ({y}) + {height} > h), raise_error('the window leaves the image'), true)"
     return _from(df.where(fine), _at(f"{{x}} + ({x})", f"{{y}} + ({y})"), str(width), str(height))
 
 
@@ -80,9 +93,9 @@ def _border(at: str, n: str, mode: str) -> str:
 
 
 def pad(df: DataFrame, top=0, right=0, bottom=0, left=0, mode="reflect", value=0) -> DataFrame:
-    x, y, w, h = f"({{x}} - {left})", f"({{y}} - {top})", f"(w + {left + right})", f"(h + {top + bottom})"
+    x, y, w, h = f"({{x}} - {left})", f"({{y}} - {top})", f"(w + {left} + {right})", f"(h + {top} + {bottom})"
     if mode == "constant" or value:
-        return _from(df, f"if({x} between 0 and w - 1 and {y} between 0 and h - 1, {_at(x, y)}, {int(value)})", w, h)
+        return _from(df, f"if({x} between 0 and w - 1 and {y} between 0 and h - 1, {_at(x, y)}, {value if isinstance(value, Sql) else int(value)})", w, h)
     return _from(df, _at(_border(x, "w", mode), _border(y, "h", mode)), w, h)
 
 
@@ -108,16 +121,29 @@ def resize(df: DataFrame, width: int, height: int, interpolation="bilinear") ->
     return _blended(df, _axis(str(width), "w", str(width)), _axis(str(height), "h", str(height)), str(width), str(height))
 
 
+def inverse(scale, rotate, translate, shear) -> tuple[tuple[str, ...], tuple]:
+    """((a, b, d, e), (x, y)): SQL of the source map's matrix, and the translation."""
+    tx, ty = (translate,) * 2 if isinstance(translate, int | float | Sql) else translate
+    if not any(isinstance(v, Sql) for v in (scale, rotate, shear)):
+        a, b, _, d, e, _ = T.inverse_affine(1, 1, scale, rotate, (0, 0), shear)
+        return tuple(f"{v!r}D" for v in (a, b, d, e)), (tx, ty)
+    kx, ky = (shear, 0) if isinstance(shear, int | float | Sql) else shear
+    kx, ky, angle = f"tan(radians({number(kx)}))", f"tan(radians({number(ky)}))", f"radians({number(rotate)})"
+    scales = [f"if(abs({number(v)}) > 1e-6D, 1 / {number(v)}, 1D)" for v in ((scale,) * 2 if isinstance(scale, int | float | Sql) else scale)]
+    det = f"if(abs(1 - {kx} * {ky}) > 1e-6D, 1 - {kx} * {ky}, 1D)"
+    first, second = (f"{scales[0]} * cos({angle})", f"-{scales[0]} * sin({angle})"), (f"{scales[1]} * sin({angle})", f"{scales[1]} * cos({angle})")
+    return tuple(f"(({x} * {m} + {y} * {n}) / {det})" for x, y in (first, second) for m, n in (("1", f"-{ky}"), (f"-{kx}", "1"))), (tx, ty)
+
+
 def affine(df: DataFrame, scale=1.0, rotate=0.0, translate=(0, 0), shear=(0, 0), interpolation="bilinear", border_mode="constant", value=0) -> DataFrame:
     """About each image's centre, in 16.16 fixed point."""
-    a, b, _, d, e, _ = T.inverse_affine(1, 1, scale, rotate, translate, shear)
-    tx, ty = (translate, translate) if isinstance(translate, int | float) else translate
-    fixed = lambda v: math.floor(v * 65536 + 0.5)
+    (a, b, d, e), (tx, ty) = inverse(scale, rotate, translate, shear)
+    fixed = lambda v: f"cast(floor({v} * 65536 + 0.5D) as bigint)"
     cx, cy = "((w - 1) / 2D)", "((h - 1) / 2D)"
-    c = f"({cx} - ({a!r}D * ({cx} + {tx}) + {b!r}D * ({cy} + {ty})))"
-    f = f"({cy} - ({d!r}D * ({cx} + {tx}) + {e!r}D * ({cy} + {ty})))"
-    sx = f"(floor(({b!r}D * {{y}} + {c}) * 65536 + 0.5D) + {{x}} * {fixed(a)})"
-    sy = f"(floor(({e!r}D * {{y}} + {f}) * 65536 + 0.5D) + {{x}} * {fixed(d)})"
+    c = f"({cx} - ({a} * ({cx} + {tx}) + {b} * ({cy} + {ty})))"
+    f = f"({cy} - ({d} * ({cx} + {tx}) + {e} * ({cy} + {ty})))"
+    sx = f"(floor(({b} * {{y}} + {c}) * 65536 + 0.5D) + {{x}} * {fixed(a)})"
+    sy = f"(floor(({e} * {{y}} + {f}) * 65536 + 0.5D) + {{x}} * {fixed(d)})"
 
     def at(x, y):
         if border_mode == "constant":
@@ -144,7 +170,7 @@ def _mixed(df: DataFrame, rows: list[str]) -> DataFrame:
 
 
 def mix(df: DataFrame, m) -> DataFrame:
-    return _mixed(df, [f"floor(least(greatest({float(a)!r}D * {{r}} + {float(b)!r}D * {{g}} + {float(c)!r}D * {{b}}, 0), 255))" for a, b, c in m])
+    return _mixed(df, [f"floor(least(greatest({number(a)} * {{r}} + {number(b)} * {{g}} + {number(c)} * {{b}}, 0), 255))" for a, b, c in m])
 
 
 def shuffle_channels(df: DataFrame, order) -> DataFrame:
@@ -153,7 +179,7 @@ def shuffle_channels(df: DataFrame, order) -> DataFrame:
 
 def scale_channels(df: DataFrame, r: float, g: float, b: float) -> DataFrame:
     """A diagonal matrix needs no look at other channels."""
-    return _with(df, f"if(size(planes) = 3, transform(planes, (p, c) -> transform(p, v -> cast(floor(least(greatest(v * element_at({_literal([float(r), float(g), float(b)])}, c + 1), 0), 255)) as int))), planes)")
+    return _with(df, f"if(size(planes) = 3, transform(planes, (p, c) -> transform(p, v -> cast(floor(least(greatest(v * element_at(array({number(r)}, {number(g)}, {number(b)}), c + 1), 0), 255)) as int))), planes)")
 
 
 def to_gray(df: DataFrame) -> DataFrame:
@@ -171,13 +197,14 @@ def hue_saturation_value(df: DataFrame, hue_shift=0, saturation_scale=1.0, value
     """
     if not hue_shift:
         return saturation_value(df, saturation_scale, value_scale)
-    s, v = math.trunc(saturation_scale * 256), math.trunc(value_scale * 256)
+    s, v = (f"cast({x} * 256 as int)" if isinstance(x, Sql) else math.trunc(x * 256) for x in (saturation_scale, value_scale))
+    hue_shift = hue_shift if isinstance(hue_shift, Sql) else int(hue_shift)
     whole = "transform(sequence(0, w * h - 1), i -> named_struct('r', get(planes[0], i), 'g', get(planes[1], i), 'b', get(planes[2], i)))"
     steps = [
         f"if(size(planes) = 3, {whole}, array())",
         "transform(_q, e -> named_struct('r', e.r, 'g', e.g, 'b', e.b, 't', greatest(e.r, e.g, e.b), 'd', greatest(e.r, e.g, e.b) - least(e.r, e.g, e.b)))",
         "transform(_q, e -> named_struct('t', e.t, 'd', e.d, 'hue', pmod(60D * case when e.d = 0 then 0D when e.t = e.r then (e.g - e.b) / cast(e.d as double) "
-        f"when e.t = e.g then (e.b - e.r) / cast(e.d as double) + 2 else (e.r - e.g) / cast(e.d as double) + 4 end + {int(hue_shift)}, 360D)))",
+        f"when e.t = e.g then (e.b - e.r) / cast(e.d as double) + 2 else (e.r - e.g) / cast(e.d as double) + 4 end + {hue_shift}, 360D)))",
         f"transform(_q, e -> named_struct('hue', e.hue, 'val', least(shiftright(e.t * {v} + 128, 8), 255), 'sat', least(shiftright(if(e.t > 0, least(255, e.d * 256 div e.t), 0) * {s} + 128, 8), 255)))",
         "transform(_q, e -> named_struct('val', e.val, 'c', e.val * e.sat, 'k', cast(least(floor(e.hue / 60), 5) as int), 'm', cast(shiftright(e.val * e.sat * (255 - cast(floor(abs(e.hue / 60 % 2 - 1) * 255) as bigint)) + 128, 8) as bigint)))",
     ]
@@ -192,12 +219,24 @@ def hue_saturation_value(df: DataFrame, hue_shift=0, saturation_scale=1.0, value
 
 def saturation_value(df: DataFrame, saturation_scale=1.0, value_scale=1.0) -> DataFrame:
     """Saturation and value scaled; hue stays."""
+    if isinstance(saturation_scale, Sql) or isinstance(value_scale, Sql):
+        s, v = number(saturation_scale), number(value_scale)
+        soft = (f"{s} * {v}", f"{v} * (1 - {s})")
+        return chosen(df, f"{s} <= 1 and {v} <= 1", lambda d: _softened(d, *soft), lambda d: _hexcone(d, s, v))
     s, v = float(saturation_scale), float(value_scale)
-    top, low = "greatest({r}, {g}, {b})", "least({r}, {g}, {b})"
     if s <= 1 and v <= 1:
-        return _mixed(df, [f"floor({s * v!r}D * {{{c}}} + {v * (1 - s)!r}D * {top} + 0.5D)" for c in "rgb"])
-    value = f"least({top} * {v!r}D, 255)"
-    chroma = f"if({top} > 0, least({value} * ({top} - {low}) * {s!r}D / {top}, {value}), 0D)"
+        return _softened(df, number(s * v), number(v * (1 - s)))
+    return _hexcone(df, number(s), number(v))
+
+
+def _softened(df: DataFrame, own: str, rest: str) -> DataFrame:
+    return _mixed(df, [f"floor({own} * {{{c}}} + {rest} * greatest({{r}}, {{g}}, {{b}}) + 0.5D)" for c in "rgb"])
+
+
+def _hexcone(df: DataFrame, s: str, v: str) -> DataFrame:
+    top, low = "greatest({r}, {g}, {b})", "least({r}, {g}, {b})"
+    value = f"least({top} * {v}, 255)"
+    chroma = f"if({top} > 0, least({value} * ({top} - {low}) * {s} / {top}, {value}), 0D)"
     return _mixed(df, [f"floor(least(greatest({value} - {chroma} + if({top} > {low}, {chroma} * ({{{c}}} - {low}) / ({top} - {low}), 0D), 0), 255) + 0.5D)" for c in "rgb"])
 
 
@@ -213,7 +252,7 @@ def auto_contrast(df: DataFrame, cutoff: float = 0.0, then=None) -> DataFrame:
     """One range for all channels; both ends come from the row's own samples."""
     if cutoff:
         flat = df.withColumn("_s", F.expr("sort_array(flatten(planes))"))
-        cut = f"cast(floor(size(_s) * {float(cutoff)!r}D + 0.5D) as int)"
+        cut = f"cast(floor(size(_s) * {number(cutoff)} + 0.5D) as int)"
         ends = flat.withColumns({"_lo": F.expr(f"coalesce(get(_s, {cut}), 255)"), "_hi": F.expr(f"coalesce(get(_s, size(_s) - 1 - {cut}), 0)")}).drop("_s")
     else:
         ends = df.withColumns({"_lo": F.expr("array_min(flatten(planes))"), "_hi": F.expr("array_max(flatten(planes))")})
@@ -237,14 +276,14 @@ def equalize(df: DataFrame, then=None) -> DataFrame:
 
 def mixed_unit(at: str, seed: int) -> str:
     """A bounded congruential hash of positions to [0, 1); no step leaves 64 bits."""
-    k = f"((cast({at} as bigint) * 7919 + {seed % 1000003}) % 2147483648)"
+    k = f"((cast({at} as bigint) * 7919 + {f'{seed} % 1000003' if isinstance(seed, Sql) else seed % 1000003}) % 2147483648)"
     step = "aggregate(sequence(1, 4), {k}, (a, _) -> (a * 1103515245 + 12345) % 65536 * 32768 + (a * 1103515245 + 12345) % 2147483648 div 65536)"
     return f"({step.format(k=k)} / 2147483648D)"
 
 
 def salt_and_pepper(df: DataFrame, amount=0.05, salt_vs_pepper=0.5, seed=0) -> DataFrame:
     at = "(cast(i as bigint) * size(planes) + c)"
-    new = f"if({mixed_unit(at, seed)} < {float(amount)!r}D, if({mixed_unit(f'{at} + w * h * size(planes)', seed)} < {float(salt_vs_pepper)!r}D, 255, 0), v)"
+    new = f"if({mixed_unit(at, seed)} < {number(amount)}, if({mixed_unit(f'{at} + w * h * size(planes)', seed)} < {number(salt_vs_pepper)}, 255, 0), v)"
     return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> {new}))")
 
 
@@ -265,13 +304,13 @@ def mixed_normal(at: str, seed: int) -> str:
 
 def gauss_noise(df: DataFrame, mean=0, std=10, seed=0) -> DataFrame:
     z = mixed_normal("cast(i as bigint) * size(planes) + c", seed)
-    return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> cast(floor(least(greatest(v + {float(mean)!r}D + {float(std)!r}D * {z}, 0D), 255D) + 0.5D) as int)))")
+    return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> cast(floor(least(greatest(v + {number(mean)} + {number(std)} * {z}, 0D), 255D) + 0.5D) as int)))")
 
 
 def multiplicative_noise(df: DataFrame, multiplier=1, std=0.1, granularity="vector", block=8, seed=0) -> DataFrame:
     sample = "cast(i as bigint) * size(planes) + c"
     at = {"pixel": sample, "block": f"(i div w) div {block} * cast(ceil(w / {block}) as int) + (i % w) div {block}", "vector": f"({sample}) div 8"}[granularity if granularity in ("pixel", "block") else "vector"]
-    factor = f"({float(multiplier)!r}D + {float(std)!r}D * {mixed_normal(at, seed)})"
+    factor = f"({number(multiplier)} + {number(std)} * {mixed_normal(at, seed)})"
     return _with(df, f"transform(planes, (p, c) -> transform(p, (v, i) -> cast(floor(least(greatest(v * {factor}, 0D), 255D) + 0.5D) as int)))")
 
 
@@ -281,7 +320,7 @@ def grid_dropout(df: DataFrame, ratio=0.5, unit_size=16, fill=0, seed=0) -> Data
     cols = f"cast(ceil(w / {u}) as int)"
     cells = f"({cols} * cast(ceil(h / {u}) as int))"
     ranked = f"array_sort(transform(sequence(0, {cells} - 1), k -> named_struct('u', {mixed_unit('k', seed)}, 'k', k)))"
-    gone = f"transform(slice({ranked}, 1, cast(ceil(round({cells} * {float(ratio)!r}D, 9)) as int)), e -> e.k)"
+    gone = f"transform(slice({ranked}, 1, cast(ceil(round({cells} * {number(ratio)}, 9)) as int)), e -> e.k)"
     cut = df.withColumn("_gone", F.expr(gone))
     return _with(cut, f"transform(planes, p -> transform(p, (v, i) -> if(array_contains(_gone, cast((i div w) div {u} * {cols} + (i % w) div {u} as int)), {fill}, v)))").drop("_gone")
 
@@ -302,7 +341,7 @@ def separable(df: DataFrame, taps: list[int], scale: int) -> DataFrame:
 def convolve(df: DataFrame, taps, scale: int = 1) -> DataFrame:
     """Integer sums truncate towards zero before the clip."""
     ry, rx = len(taps) // 2, len(taps[0]) // 2
-    total = " + ".join(f"{t!r}{'D' if isinstance(t, float) else ''} * {_near(i - rx, j - ry)}" for j, row in enumerate(taps) for i, t in enumerate(row) if t)
+    total = " + ".join(f"{number(t) if isinstance(t, float | Sql) else t} * {_near(i - rx, j - ry)}" for j, row in enumerate(taps) for i, t in enumerate(row) if t)
     part = f"({total}) div {scale}" if scale != 1 else f"floor({total})"
     return _from(df, f"cast(least(greatest({part}, 0), 255) as int)")
 
@@ -344,9 +383,85 @@ def any_res(df: DataFrame, tile_size: int = 448, max_tiles: int = 6, include_thu
     return _blended(g, _axis(s, "w", new["x"], place["x"]), _axis(s, "h", new["y"], place["y"]), s, s).drop("_g")
 
 
-def apply(df: DataFrame, op: Op) -> DataFrame:
+def chosen(df: DataFrame, on: str, then, otherwise=lambda df: df) -> DataFrame:
+    """then(df) in rows where `on` holds, otherwise(df) in the others; rows stay rows, and only what a row takes is computed for it."""
+    columns, k = [c for c in df.columns if c not in OTHERS], len(df.columns)  # k tells choices within choices apart
+    old, new = {c: f"_{c}{k}" for c in ("w", "h", "planes")}, {c: f"_{c}{k}_" for c in ("w", "h", "planes")}
+    one = then(df.withColumns({o: F.col(c) for c, o in old.items()})).withColumnsRenamed(new)
+    two = otherwise(one.withColumnsRenamed({o: c for c, o in old.items()}))
+    return two.selectExpr(*(f"`{c}`" for c in columns), *(f"if({on}, {new[c]}, {c}) as {c}" for c in ("w", "h", "planes")))
+
+
+def drawn_table(df: DataFrame, op: Op) -> DataFrame:
+    """A table operation whose parameters are columns: its formula, in the 32-bit steps of the tables."""
+    p, f = op.params, lambda x: f"cast({x} as float)"
+    clip = "cast(floor(least(greatest({}, 0), 255)) as int)"
+    formula = {
+        "brightness": lambda: clip.format(f"{f('v')} + {f(p['delta'])}"),
+        "contrast": lambda: clip.format(f"({f('v')} - {f(128)}) * {f(p['factor'])} + {f(128)}"),
+        "gamma": lambda: clip.format(f"{f(255)} * {f(f'pow({f("v / 255D")}, {f(p["gamma"])})')}"),
+        "posterize": lambda: f"shiftleft(shiftright(v, 8 - {p['bits']}), 8 - {p['bits']})",
+        "solarize": lambda: f"if(v >= {p['threshold']}, 255 - v, v)",
+        "rgb_shift": lambda: clip.format(f"{f('v')} + element_at(array({', '.join(f(p[k]) for k in ('r_shift', 'g_shift', 'b_shift'))}, {f(0)}), least(c, 3) + 1)"),
+    }[op.name]()
+    return _with(df, f"transform(planes, (p, c) -> transform(p, v -> {formula}))")
+
+
+def drawn_matrix(df: DataFrame, op: Op) -> DataFrame:
+    """A diagonal matrix whose parameters are columns."""
+    if op.name == "color_balance":
+        return scale_channels(df, op["r_scale"], op["g_scale"], op["b_scale"])
+    t = f"({number(op['temperature'])} / 100)"
+    warm, cold = Sql(f"1 + if({t} >= 0, 0.1D, 0.15D) * {t}"), Sql(f"1 - 0.2D * {t}")
+    return scale_channels(df, warm, warm, cold)
+
+
+def drawn_emboss(df: DataFrame, direction, alpha, strength) -> DataFrame:
+    """Taps as T.emboss builds them, from columns."""
+    a, b = number(alpha), number(strength)
+    signs = T.emboss(direction, 1.0, 1.0)  # 256 for each step along the rise
+
+    def tap(x: int, y: int) -> str | int:
+        if x == y == 1:
+            return f"cast(({a} + (1 - {a})) * 256 as int)"
+        along = signs[y][x] // 256
+        return f"cast({a} * ({abs(along)} - 1 + {b}) * {1 if along > 0 else -1} * 256 as int)" if along else 0
+
+    return convolve(df, [[tap(x, y) for x in range(3)] for y in range(3)], 256)
+
+
+def apply_drawn(df: DataFrame, op: Op, on: str = "true") -> DataFrame:
+    """One operation with parameters that are columns (Sql)."""
+    p = op.params
+    if op.name in POINTWISE_TABLE:
+        return drawn_table(df, op)
+    match op.name:
+        case "color_temperature" | "color_balance":
+            return drawn_matrix(df, op)
+        case "hue_saturation_value" if isinstance(p["hue_shift"], Sql):
+            return chosen(df, f"{p['hue_shift']} = 0", lambda d: saturation_value(d, p["saturation_scale"], p["value_scale"]), lambda d: hue_saturation_value(d, **p))
+        case "random_crop":
+            slack = {k: f"({n} - {p[m]})" for k, n, m in (("x", "w", "width"), ("y", "h", "height"))}
+            return crop(df, *(f"least(cast({number(p['f' + k])} * ({slack[k]} + 1) as int), {slack[k]})" for k in "xy"), p["width"], p["height"], on)
+        case "crop":
+            return crop(df, p["x"], p["y"], p["width"], p["height"], on)
+        case "sharpen":
+            k = p["strength"]
+            return convolve(df, [[0, Sql(f"-{k}"), 0], [Sql(f"-{k}"), Sql(f"1 + 4 * {k}"), Sql(f"-{k}")], [0, Sql(f"-{k}"), 0]])
+        case "emboss":
+            return drawn_emboss(df, **p)
+        case "grid_dropout":
+            return grid_dropout(df, p["ratio"], p["unit_size"], p["fill"], p["seed"])
+        case "hue_saturation_value" | "auto_contrast" | "pad" | "resize" | "affine" | "box_blur" | "gauss_noise" | "multiplicative_noise" | "salt_and_pepper" | "coarse_dropout":
+            return globals()[op.name](df, **p)
+    raise ValueError(f"{op.name} takes no drawn parameters on planes; run it on packed images")
+
+
+def apply(df: DataFrame, op: Op, on: str = "true") -> DataFrame:
     """One operation; random crops take the operation's own anchors."""
     p = op.params
+    if op.name in ("crop", "random_crop") or any(isinstance(v, Sql) for v in p.values()):
+        return apply_drawn(df, op, on)
     if (t := tables(op)) is not None:
         return lookup(df, t)
     if op.name == "channel_shuffle":
@@ -357,9 +472,6 @@ def apply(df: DataFrame, op: Op) -> DataFrame:
     if e := square(op):
         return turn(df, e)
     match op.name:
-        case "random_crop":
-            slack = {k: f"({n} - {p[m]})" for k, n, m in (("x", "w", "width"), ("y", "h", "height"))}
-            return crop(df, *(f"least(cast({p['f' + k]!r}D * ({slack[k]} + 1) as int), {slack[k]})" for k in "xy"), p["width"], p["height"])
         case "gaussian_blur":
             return separable(df, *T.gauss_taps(p["kernel_size"]))
         case "gaussian_blur_sigma":

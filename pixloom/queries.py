@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import draws as D
 from .functions import tables as T
 from .operators import catalyst as C
+from .operators import drawn as R
 from .operators import labels as L
 from .operators import mixing as M
 from .operators import packed as P
@@ -324,16 +325,21 @@ def _through(pipe: Compose, source=S.rgb):
     return lambda spark, d: pixels(S.unpacked(P.transform(S.packed(source(spark, d)), pipe, SEED)))
 
 
+def _drawn(pipe: Compose, source=S.rgb):
+    """The images after a random pipeline, on planes: draws and branches are columns."""
+    return lambda spark, d: pixels(R.images(source(spark, d), pipe, SEED))
+
+
 _roll = f"(4 * {D.unit_sql(SEED, '0/0/c')})"
-_add("choice", _through(Compose([Choice([Transform("invert"), Transform("brightness", delta=40), Transform("solarize", threshold=100)], weights=[2, 1, 1])])), _values(f"case when {_roll} <= 2 then 255 - v when {_roll} <= 3 then least(255, v + 40) when v >= 100 then 255 - v else v end"))
-_add("maybe", _through(Compose([Maybe(Transform("invert"), 0.5)]), S.gray), _values(f"case when {D.unit_sql(SEED, '0/0/p')} < 0.5::double then 255 - v else v end", GRAY))
+_add("choice", _drawn(Compose([Choice([Transform("invert"), Transform("brightness", delta=40), Transform("solarize", threshold=100)], weights=[2, 1, 1])])), _values(f"case when {_roll} <= 2 then 255 - v when {_roll} <= 3 then least(255, v + 40) when v >= 100 then 255 - v else v end"))
+_add("maybe", _drawn(Compose([Maybe(Transform("invert"), 0.5)]), S.gray), _values(f"case when {D.unit_sql(SEED, '0/0/p')} < 0.5::double then 255 - v else v end", GRAY))
 _ranks = " + ".join(f"(case when u{j} < u{{k}} or (u{j} = u{{k}} and {j} < {{k}}) then 1 else 0 end)" for j in range(3))
 _some = f", us as (select image_id, {', '.join(f'{D.unit_sql(SEED, f"0/0/s/{j}")} as u{j}' for j in range(3))} from whole), rk as (select image_id, {', '.join(f'{_ranks.format(k=k)} as r{k}' for k in range(3))} from us)"
 _each = lambda v, at: f"(case when r0 = {at} then 255 - {v} when r1 = {at} then least(255, {v} + 40) else {v} // 32 * 32 end)"
-_add("some_of", _through(Compose([SomeOf([Transform("invert"), Transform("brightness", delta=40), Transform("posterize", bits=3)], 2)])), f"{RGB}{_some}, one as (select px.*, r0, r1, r2, {_each('v', 0)} as v1 from px join rk using (image_id)) select image_id, c, y, x, {_each('v1', 1)}::int as v from one")
-_add("identity", _through(Compose([Identity()])), _values("v"))
+_add("some_of", _drawn(Compose([SomeOf([Transform("invert"), Transform("brightness", delta=40), Transform("posterize", bits=3)], 2)])), f"{RGB}{_some}, one as (select px.*, r0, r1, r2, {_each('v', 0)} as v1 from px join rk using (image_id)) select image_id, c, y, x, {_each('v1', 1)}::int as v from one")
+_add("identity", _drawn(Compose([Identity()])), _values("v"))
 _jb, _jc = (f"(-{h!r}::double + {2 * h!r}::double * {D.unit_sql(SEED, f'0/0/{k}/{n}')})" for k, n, h in ((0, "delta", 51.0), (1, "factor", 0.2)))
-_add("color_jitter", _through(Compose([color_jitter(brightness=0.2, contrast=0.2)])), f"{RGB}, a as (select image_id, c, y, x, floor(least(greatest(v::float + ({_jb})::float, 0), 255)) as v from px) select image_id, c, y, x, floor(least(greatest((v::float - 128::float) * (0.8::double + {_jc} + 0.2::double)::float + 128::float, 0), 255))::int as v from a")
+_add("color_jitter", _drawn(Compose([color_jitter(brightness=0.2, contrast=0.2)])), f"{RGB}, a as (select image_id, c, y, x, floor(least(greatest(v::float + ({_jb})::float, 0), 255)) as v from px) select image_id, c, y, x, floor(least(greatest((v::float - 128::float) * (0.8::double + {_jc} + 0.2::double)::float + 128::float, 0), 255))::int as v from a")
 PIPE = Compose([Maybe(Transform("horizontal_flip"), 0.5), Choice([Transform("brightness", delta=(-30, 30)), Transform("solarize", threshold=(60, 200))]), Transform("random_crop", width=6, height=6), Transform("gauss_noise", std=(2, 8), p=0.5)])
 _pu = {k: D.unit_sql(SEED, f"0/{k}") for k in ("0/p", "1/c", "1/0/delta", "1/1/threshold", "2/fx", "2/fy", "3/p", "3/std", "3/seed")}
 _seeded = f"(({_pos} * 2 + {{j}})::bigint * 7919 + sd) % 2147483648"
@@ -354,6 +360,7 @@ _pipe_sql = (
     f"select image_id, c, ny as y, nx as x, case when noisy then floor(least(greatest(v + std * sqrt(-2 * ln(1 - {_seeded_mix(0)})) * cos(2 * pi() * {_seeded_mix(1)}), 0), 255) + 0.5)::int else v end as v from b"
 )
 _add("pipeline_packed", _through(PIPE), _pipe_sql)
+_add("pipeline_planes", _drawn(PIPE), _pipe_sql)
 _add("pipeline_programs", lambda spark, d: P.programs(S.packed(S.rgb(spark, d)), PIPE, SEED).selectExpr("image_id", "array_join(from_json(program, 'ops array<struct<op:string>>').ops.op, ',') as ops", "get_json_object(program, '$.version') as version"),
      f"{RGB} select image_id, concat_ws(',', case when {_pu['0/p']} < 0.5::double then 'horizontal_flip' end, case when {_pu['1/c']} * 2 <= 1 then 'brightness' else 'solarize' end, 'random_crop', case when {_pu['3/p']} < 0.5::double then 'gauss_noise' end) as ops, '2' as version from whole")
 JOINT = Compose([Transform("brightness", delta=25), Maybe(Transform("horizontal_flip"), 0.5), Choice([Transform("rotate", angle=90), Transform("vertical_flip")]), Transform("random_crop", width=6, height=5)], bbox_format="pascal_voc", keypoint_format="rel_xyv")
@@ -375,13 +382,22 @@ _boxed_sql = (
     "b2 as (select image_id, tag, ox, oy, case when turned then 8 - (y + bh) else x end as x, case when turned then x else 8 - (y + bh) end as y, case when turned then bh else bw end as bw, case when turned then bw else bh end as bh from b1), "
     "b3 as (select image_id, tag, greatest(x - ox, 0) as a, greatest(y - oy, 0) as b, least(x + bw - ox, 6) as c, least(y + bh - oy, 5) as d from b2) select image_id, tag, 6 as w, 5 as h, a, b, c, d from b3 where c > a and d > b"
 )
-_add("compose_labels", lambda spark, d: _joined(spark, d).select("image_id", "width", "height", F.explode("boxes").alias("e")).selectExpr("image_id", "cast(e[4] as int) as tag", "width as w", "height as h", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d"), _boxed_sql)
+
+
+def _flat(spark: SparkSession, d: str, of: str) -> DataFrame:
+    """A row for each box or point of the images that `_joined` has."""
+    return S.rgb(spark, d).select("image_id", "w", "h", F.explode(F.expr(of)).alias("e"))
+
+
+_add("compose_labels", lambda spark, d: L.write_boxes(R.boxes(L.read_boxes(_flat(spark, d, _boxes_of).selectExpr("image_id", "w", "h", "cast(e[4] as int) as tag", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d"), JOINT.bbox_format), JOINT, SEED), JOINT.bbox_format), _boxed_sql)
+_add("compose_labels_packed", lambda spark, d: _joined(spark, d).select("image_id", "width", "height", F.explode("boxes").alias("e")).selectExpr("image_id", "cast(e[4] as int) as tag", "width as w", "height as h", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d"), _boxed_sql)
 _pt = "select image_id, 1 as tag, 2 as s, (image_id % 8)::double as x, (image_id % 7)::double as y from whole union all select image_id, 2, 1, 2, image_id % 6 from whole"
 _points_sql = (
     f"{RGB}{_joint}, p0 as ({_pt}), p1 as (select p0.* exclude (x), case when flip then 8 - x else x end as x, turned, ox, oy from p0 join jd using (image_id)), "
     "p2 as (select image_id, tag, s, case when turned then 8 - y else x end - ox as x, case when turned then x else 8 - y end - oy as y from p1) select image_id, tag, s, round(x / 6, 6) as x, round(y / 5, 6) as y from p2 where x >= 0 and y >= 0 and x < 6 and y < 5"
 )
-_add("compose_keypoints", lambda spark, d: _joined(spark, d).select("image_id", F.explode("points").alias("e")).selectExpr("image_id", "cast(e[3] as int) as tag", "cast(e[2] as int) as s", "round(e[0], 6) as x", "round(e[1], 6) as y"), _points_sql)
+_add("compose_keypoints", lambda spark, d: L.write_points(R.points(L.read_points(_flat(spark, d, _points_of).selectExpr("image_id", "w", "h", "cast(e[3] as int) as tag", "e[0] as a", "e[1] as b", "cast(e[2] as int) as s"), JOINT.keypoint_format, ("a", "b", "s")), JOINT, SEED), JOINT.keypoint_format, ("x", "y", "s")).selectExpr("image_id", "tag", "s", "round(x, 6) as x", "round(y, 6) as y"), _points_sql)
+_add("compose_keypoints_packed", lambda spark, d: _joined(spark, d).select("image_id", F.explode("points").alias("e")).selectExpr("image_id", "cast(e[3] as int) as tag", "cast(e[2] as int) as s", "round(e[0], 6) as x", "round(e[1], 6) as y"), _points_sql)
 _moved = "m1 as (select image_id, c, y, case when flip then 7 - x else x end as x, v, turned, ox, oy from m0 join jd using (image_id)), m2 as (select image_id, c, v, case when turned then 7 - y else x end - ox as x, case when turned then x else 7 - y end - oy as y from m1) select image_id, c, y::int as y, x::int as x, v from m2 where x between 0 and 5 and y between 0 and 4"
 _add("compose_masks", lambda spark, d: pixels(S.unpacked(_joined(spark, d).selectExpr("image_id", "width", "height", "1 as channels", "mask as data"))),
      f"{RGB}{_joint}, m0 as (select image_id, 0 as c, ((y * 8 + x) * 3 + c) // 8 as y, ((y * 8 + x) * 3 + c) % 8 as x, v from px where (y * 8 + x) * 3 + c < 64), {_moved}")
