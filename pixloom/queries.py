@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import draws as D
 from .functions import tables as T
+from .functions.permute import permuted_sql
 from .operators import catalyst as C
 from .operators import drawn as R
 from .operators import labels as L
@@ -24,6 +25,7 @@ from .plans.planner import plan
 from .plans.program import Op, Program
 from .schema import pixels
 from .sources import images as S
+from .sources import stored
 
 SEED = 7
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,7 +429,8 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BETA = ", ".join(map(str, T.beta_table(1.0)))
-_MIX = f", n as (select count(*) as n from embeddings), r as (select vec_id as image_id, label, row_number() over (order by vec_id) - 1 as k from embeddings), sh as (select 1 + floor({D.unit_sql(SEED, 'partner', '0')} * (n - 1))::bigint as s, n from n), plan as materialized (select r.image_id, r.label, o.image_id as partner, o.label as other, ([{_BETA}])[floor({D.unit_sql(SEED, 'share', 'r.image_id')} * 1024)::int + 1]::double as share from r cross join sh join r o on o.k = (r.k + s) % n)"
+_circle = permuted_sql("(select r.k, n.n from r cross join n)", "k", "n", SEED, "partner")
+_MIX = f", n as (select count(*) as n from embeddings), r as (select vec_id as image_id, label, row_number() over (order by vec_id) - 1 as k from embeddings), circle as materialized ({_circle}), placed as (select image_id, label, place from r join circle using (k)), plan as materialized (select r.image_id, r.label, o.image_id as partner, o.label as other, ([{_BETA}])[floor({D.unit_sql(SEED, 'share', 'r.image_id')} * 1024)::int + 1]::double as share from placed r cross join n join placed o on o.place = (r.place + 1) % n)"
 _add("mixup", lambda spark, d: pixels(M.mix_up(_labelled(spark, d), 1.0, SEED)), f"{GRAY}{_MIX} select p.image_id, p.c, p.y, p.x, floor(share * p.v + (1 - share) * o.v + 0.5)::int as v from plan join px p using (image_id) join px o on o.image_id = partner and o.y = p.y and o.x = p.x")
 
 
@@ -442,6 +445,20 @@ _add("cutmix", lambda spark, d: pixels(M.cut_mix(_labelled(spark, d), 1.0, SEED)
 _own = "(1 - (x1 - x0) * (y1 - y0) / 64.0::double)"
 _add("cutmix_labels", lambda spark, d: _soft(M.cut_mix(_labelled(spark, d), 1.0, SEED)), f"{GRAY}{_MIX}{_cut} select image_id, class, round({_own} * (label = class)::int + (1 - {_own}) * (other = class)::int, 6) as share from rect {_class}")
 _add("mosaic", lambda spark, d: pixels(M.mosaic(_labelled(spark, d))), f"{GRAY}, r as (select vec_id as image_id, row_number() over (order by vec_id) - 1 as k, count(*) over () as n from embeddings), q as (select min(image_id) over (partition by k // 4) as first, image_id, (k % 4)::int as part from r where k // 4 < n // 4) select first as image_id, c, (y // 2 + (part // 2) * 4)::int as y, (x // 2 + (part % 2) * 4)::int as x, v from q join px using (image_id) where x % 2 = 0 and y % 2 = 0")
+
+
+def _stored_mix(spark: SparkSession, d: str) -> DataFrame:
+    """MixUp, then Mosaic, by a plan that was stored as files before."""
+    images, path = _labelled(spark, d), stored.folder(spark)
+    stored.write_plan(M.mix_plan(images, ["mix_up", "mosaic"], SEED), path)
+    return pixels(M.replayed(images, stored.read_plan(spark, path)))
+
+
+_mixed_px = "mixed as (select p.image_id, p.c, p.y, p.x, floor(share * p.v + (1 - share) * o.v + 0.5)::int as v from plan join px p using (image_id) join px o on o.image_id = partner and o.y = p.y and o.x = p.x)"
+_fours = "q as (select min(image_id) over (partition by k // 4) as first, image_id, (k % 4)::int as part from r cross join n where k // 4 < n // 4)"
+_add("mix_plan_replayed", _stored_mix, f"{GRAY}{_MIX}, {_mixed_px}, {_fours} select first as image_id, c, (y // 2 + (part // 2) * 4)::int as y, (x // 2 + (part % 2) * 4)::int as x, v from q join mixed using (image_id) where x % 2 = 0 and y % 2 = 0")
+_add("mix_plan", lambda spark, d: M.cut_mix_plan(_labelled(spark, d), SEED).selectExpr("image_id", "members[0] as partner", "round(share, 6) as share", "x0", "y0", "x1", "y1"),
+     f"{GRAY}{_MIX}{_cut} select image_id, partner, round(share, 6) as share, x0::int as x0, y0::int as y0, x1::int as x1, y1::int as y1 from rect")
 _add("soft_labels", lambda spark, d: _labelled(spark, d).select("image_id", L.top_class("label").alias("class")), "select vec_id as image_id, label as class from embeddings")
 
 
