@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 
 #: Labelled texts that the model is fitted on at most, chosen by a hash of the id.
-LABELLED = 16_000
+LABELLED = 8_000
 BUCKETS, LEVELS, BEGINNINGS = 1 << 22, (1, 2, 4, 8), (4, 5, 6, 7)
-#: Texts of the sample that a term is in at least, and deviations that its share of toxic texts is off by.
-LEAST_TEXTS, DEVIATIONS = 5, 3.0
+#: Texts of the sample that a term is in at least (as a number and as a share), and deviations that its share of toxic texts is off by.
+LEAST_TEXTS, LEAST_SHARE, DEVIATIONS = 5, 0.002, 3.5
 #: Factors of a term, steps of the fit, their size and the penalties of weights and factors.
-FACTORS, STEPS, RATE, PENALTY = 8, 300, 0.05, (2e-4, 2e-3)
+FACTORS, STEPS, RATE, PENALTY = 8, 150, 0.05, (2e-4, 2e-3)
 #: From this score on a text is told toxic.
 TOXIC = 0.3
 WORD = re.compile(r"\w+")
@@ -133,7 +133,7 @@ def telling(counts: DataFrame, clean: int, toxic: int) -> list[int]:
     all_ = clean + toxic
     gap = F.col("toxic") / toxic - F.col("clean") / clean
     spread = F.sqrt((n + 1) / all_ * (1 - n / (all_ + 2)) * (1 / toxic + 1 / clean))
-    return sorted(r.bucket for r in counts.where((n >= LEAST_TEXTS) & (F.abs(gap) >= DEVIATIONS * spread)).select("bucket").collect())
+    return sorted(r.bucket for r in counts.where((n >= max(LEAST_TEXTS, LEAST_SHARE * all_)) & (F.abs(gap) >= DEVIATIONS * spread)).select("bucket").collect())
 
 
 def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, Machine]:
