@@ -355,7 +355,21 @@ def box_blur(df: DataFrame, radius: int = 1) -> DataFrame:
     return df
 
 
+def _triple(x: str, y: str, z: str, made: str) -> str:
+    """SQL `made` over t, a struct of the least (l), middle (m) and greatest (g) of three."""
+    ends = "least(e.x, e.y, e.z)", "greatest(e.x, e.y, e.z)"
+    three = f"transform(array(named_struct('x', {x}, 'y', {y}, 'z', {z})), e -> named_struct('l', {ends[0]}, 'm', e.x + e.y + e.z - {ends[0]} - {ends[1]}, 'g', {ends[1]}))"
+    return f"transform({three}, t -> {made})[0]"
+
+
 def median_blur(df: DataFrame, kernel_size: int = 3) -> DataFrame:
+    """3x3: columns of three are ordered once and shared by three windows; the median is the middle of the greatest least, the middle middle and the least greatest."""
+    if kernel_size == 3:
+        columns = f"transform(sequence(0, w * h - 1), i -> {_triple('get(p, i - if(i < w, 0, w))', 'get(p, i)', 'get(p, i + if(i >= w * h - w, 0, w))', 't')})"
+        sides = "get(q, i - if(i % w = 0, 0, 1))", "get(q, i)", "get(q, i + if(i % w = w - 1, 0, 1))"
+        low, high = (f"{f}({', '.join(f'{s}.{c}' for s in sides)})" for f, c in (("greatest", "l"), ("least", "g")))
+        middle = _triple(*(f"{s}.m" for s in sides), "t.m")
+        return _with(df, f"transform(planes, p -> transform(array({columns}), q -> transform(sequence(0, w * h - 1), i -> {_triple(low, middle, high, 't.m')}))[0])")
     r = kernel_size // 2
     taps = ", ".join(_near(i, j) for j in range(-r, r + 1) for i in range(-r, r + 1))
     return _from(df, f"element_at(sort_array(array({taps})), {kernel_size**2 // 2 + 1})")

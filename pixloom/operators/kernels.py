@@ -20,7 +20,7 @@ def _cut(x: np.ndarray) -> np.ndarray:
 
 def looked_up(img: np.ndarray, table: bytes) -> np.ndarray:
     """One table for all samples, by the interpreter's own byte map."""
-    return np.frombuffer(img.tobytes().translate(table), np.uint8).reshape(img.shape)
+    return np.frombuffer(np.ascontiguousarray(img).tobytes().translate(table), np.uint8).reshape(img.shape)
 
 
 def lookup(img: np.ndarray, op: Op) -> np.ndarray:
@@ -224,11 +224,21 @@ def box_blur(img: np.ndarray, radius: int) -> np.ndarray:
     return img
 
 
+def _ordered(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least, middle and greatest of three arrays, place by place."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(low, c), np.maximum(low, np.minimum(high, c)), np.maximum(high, c)
+
+
 def median_blur(img: np.ndarray, kernel_size=3) -> np.ndarray:
     if kernel_size not in (3, 5):
         raise ValueError("kernel_size must be 3 or 5")
     r, (h, w) = kernel_size // 2, img.shape[:2]
     x = _around(img, r, r)
+    if kernel_size == 3:  # columns of three are ordered once and shared by three windows
+        low, mid, high = _ordered(x[:h], x[1 : h + 1], x[2:])
+        side = lambda v: (v[:, :w], v[:, 1 : w + 1], v[:, 2:])
+        return _ordered(np.maximum.reduce(side(low)), _ordered(*side(mid))[1], np.minimum.reduce(side(high)))[1]
     taps = np.stack([x[j : j + h, i : i + w] for j in range(kernel_size) for i in range(kernel_size)])
     return np.partition(taps, len(taps) // 2, axis=0)[len(taps) // 2]
 
@@ -311,6 +321,16 @@ def grid_dropout(img: np.ndarray, ratio=0.5, unit_size=16, fill=0, seed=0) -> np
     return img
 
 
+def mosaic(images: list[np.ndarray]) -> np.ndarray:
+    """Every second pixel of four images, in the quadrants of one as large as the first; an odd size leaves a black edge."""
+    (h, w), c = images[0].shape[:2], images[0].shape[2]
+    out = np.zeros((h, w, c), np.uint8)
+    for k, img in enumerate(images):
+        y, x = k // 2 * (h // 2), k % 2 * (w // 2)
+        out[y : y + h // 2, x : x + w // 2] = img[: h // 2 * 2 : 2, : w // 2 * 2 : 2]
+    return out
+
+
 def normalize(img: np.ndarray, mean=0, std=1) -> np.ndarray:
     """float32; one mean and deviation, or one a channel."""
     return ((img.astype(np.float32) / np.float32(255) - np.asarray(mean, np.float32)) / np.asarray(std, np.float32)).astype(np.float32)
@@ -360,7 +380,7 @@ def prepared(op: Op):
     if op.name == "crop":
         def cut(img):
             x, y, w, h = window(op, img.shape[-2], img.shape[-3])
-            return img[..., y : y + h, x : x + w, :]
+            return np.ascontiguousarray(img[..., y : y + h, x : x + w, :])  # once here, else every later stage reads with gaps
 
         return cut, True
     if op.name in ("to_gray", "to_rgb") or op.name == "channel_shuffle":

@@ -26,6 +26,8 @@ from .plans.program import Op, Program
 from .schema import pixels
 from .sources import images as S
 from .sources import stored
+from .streaming.streams import LABELLED as LABELLED_IMAGES
+from .streaming.streams import mosaic_stream, write_stream
 
 SEED = 7
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -459,6 +461,21 @@ _fours = "q as (select min(image_id) over (partition by k // 4) as first, image_
 _add("mix_plan_replayed", _stored_mix, f"{GRAY}{_MIX}, {_mixed_px}, {_fours} select first as image_id, c, (y // 2 + (part // 2) * 4)::int as y, (x // 2 + (part % 2) * 4)::int as x, v from q join mixed using (image_id) where x % 2 = 0 and y % 2 = 0")
 _add("mix_plan", lambda spark, d: M.cut_mix_plan(_labelled(spark, d), SEED).selectExpr("image_id", "members[0] as partner", "round(share, 6) as share", "x0", "y0", "x1", "y1"),
      f"{GRAY}{_MIX}{_cut} select image_id, partner, round(share, 6) as share, x0::int as x0, y0::int as y0, x1::int as x1, y1::int as y1 from rect")
+
+
+def _streamed_mosaics(spark: SparkSession, d: str) -> DataFrame:
+    """The table as a stream through lanes with state, to files."""
+    path = f"{d}/embeddings.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream's path can't be one file
+    images = S.packed(S.gray_of(source)).withColumn("label", F.lit(None).cast("array<double>"))
+    out = stored.folder(spark)
+    write_stream(mosaic_stream(images, 8), f"{out}/images", f"{out}/state").awaitTermination()
+    return pixels(S.unpacked(spark.read.schema(LABELLED_IMAGES).parquet(f"{out}/images")))
+
+
+_lane = D.unit_sql(0, "lane", "vec_id")
+_add("mosaic_stateful", _streamed_mosaics,
+     f"{GRAY}, r as (select vec_id as image_id, floor({_lane} * 8)::int as lane, row_number() over (partition by floor({_lane} * 8)::int order by vec_id) - 1 as k, count(*) over (partition by floor({_lane} * 8)::int) as n from embeddings), q as (select min(image_id) over (partition by lane, k // 4) as first, image_id, (k % 4)::int as part from r where k // 4 < n // 4) select first as image_id, c, (y // 2 + (part // 2) * 4)::int as y, (x // 2 + (part % 2) * 4)::int as x, v from q join px using (image_id) where x % 2 = 0 and y % 2 = 0")
 _add("soft_labels", lambda spark, d: _labelled(spark, d).select("image_id", L.top_class("label").alias("class")), "select vec_id as image_id, label as class from embeddings")
 
 

@@ -15,8 +15,12 @@ from ..schema import PACKED
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8x8 gray image for each embedding, as planes; a projection of the scan."""
+    return gray_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def gray_of(embeddings: DataFrame) -> DataFrame:
     level = "cast(floor(least(greatest((cast(e as double) + 1) * 127.5D, 0), 255)) as int)"
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id as image_id", "8 as w", "8 as h", f"array(transform(embedding, e -> {level})) as planes")
+    return embeddings.selectExpr("vec_id as image_id", "8 as w", "8 as h", f"array(transform(embedding, e -> {level})) as planes")
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
