@@ -28,6 +28,11 @@ def planned(program: Program, optimize: bool, channels: int, moves: bool = False
     return plan(program.moves() if moves else program, optimize, channels).stages
 
 
+@lru_cache(256)
+def _parsed(text: str) -> Program:
+    return Program.from_json(text)
+
+
 @lru_cache(256)
 def _prepared(text: str, optimize: bool, channels: int, moves: bool):
     """A fixed program's stages, tables built."""
@@ -96,7 +101,7 @@ def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key
             step = max(1, AT_ONCE // max(1, whole[0].size)) if whole is not None else 0
             for lo in range(0, b.num_rows, step) if step else ():
                 part = whole[lo : lo + step]
-                Program.from_json(once).validate(part.shape[2], part.shape[1])
+                _parsed(once).validate(part.shape[2], part.shape[1])
                 out = checked(kernels.run_batch(part, _prepared(once, optimize, part.shape[3], masks)))
                 size = {n: pa.array(np.full(len(out), v, np.int32)) for n, v in zip(("height", "width", "channels"), out.shape[1:], strict=True)}
                 new = size | {"data": _binary(out)}
@@ -109,7 +114,7 @@ def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key
                     rows.append((w, h, c, None))
                     continue
                 if once:
-                    Program.from_json(once).validate(w, h)
+                    _parsed(once).validate(w, h)
                     stages = _prepared(once, optimize, c, masks)
                 else:
                     if last[0] != (k, c, w, h):
