@@ -82,6 +82,11 @@ def main() -> None:
             for optimize in (True, False):
                 rated(name + ("" if optimize else "_unplanned"), lambda df, p=program, o=optimize: P.transform(df, p, optimize=o), share)
         rated("packed_video", lambda df: P.transform_video(df.withColumn("clip_id", F.expr("image_id div 16")), clip, 7), 0.5)
+        # the same operations, drawn for every image and fixed
+        drawn = Compose([Maybe(Transform("horizontal_flip"), 0.5), Transform("brightness", delta=(-30, 30)), Transform("contrast", factor=(0.8, 1.2)), Transform("gamma", gamma=(0.8, 1.2)), Transform("random_crop", width=224, height=224)])
+        fixed = Program([Op("horizontal_flip"), Op("brightness", {"delta": 20}), Op("contrast", {"factor": 1.2}), Op("gamma", {"gamma": 0.8}), Op("crop", {"x": 16, "y": 16, "width": 224, "height": 224})])
+        rated("packed_random", lambda df: P.transform(df, drawn, 7), 0.5)
+        rated("packed_random_fixed", lambda df: P.transform(df, fixed), 0.5)
         for name, op, share in (("transpose", Op("transpose"), 0.5), ("auto_contrast", Op("auto_contrast"), 0.5), ("sharpen", Op("sharpen"), 0.2), ("gaussian5", Op("gaussian_blur", {"kernel_size": 5}), 0.2)):
             rated(f"packed_{name}", lambda df, o=op: P.transform(df, Program([o])), share, 1)
     finally:

@@ -32,6 +32,8 @@ def unit_sql(seed: int, stream: str, key: str = "image_id") -> str:
 class Distribution:
     """A parameter that is drawn for each image (or clip)."""
 
+    two = True  # whether `at` looks at its second number
+
     def at(self, u: float, u2: float) -> float:
         raise NotImplementedError
 
@@ -39,7 +41,7 @@ class Distribution:
         raise NotImplementedError
 
     def draw(self, seed: int, stream: str, key) -> float:
-        return self.at(unit(seed, stream, key), unit(seed, f"{stream}/2", key))
+        return self.at(unit(seed, stream, key), unit(seed, f"{stream}/2", key) if self.two else 0.0)
 
     def integer(self, seed: int, stream: str, key) -> int:
         """Floats are rounded, halves away from zero."""
@@ -57,6 +59,9 @@ class Constant(Distribution):
     def at(self, u, u2):
         return self.value
 
+    def draw(self, seed, stream, key):
+        return self.value
+
     def column(self, u, u2):
         return F.lit(self.value)
 
@@ -66,6 +71,7 @@ class Constant(Distribution):
 
 @dataclass(frozen=True)
 class Uniform(Distribution):
+    two = False
     min: float
     max: float
 
@@ -82,6 +88,7 @@ class Uniform(Distribution):
 
 @dataclass(frozen=True)
 class UniformInt(Distribution):
+    two = False
     min: int
     max: int
 
@@ -94,6 +101,7 @@ class UniformInt(Distribution):
 
 @dataclass(frozen=True)
 class Bernoulli(Distribution):
+    two = False
     p: float
 
     def at(self, u, u2):

@@ -15,25 +15,62 @@ LEVELS = np.arange(256, dtype=np.float32)
 
 
 def _bytes(x) -> list[int]:
-    return np.floor(np.clip(x, 0, 255)).astype(int).tolist()
+    return levels(x).tolist()
 
 
-def brightness(delta: float = 0) -> list[int]:
-    if not -255 <= delta <= 255:
+def levels(x) -> np.ndarray:
+    return np.floor(np.clip(x, 0, 255)).astype(np.uint8)
+
+
+def _each(x, kind=np.float32) -> np.ndarray:
+    """A parameter, or an array of one a row, against the 256 levels."""
+    return np.asarray(x, kind)[..., None]
+
+
+def brighter(delta) -> np.ndarray:
+    if not np.all((np.asarray(delta) >= -255) & (np.asarray(delta) <= 255)):
         raise ValueError("delta must be in [-255, 255]")
-    return _bytes(LEVELS + f32(delta))
+    return levels(LEVELS + _each(delta))
 
 
-def contrast(factor: float = 1) -> list[int]:
-    if factor < 0:
+def contrasted(factor) -> np.ndarray:
+    if not np.all(np.asarray(factor) >= 0):
         raise ValueError("factor must not be negative")
-    return _bytes((LEVELS - f32(128)) * f32(factor) + f32(128))
+    return levels((LEVELS - f32(128)) * _each(factor) + f32(128))
 
 
-def gamma(gamma: float = 1) -> list[int]:
-    if gamma <= 0:
+def powered(gamma) -> np.ndarray:
+    if not np.all(np.asarray(gamma) > 0):
         raise ValueError("gamma must be positive")
-    return _bytes(f32(255) * np.power((LEVELS / f32(255)).astype(float), float(f32(gamma))).astype(f32))
+    return levels(f32(255) * np.power((LEVELS / f32(255)).astype(float), _each(gamma).astype(float)).astype(f32))
+
+
+def posterized(bits) -> np.ndarray:
+    if not np.all((np.asarray(bits) >= 1) & (np.asarray(bits) <= 8)):
+        raise ValueError("bits must be in [1, 8]")
+    gone = 8 - _each(bits, np.int64)
+    return (np.arange(256) >> gone << gone).astype(np.uint8)
+
+
+def solarized(threshold) -> np.ndarray:
+    v = np.arange(256)
+    return np.where(v >= _each(threshold, np.float64), 255 - v, v).astype(np.uint8)
+
+
+def shifted(shift) -> np.ndarray:
+    return levels(LEVELS + _each(shift))
+
+
+def brightness(delta: float = 0) -> list[int]:
+    return brighter(delta).tolist()
+
+
+def contrast(factor: float = 1) -> list[int]:
+    return contrasted(factor).tolist()
+
+
+def gamma(gamma: float = 1) -> list[int]:
+    return powered(gamma).tolist()
 
 
 def invert() -> list[int]:
@@ -41,17 +78,15 @@ def invert() -> list[int]:
 
 
 def posterize(bits: int = 4) -> list[int]:
-    if not 1 <= bits <= 8:
-        raise ValueError("bits must be in [1, 8]")
-    return [v >> (8 - bits) << (8 - bits) for v in range(256)]
+    return posterized(bits).tolist()
 
 
 def solarize(threshold: int = 128) -> list[int]:
-    return [255 - v if v >= threshold else v for v in range(256)]
+    return solarized(threshold).tolist()
 
 
 def rgb_shift(r_shift: float = 0, g_shift: float = 0, b_shift: float = 0) -> list[list[int]]:
-    return [_bytes(LEVELS + f32(s)) for s in (r_shift, g_shift, b_shift)]
+    return [shifted(s).tolist() for s in (r_shift, g_shift, b_shift)]
 
 
 def mean_shift(r_shift: float = 0, g_shift: float = 0, b_shift: float = 0) -> list[int]:

@@ -6,13 +6,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..plans.pipeline import Compose
 from ..plans.planner import plan
 from ..plans.program import Program
 from ..schema import PACKED
-from . import kernels, tiling
+from . import grouped, kernels, tiling
 
 
 def image(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -58,10 +59,30 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * each, each, dtype=np.int32) if each else np.zeros(n + 1, np.int32)), pa.py_buffer(rows.reshape(-1).view(np.uint8))])
 
 
+def _ragged(rows: list[np.ndarray | None]) -> pa.Array:
+    """A binary column of rows of any sizes, copied once; None is null."""
+    sizes = np.array([0 if x is None else x.nbytes for x in rows], np.int64)
+    if sizes.sum() >= 1 << 31:
+        raise ValueError("images of a batch take 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = np.empty(ends[-1], np.uint8)
+    for k, x in enumerate(rows):
+        if x is not None:
+            data[ends[k] : ends[k + 1]].view(x.dtype).reshape(x.shape)[...] = x
+    made = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    lost = np.array([x is None for x in rows], bool)
+    return pc.if_else(pa.array(~lost), made, pa.scalar(None, pa.binary())) if lost.any() else made
+
+
 #: Bytes of a batch that is worked on at once.
 AT_ONCE = 64 << 20
 
 
+def _step(column: pa.Array) -> int:
+    """How many rows of a binary column are worked on at once."""
+    return max(1, AT_ONCE * len(column) // max(1, column.nbytes))
+
+
 def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key: str = "image_id", optimize: bool = True, floats: bool = False, masks: bool = False) -> DataFrame:
     """images (PACKED and any other columns) after the pipeline, other columns untouched.
 
@@ -70,7 +91,8 @@ def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key
     moves pixels applies.  With floats the last operation may be normalize and
     data holds little-endian float32.  Null data stays null.  A fixed program is
     planned once, and images of equal size go through it together, as views of
-    the Arrow buffers.
+    the Arrow buffers.  Sampled programs of one sequence of operations share its
+    plan, with their parameters as arrays (operators.grouped).
     """
     small_arrow_batches(images.sparkSession)
     columns, kinds = images.columns, images.schema
@@ -94,9 +116,30 @@ def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key
         data, ends = _samples(b.column(at["data"]))
         return data[ends[0] : ends[-1]].reshape(len(w), int(h[0]), int(w[0]), int(c[0]))
 
+    def drawn(b):
+        """A batch whose rows sample their programs."""
+        sizes = [b.column(at[n]).to_pylist() for n in ("width", "height", "channels")]
+        data, ends = _samples(b.column(at["data"]))
+        rows = [image(data[ends[k] : ends[k + 1]], w, h, c) if d else None for k, (w, h, c, d) in enumerate(zip(*sizes, b.column(at["data"]).is_valid().to_pylist(), strict=True))]
+        programs, of = {}, b.column(at[key]).to_pylist()
+        for k in of:
+            if k not in programs:
+                programs[k] = pipeline.program(seed, k)
+        done = grouped.through(rows, [programs[k] for k in of], optimize, masks)
+        for x in done:
+            if x is not None:
+                checked(x)
+        new = {n: pa.array([old if x is None else x.shape[k] for x, old in zip(done, sizes[j], strict=True)], pa.int32()) for j, (n, k) in enumerate((("width", 1), ("height", 0), ("channels", 2)))}
+        new["data"] = _ragged(done)
+        return pa.RecordBatch.from_arrays([new[n] if n in new else b.column(k) for k, n in enumerate(columns)], names=columns)
+
     def run(batches):
-        last = None, []  # rows with equal keys often follow one another
         for b in batches:
+            if not once:
+                step = _step(b.column(at["data"]))
+                for lo in range(0, b.num_rows, step):
+                    yield drawn(b.slice(lo, step))
+                continue
             whole = alike(b)
             step = max(1, AT_ONCE // max(1, whole[0].size)) if whole is not None else 0
             for lo in range(0, b.num_rows, step) if step else ():
@@ -109,19 +152,12 @@ def transform(images: DataFrame, pipeline: Compose | Program, seed: int = 0, key
             if step:
                 continue
             rows = []
-            for w, h, c, data, k in zip(*(b.column(at[n]).to_pylist() for n in ("width", "height", "channels", "data", key)), strict=True):
+            for w, h, c, data in zip(*(b.column(at[n]).to_pylist() for n in ("width", "height", "channels", "data")), strict=True):
                 if data is None:
                     rows.append((w, h, c, None))
                     continue
-                if once:
-                    _parsed(once).validate(w, h)
-                    stages = _prepared(once, optimize, c, masks)
-                else:
-                    if last[0] != (k, c, w, h):
-                        program = pipeline.program(seed, k)
-                        program.validate(w, h)
-                        last = (k, c, w, h), [kernels.prepared(op) for op in planned(program, optimize, c, masks)]
-                    stages = last[1]
+                _parsed(once).validate(w, h)
+                stages = _prepared(once, optimize, c, masks)
                 out = image(data, w, h, c)
                 for f, _ in stages:
                     out = f(out)
@@ -156,11 +192,15 @@ def replay(images: DataFrame, key: str = "image_id") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = {c: b.column(k).to_pylist() for k, c in enumerate(b.schema.names)}
-            done = [kernels.run(image(d, w, h, c), planned(Program.from_json(t), True, c)) for d, w, h, c, t in zip(rows["data"], rows["width"], rows["height"], rows["channels"], rows["program"], strict=True)]
-            rows |= {"width": [x.shape[1] for x in done], "height": [x.shape[0] for x in done], "channels": [x.shape[2] for x in done], "data": [np.ascontiguousarray(x).tobytes() for x in done]}
-            types = {"width": pa.int32(), "height": pa.int32(), "channels": pa.int32(), "data": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], types.get(c, b.schema.field(c).type)) for c in columns], names=columns)
+            at = {c: k for k, c in enumerate(b.schema.names)}
+            step = _step(b.column(at["data"]))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                w, h, c, data, text = (part.column(at[n]).to_pylist() for n in ("width", "height", "channels", "data", "program"))
+                done = grouped.through([None if d is None else image(d, *s) for d, *s in zip(data, w, h, c, strict=True)], [_parsed(t) for t in text])
+                new = {n: pa.array([old if x is None else x.shape[k] for x, old in zip(done, olds, strict=True)], pa.int32()) for n, k, olds in (("width", 1, w), ("height", 0, h), ("channels", 2, c))}
+                new["data"] = _ragged(done)
+                yield pa.RecordBatch.from_arrays([new.get(n, part.column(at[n])) for n in columns], names=columns)
 
     return images.mapInArrow(run, images.select(columns).schema)
 

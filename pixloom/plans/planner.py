@@ -44,7 +44,7 @@ class Plan:
         return {"before": self.before, "after": len(self.stages), "optimized": self.optimized}
 
 
-def _hoist(ops: list[Op], which, over) -> tuple[list[Op], int]:
+def _hoist(ops: list[int], which, over) -> tuple[list[int], int]:
     out, moved = [], 0
     for o in ops:
         k = len(out)
@@ -56,6 +56,18 @@ def _hoist(ops: list[Op], which, over) -> tuple[list[Op], int]:
     return out, moved
 
 
+def order(ops: list[Op]) -> tuple[list[int], int, int]:
+    """(places of ops in the order they run in, moves of crops, moves of symmetries); only names and symmetries decide."""
+    where, crops, moved = list(range(len(ops))), 0, 0
+    single = lambda k: ops[k].name in SINGLE
+    while True:  # a symmetry that has moved may let a crop move
+        where, a = _hoist(where, lambda k: ops[k].name in CROPS, single)
+        where, b = _hoist(where, lambda k: square(ops[k]) is not None, single)
+        crops, moved = crops + a, moved + b
+        if not a and not b:
+            return where, crops, moved
+
+
 def _three(t: list[list[int]]) -> list[list[int]]:
     return t if len(t) == 3 else t * 3
 
@@ -107,14 +119,8 @@ def plan(program: Program, optimize: bool = True, channels: int | None = None, f
     notes += [f"edge_detection: {o['method']} is done as {'laplacian' if o['method'] == 'prewitt' else 'sobel'}" for o in ops if o.name == "edge_detection" and o["method"] in ("prewitt", "canny")]
     if not optimize:
         return Plan(ops, len(ops), notes, False)
-    single = lambda o: o.name in SINGLE
-    crops = moved = 0
-    while True:  # a symmetry that has moved may let a crop move
-        ops, a = _hoist(ops, lambda o: o.name in CROPS, single)
-        ops, b = _hoist(ops, lambda o: square(o) is not None, single)
-        crops, moved = crops + a, moved + b
-        if not a and not b:
-            break
+    where, crops, moved = order(ops)
+    ops = [ops[k] for k in where]
     if crops or moved:
         notes.append(f"crops moved over {crops} operations, symmetries over {moved}")
     return Plan(_fuse(ops, channels, fuse_matrices), len(program), notes)
