@@ -24,6 +24,7 @@ from .plans.pipeline import Choice, Compose, Identity, Maybe, SomeOf, Transform,
 from .plans.planner import plan
 from .plans.program import Op, Program
 from .schema import pixels
+from .sources import arrays
 from .sources import images as S
 from .sources import stored
 from .streaming.streams import LABELLED as LABELLED_IMAGES
@@ -422,6 +423,16 @@ _us, _uf = D.unit_sql(SEED, "0/0/delta", "(image_id // 8)"), D.unit_sql(SEED, "0
 _add("video_consistent", lambda spark, d: pixels(S.unpacked(P.transform_video(S.packed(S.clips(spark, d)).withColumn("clip_id", F.expr("image_id div 8")), CLIP_PIPE, SEED))),
      f"{GRAY} select image_id, c, y, (case when {_uf} < 0.5::double then 7 - x else x end)::int as x, floor(least(greatest(v::float + (-40 + 80 * {_us})::float, 0), 255))::int as v from px")
 
+def _array_files(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of two sizes, by the id, to array files and back; one size is read."""
+    images, path = S.packed(S.rgb(spark, d)), stored.folder(spark)
+    cut = lambda k: P.transform(images.where(F.col("image_id") % 2 == k), Program([Op("crop", {"x": 1, "y": 2, "width": 5 - k, "height": 3 + k})]))
+    arrays.write(cut(0).union(cut(1)), path)
+    return pixels(S.unpacked(arrays.read(spark, path, filters=[("width", "=", 5), ("height", "<", 4)])))
+
+
+_add("array_files", _array_files, f"{RGB} select image_id, c, (y - 2)::int as y, (x - 1)::int as x, v from px where image_id % 2 = 0 and x between 1 and 5 and y between 2 and 4")
+
 # --- across images ----------------------------------------------------------------
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import ast
-import struct
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PACKED
+from . import arrays
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +74,10 @@ def unpacked(images: DataFrame) -> DataFrame:
 
 def parse_npy(data: bytes) -> np.ndarray:
     """An array of a .npy file of uint8, version 1 to 3."""
-    if data[:6] != b"\x93NUMPY":
-        raise ValueError("not a .npy file")
-    wide = data[6] > 1
-    size = struct.unpack("<I", data[8:12])[0] if wide else struct.unpack("<H", data[8:10])[0]
-    at = 12 if wide else 10
-    head = ast.literal_eval(data[at : at + size].decode("latin1"))
-    if head["descr"] not in ("|u1", "u1"):
+    h = arrays.head(BytesIO(data))
+    if h.kind != np.uint8:
         raise TypeError("images are uint8")
-    return np.frombuffer(data, np.uint8, offset=at + size).reshape(head["shape"], order="F" if head["fortran_order"] else "C")
+    return np.frombuffer(data, np.uint8, offset=h.at).reshape(h.shape, order="F" if h.fortran else "C")
 
 
 def channels_last(a: np.ndarray, layout: str = "hwc") -> np.ndarray:
@@ -98,16 +93,10 @@ def channels_last(a: np.ndarray, layout: str = "hwc") -> np.ndarray:
 
 
 def read_arrays(spark: SparkSession, path: str, layout: str = "hwc") -> DataFrame:
-    """PACKED images (image_id is a hash of the path) and their path, from .npy files that Spark lists and reads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select(F.xxhash64("path").alias("image_id"), "path", "content")
-
-    def run(batches):
-        for b in batches:
-            done = [channels_last(parse_npy(x), layout) for x in b.column(2).to_pylist()]
-            shapes = [pa.array([a.shape[k] for a in done], pa.int32()) for k in (1, 0, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *shapes, pa.array([a.tobytes() for a in done], pa.binary()), b.column(1)], names=["image_id", "width", "height", "channels", "data", "path"])
-
-    return files.mapInArrow(run, f"{PACKED}, path string")
+    """PACKED images and their path, from .npy files of uint8; image_id is the stored one, else a hash of the path (and the place in a stack)."""
+    rows = arrays.read(spark, path, layout, dtype="uint8")
+    hashed = F.when(F.col("item") == 0, F.xxhash64("path")).otherwise(F.xxhash64("path", "item"))
+    return rows.select(F.coalesce("image_id", hashed).alias("image_id"), "width", "height", "channels", "data", "path")
 
 
 def write_packed(images: DataFrame, path: str) -> None:
