@@ -182,6 +182,12 @@ def scale_channels(df: DataFrame, r: float, g: float, b: float) -> DataFrame:
     return _with(df, f"if(size(planes) = 3, transform(planes, (p, c) -> transform(p, v -> cast(floor(least(greatest(v * element_at(array({number(r)}, {number(g)}, {number(b)}), c + 1), 0), 255)) as int))), planes)")
 
 
+def sums(df: DataFrame, tables) -> DataFrame:
+    """One plane: tables by channel, added, in 256ths."""
+    total = " + ".join(f"element_at({_literal(t)}, get(planes[{k}], i) + 1)" for k, t in enumerate(tables))
+    return _with(df, f"array(transform(sequence(0, w * h - 1), i -> cast(shiftright({total}, 8) as int)))")
+
+
 def to_gray(df: DataFrame) -> DataFrame:
     return _with(df, "if(size(planes) = 3, array(transform(sequence(0, w * h - 1), i -> shiftright(77 * get(planes[0], i) + 150 * get(planes[1], i) + 29 * get(planes[2], i) + 128, 8))), planes)")
 

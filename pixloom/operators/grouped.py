@@ -114,6 +114,9 @@ def stages(programs: list[Program], channels: int, optimize: bool = True) -> lis
             if pending is not None or not optimize:
                 settle()
             turned = T.then(turned, element)
+        elif name == "to_gray" and channels == 3 and pending is not None and optimize:
+            out.append(lambda img, k, t=T.luma(_widened(pending, 3)): kernels.summed(img, t[k]))
+            pending, channels = None, 1
         else:
             settle()
             out.append(_cut(column) if name in ("crop", "random_crop") else lambda img, k, ops=column: kernels.apply(img, ops[k]))

@@ -60,6 +60,20 @@ def to_gray(img: np.ndarray) -> np.ndarray:
     return ((77 * x[..., :1] + 150 * x[..., 1:2] + 29 * x[..., 2:] + 128) >> 8).astype(np.uint8)
 
 
+def summed(img: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """One channel: sixteen-bit tables by channel, added, in 256ths."""
+    if img.shape[-1] != len(tables):
+        raise ValueError(f"{len(tables)} tables for {img.shape[-1]} channels")
+    total = tables[0][img[..., 0]]
+    for k in range(1, len(tables)):
+        total += tables[k][img[..., k]]
+    return (total >> np.uint16(8)).astype(np.uint8)[..., None]
+
+
+def sums(img: np.ndarray, tables) -> np.ndarray:
+    return summed(img, np.array(tables, np.uint16))
+
+
 def to_rgb(img: np.ndarray) -> np.ndarray:
     return np.repeat(img, 3, axis=2) if img.shape[2] == 1 else img
 
@@ -383,6 +397,9 @@ def prepared(op: Op):
             return np.ascontiguousarray(img[..., y : y + h, x : x + w, :])  # once here, else every later stage reads with gaps
 
         return cut, True
+    if op.name == "sums":
+        tables = np.array(op["tables"], np.uint16)
+        return (lambda img: summed(img, tables)), True
     if op.name in ("to_gray", "to_rgb") or op.name == "channel_shuffle":
         return (lambda img: _last_axis(img, op)), True
     return (lambda img: apply(img, op)), False

@@ -8,7 +8,8 @@ are rewritten here, before a stage becomes one projection or one Arrow kernel.
 2. Flips, transposes and rotations move left over operations on single pixels.
 3. Neighbouring lookup tables become one, symmetries one, identities none.
 4. Tables after equalize or auto_contrast join the table that these build.
-5. Matrices become one if asked for: one final clip differs from several.
+5. Tables before to_gray become a sum of one table a channel.
+6. Matrices become one if asked for: one final clip differs from several.
 """
 
 from __future__ import annotations
@@ -84,7 +85,9 @@ def _fuse(ops: list[Op], channels: int | None, matrices: bool) -> list[Op]:
         last = out[-1] if out else None
         t, m, s = tables(o), matrix(o), square(o)
         plain = t is not None and (len(t) == 1 or channels == 3)
-        if plain and last is not None and (tables(last) is not None) and (len(tables(last)) == 1 or channels == 3):
+        if o.name == "to_gray" and channels == 3 and last is not None and tables(last) is not None:
+            out[-1] = Op("sums", {"tables": T.luma(_three(tables(last))).tolist()})
+        elif plain and last is not None and (tables(last) is not None) and (len(tables(last)) == 1 or channels == 3):
             out[-1] = Op("lut", {"table": _joined(tables(last), t)})
         elif t is not None and len(t) == 1 and last is not None and last.name in ("equalize", "auto_contrast"):
             out[-1] = Op(last.name, {**last.params, "then": T.compose(last["then"] or list(range(256)), t[0])})

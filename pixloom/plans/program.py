@@ -20,7 +20,7 @@ MATRIX = {
     "to_sepia": {}, "color_temperature": {"temperature": 0}, "color_balance": {"r_scale": 1, "g_scale": 1, "b_scale": 1}, "color_tint": {"tint": (0, 0, 0, 0)},
     "channel_shuffle": {"order": "RGB"}, "channel_mix": {"matrix": None}, "matrix": {"matrix": None},
 }
-POINTWISE = {"hue_saturation_value": {"hue_shift": 0, "saturation_scale": 1, "value_scale": 1}, "to_gray": {}, "to_rgb": {}}
+POINTWISE = {"hue_saturation_value": {"hue_shift": 0, "saturation_scale": 1, "value_scale": 1}, "to_gray": {}, "to_rgb": {}, "sums": {"tables": None}}
 HISTOGRAM = {"equalize": {"then": None}, "auto_contrast": {"cutoff": 0.0, "then": None}}
 SQUARE = {"horizontal_flip": {}, "vertical_flip": {}, "transpose": {}, "rotate": {"angle": 90}, "square": {"element": "identity"}}
 GEOMETRY = {
@@ -59,7 +59,7 @@ class Op:
         return self.params[name]
 
     def __str__(self):
-        said = ", ".join(f"{k}={v}" for k, v in self.params.items() if v != OPS[self.name][k] and k not in ("table", "then"))
+        said = ", ".join(f"{k}={v}" for k, v in self.params.items() if v != OPS[self.name][k] and k not in ("table", "tables", "then"))
         return f"{self.name}({said})"
 
 
@@ -140,7 +140,7 @@ class Program:
         data = json.loads(text)
         if data.get("version") != VERSION:
             raise ValueError(f"program version {data.get('version')} is not {VERSION}")
-        return cls([Op(o["op"], {k: tuple(v) if isinstance(v, list) and k not in ("table", "matrix", "taps", "then") else v for k, v in o.items() if k != "op"}) for o in data["ops"]])
+        return cls([Op(o["op"], {k: tuple(v) if isinstance(v, list) and k not in ("table", "tables", "matrix", "taps", "then") else v for k, v in o.items() if k != "op"}) for o in data["ops"]])
 
     def to_bytes(self) -> bytes:
         return self.to_json().encode()

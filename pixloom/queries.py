@@ -423,6 +423,11 @@ _us, _uf = D.unit_sql(SEED, "0/0/delta", "(image_id // 8)"), D.unit_sql(SEED, "0
 _add("video_consistent", lambda spark, d: pixels(S.unpacked(P.transform_video(S.packed(S.clips(spark, d)).withColumn("clip_id", F.expr("image_id div 8")), CLIP_PIPE, SEED))),
      f"{GRAY} select image_id, c, y, (case when {_uf} < 0.5::double then 7 - x else x end)::int as x, floor(least(greatest(v::float + (-40 + 80 * {_us})::float, 0), 255))::int as v from px")
 
+GRAYED = Program([Op("brightness", {"delta": 30}), Op("rgb_shift", {"r_shift": -40, "g_shift": 5, "b_shift": 60}), Op("to_gray")])
+_shift = "greatest(0, least(255, least(255, {} + 30) + {}))"
+_image("lut_gray", lambda df: C.run(df, plan(GRAYED, channels=3).stages), f"{RGB}{WIDE} select image_id, 0 as c, y, x, ((77 * {_shift.format('r', -40)} + 150 * {_shift.format('g', 5)} + 29 * {_shift.format('b', 60)} + 128) // 256)::int as v from wide")
+
+
 def _array_files(spark: SparkSession, d: str) -> DataFrame:
     """Windows of two sizes, by the id, to array files and back; one size is read."""
     images, path = S.packed(S.rgb(spark, d)), stored.folder(spark)

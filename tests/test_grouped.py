@@ -98,3 +98,21 @@ def test_replay_is_the_direct_call(spark):
     direct = {r["image_id"]: r["data"] for r in packed.transform(df, TREES["kernels"], 5).collect()}
     again = {r["image_id"]: r["data"] for r in packed.replay(df.join(stored, "image_id")).collect()}
     assert again == direct and again[99] is None
+
+
+def test_tables_and_gray_become_one_sum():
+    shift, bright, gray = Op("rgb_shift", {"r_shift": -40, "g_shift": 5, "b_shift": 60}), Op("brightness", {"delta": 30}), Op("to_gray")
+    program = Program([bright, shift, gray, Op("invert")])
+    stages = plan(program, channels=3).stages
+    assert [o.name for o in stages] == ["sums", "lut"] or [o.name for o in stages] == ["sums", "invert"]
+    assert [o.name for o in plan(program, channels=4).stages][-1] != "sums" and "sums" not in str(plan(program, channels=1).stages)
+    every = np.stack(np.meshgrid(*[np.arange(0, 256, 5, dtype=np.uint8)] * 3), -1).reshape(52, -1, 3)  # the lightest and darkest colours too
+    for p in (program, Program([bright, gray]), Program([Op("invert"), gray, bright])):
+        want = kernels.run(every, p)
+        assert (kernels.run(every, plan(p, channels=3).stages) == want).all()
+        assert (grouped.through([every], [p])[0] == want).all()
+        ready = [kernels.prepared(o) for o in plan(p, channels=3).stages]
+        assert all(whole for _, whole in ready) and (kernels.run_batch(np.stack([every, every]), ready)[1] == want).all()
+        assert Program.from_json(Program(plan(p, channels=3).stages).to_json()) == Program(plan(p, channels=3).stages)
+    with pytest.raises(ValueError):
+        kernels.run(every[..., :1], stages)
