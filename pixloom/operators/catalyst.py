@@ -353,11 +353,17 @@ def convolve(df: DataFrame, taps, scale: int = 1) -> DataFrame:
 
 
 def box_blur(df: DataFrame, radius: int = 1) -> DataFrame:
-    """Means over what the window holds of the image, as slices of a row and of a column."""
-    for n, at, step in (("w", "{x}", "{y} * w + k"), ("h", "{y}", "k * w + {x}")):
-        lo, hi = f"greatest({at} - {radius}, 0)", f"least({at} + {radius}, {n} - 1)"
-        total = f"aggregate(sequence({lo}, {hi}), 0, (a, k) -> a + get(p, cast({step} as int)))"
-        df = _from(df, f"cast(({total} + ({hi} - {lo} + 1) div 2) div ({hi} - {lo} + 1) as int)")
+    """Means over what the window holds of the image, by rows and then columns: two look-ups in running sums, whatever the radius.
+
+    Sums along an axis double their reach step by step, so an axis of n takes as many passes as n - 1 has bits.
+    """
+    for n, at, step in (("w", "i % w", "1"), ("h", "(i div w)", "w")):
+        back = "shiftleft(1, k - 1)"
+        sums = f"aggregate(sequence(1, length(bin({n} - 1))), p, (s, k) -> transform(s, (v, i) -> if({at} >= {back}, v + get(s, i - {step} * {back}), v)))"
+        size = f"(least({at} + {radius}, {n} - 1) - greatest({at} - {radius}, 0) + 1)"
+        total = f"(get(s, cast(i + {step} * (least({at} + {radius}, {n} - 1) - {at}) as int)) - if({at} > {radius}, get(s, cast(i - {step} * ({radius} + 1) as int)), 0))"
+        mean = f"cast(({total} + {size} div 2) div {size} as int)"
+        df = _with(df, f"transform(planes, p -> transform(array({sums}), s -> transform(s, (v, i) -> {mean}))[0])")
     return df
 
 

@@ -8,6 +8,7 @@ import numpy as np
 
 from ..functions import tables as T
 from ..plans.program import POINTWISE_TABLE, Op, matrix, square, tables, window
+from .resampling import affine, border, resize
 
 
 def _round(x: np.ndarray) -> np.ndarray:
@@ -147,57 +148,6 @@ def pad(img: np.ndarray, top, right, bottom, left, mode, value) -> np.ndarray:
     return img[y][:, x]
 
 
-def border(at: np.ndarray, n: int, mode: str) -> np.ndarray:
-    if mode == "wrap":
-        return at % n
-    if mode == "reflect":
-        at = np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - at - 1, at))
-    elif mode != "replicate":
-        raise ValueError(f"unknown border {mode}")
-    return np.clip(at, 0, n - 1)
-
-
-def _taps(size: int, new: int):
-    at = (np.arange(new) + 0.5) * (size / new) - 0.5
-    low = np.clip(np.floor(at).astype(int), 0, size - 1)
-    return low, np.minimum(low + 1, size - 1), np.where((at < 0) | (at >= size - 1), 0.0, at - np.floor(at))
-
-
-def resize(img: np.ndarray, width, height, interpolation="bilinear") -> np.ndarray:
-    h, w = img.shape[:2]
-    if (w, h) == (width, height):
-        return img
-    if interpolation == "nearest":
-        return img[np.minimum(np.arange(height) * h // height, h - 1)][:, np.minimum(np.arange(width) * w // width, w - 1)]
-    (y0, y1, fy), (x0, x1, fx) = _taps(h, height), _taps(w, width)
-    x, fx, fy = img.astype(np.float64), fx[None, :, None], fy[:, None, None]
-    a, b, c, d = x[y0][:, x0], x[y0][:, x1], x[y1][:, x0], x[y1][:, x1]
-    return _round(a * (1 - fx) * (1 - fy) + b * fx * (1 - fy) + c * (1 - fx) * fy + d * fx * fy)
-
-
-def affine(img: np.ndarray, scale=1.0, rotate=0.0, translate=(0, 0), shear=(0, 0), interpolation="bilinear", border_mode="constant", value=0) -> np.ndarray:
-    h, w = img.shape[:2]
-    a, b, c, d, e, f = T.inverse_affine(w, h, scale, rotate, translate, shear)
-    fixed = lambda v: np.floor(np.asarray(v, np.float64) * 65536 + 0.5).astype(np.int64)
-    y, x = np.arange(h)[:, None], np.arange(w)[None, :]
-    sx, sy = fixed(b * y + c) + x * fixed(a), fixed(e * y + f) + x * fixed(d)
-
-    def at(px, py):
-        inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
-        if border_mode == "constant":
-            got = img[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)].astype(np.int64)
-            return np.where(inside[..., None], got, value)
-        if border_mode == "reflect":  # repeats beyond one image's width
-            px, py = (np.where(p % (2 * n) >= n, 2 * n - 1 - p % (2 * n), p % (2 * n)) for p, n in ((px, w), (py, h)))
-        return img[border(py, h, border_mode), border(px, w, border_mode)].astype(np.int64)
-
-    if interpolation == "nearest":
-        return at((sx + 32768) >> 16, (sy + 32768) >> 16).astype(np.uint8)
-    px, py, fx, fy = sx >> 16, sy >> 16, ((sx >> 8) & 255)[..., None], ((sy >> 8) & 255)[..., None]
-    total = at(px, py) * (256 - fx) * (256 - fy) + at(px + 1, py) * fx * (256 - fy) + at(px, py + 1) * (256 - fx) * fy + at(px + 1, py + 1) * fx * fy
-    return ((total + 32768) >> 16).astype(np.uint8)
-
-
 def _around(img: np.ndarray, ry: int, rx: int) -> np.ndarray:
     return np.pad(img, ((ry, ry), (rx, rx), (0, 0)), mode="edge")
 
@@ -253,8 +203,41 @@ def median_blur(img: np.ndarray, kernel_size=3) -> np.ndarray:
         low, mid, high = _ordered(x[:h], x[1 : h + 1], x[2:])
         side = lambda v: (v[:, :w], v[:, 1 : w + 1], v[:, 2:])
         return _ordered(np.maximum.reduce(side(low)), _ordered(*side(mid))[1], np.minimum.reduce(side(high)))[1]
-    taps = np.stack([x[j : j + h, i : i + w] for j in range(kernel_size) for i in range(kernel_size)])
-    return np.partition(taps, len(taps) // 2, axis=0)[len(taps) // 2]
+    columns = _sorted([x[j : j + h] for j in range(5)])  # shared by five windows
+    across = [_sorted([c[:, i : i + w] for i in range(5)]) for c in columns]
+    # rows and columns are in order now: (i, j) has (i + 1)(j + 1) - 1 samples not above it and (5 - i)(5 - j) - 1 not below it, of 24
+    return _middle([across[i][j] for i in range(5) for j in range(5) if max((i + 1) * (j + 1), (5 - i) * (5 - j)) <= 13])
+
+
+def _sorted(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays put in order place by place, by merging neighbours in turns."""
+    rows = list(rows)
+    for turn_ in range(len(rows)):
+        for k in range(turn_ % 2, len(rows) - 1, 2):
+            rows[k], rows[k + 1] = np.minimum(rows[k], rows[k + 1]), np.maximum(rows[k], rows[k + 1])
+    return rows
+
+
+def _middle(rows: list[np.ndarray]) -> np.ndarray:
+    """The median of an odd number of arrays: of so many that neither end can be it, the least and greatest go, and the next comes in."""
+    held, rest = rows[: len(rows) // 2 + 2], rows[len(rows) // 2 + 2 :]
+    while len(held) > 1:
+        n = len(held)
+        pairs = [(np.minimum(held[k], held[k + 1]), np.maximum(held[k], held[k + 1])) for k in range(0, n - 1, 2)]
+        odd = held[n - n % 2 :]
+        low, high, kept = pairs[0][0], pairs[0][1], []
+        for a, b in pairs[1:] + [(x, x) for x in odd]:
+            alone = a is b
+            low, more = np.minimum(low, a), np.maximum(low, a)
+            if alone:  # one sample: what isn't the least may be the greatest
+                high, more = np.maximum(high, more), np.minimum(high, more)
+                kept.append(more)
+                continue
+            high, less = np.maximum(high, b), np.minimum(high, b)
+            kept += [more, less]
+        held = kept + rest[:1]
+        rest = rest[1:]
+    return held[0]
 
 
 def sobel(img: np.ndarray) -> np.ndarray:
@@ -377,6 +360,8 @@ def apply(img: np.ndarray, op: Op) -> np.ndarray:
             return convolve(img, T.emboss(**p), 256)
         case "edge_detection":
             return convolve(img, T.LAPLACIAN) if p["method"] in ("laplacian", "prewitt") else sobel(img)
+        case "affine":
+            return affine(img, **p, once=True)
         case "coarse_dropout":
             return coarse_dropout(img, p["holes"], p["hole_size"], p["fill"], p["seed"])
         case "grid_dropout":
@@ -397,6 +382,9 @@ def prepared(op: Op):
             return np.ascontiguousarray(img[..., y : y + h, x : x + w, :])  # once here, else every later stage reads with gaps
 
         return cut, True
+    if op.name in ("resize", "affine"):
+        f = resize if op.name == "resize" else affine
+        return (lambda img: f(img, **op.params)), True
     if op.name == "sums":
         tables = np.array(op["tables"], np.uint16)
         return (lambda img: summed(img, tables)), True

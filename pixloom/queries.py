@@ -244,6 +244,10 @@ for _k in (3, 5, 7):
 _image("gaussian_sigma", Op("gaussian_blur_sigma", {"sigma": 1.8}), _separable_sql(*T.sigma_taps(1.8)))
 _box = "select p.image_id, p.c, p.y, p.x, ((sum(n.v) + count(*) // 2) // count(*))::int as v from {0} p join {0} n on n.image_id = p.image_id and n.c = p.c and n.{1} = p.{1} and n.{2} between p.{2} - 2 and p.{2} + 2 group by all"
 _image("box_blur", Op("box_blur", {"radius": 2}), f"{RGB}, a as materialized ({_box.format('px', 'y', 'x')}) {_box.format('a', 'x', 'y')}")
+_three, _wide = [], _box.replace("- 2", "- 4").replace("+ 2", "+ 4")  # three boxes of radius round(0.94 * 4.5)
+for _k in range(6):
+    _three.append(f"b{_k} as materialized ({_wide.format(f'b{_k - 1}' if _k else 'px', *(('y', 'x'), ('x', 'y'))[_k % 2])})")
+_image("gaussian_sigma_fast", Op("gaussian_blur_sigma", {"sigma": 4.5, "quality": "fast"}), f"{RGB}, {', '.join(_three)} select image_id, c, y, x, v from b5")
 for _k in (3, 5):
     _taps = ", ".join(f"({i}, {j})" for j in range(-(_k // 2), _k // 2 + 1) for i in range(-(_k // 2), _k // 2 + 1))
     _image(f"median{_k}", Op("median_blur", {"kernel_size": _k}), f"{RGB} select p.image_id, p.c, p.y, p.x, (list_sort(list(n.v)))[{_k * _k // 2 + 1}]::int as v from px p cross join (values {_taps}) t(dx, dy) join px n on n.image_id = p.image_id and n.c = p.c and n.y = greatest(0, least(7, p.y + dy)) and n.x = greatest(0, least(7, p.x + dx)) group by p.image_id, p.c, p.y, p.x")
