@@ -35,6 +35,9 @@ FRAME_WORDS = frozenset(
 )
 #: Words that may stand beside a frame word in a name without changing what it says.
 AROUND = frozenset("area bar bottom box block button buttons column container content group header holder inner items left links list main outer page panel policy post right row section site slot social text title top unit widget wrap wrapper".split())
+#: Frame words that say what a name means when they stand last, whatever stands before them but MAYBE.
+LAST_WORDS = frozenset("ads adverts advertisement comment comments commentlist replies cookies consent notice notices newsletter disclaimer".split())
+MAYBE = frozenset("has hide is no show with without".split())
 BODY_TAGS = frozenset(["article", "main"])
 BODY_NAMES = frozenset("article article-body article-content content entry entry-content main main-content post post-body post-content story story-body".split())
 PARAGRAPHS = frozenset("p blockquote pre li dd dt td th figcaption caption".split())
@@ -111,6 +114,58 @@ LABELLED = """
 *3h+ 3p- *26p+ *5h+ *70p+ 27p- 1h- 39p- 39p- 60d-
 1Lp- 1Lp- 16p- 9p- 11p- 14p- 6p- 30p- 12p- 25p- 3p-
 8h- 20p- 16p- 40p- 9p- 60p- 5p- 33p- 12d- 50d- 7d-
+1Lp 1Lp 1Lp 7d *9h *26p *41p *17p 10d
+1Lp 1Lp 2Lp 3Lp 12d *8h *19p *6p *37p *11p 8d
+2Lp 1Lp 5d *4h *3p *44p *90p 13d
+1Lp 1Lp 6d *7h *9p *150p *12p 4d
+1Lp 2Lp 16d *11h *5p *8p *21p 26d
+1Lp 4d *3h *62p 7d
+1Ld 1Ld 2Ld 9d *10h *34p *2p *1p *23p 3d 2Ld
+3d *6h *48p *31p 5d
+3d *2h *15p *220p 11d
+2d *13h *7p *27p 19d
+1Lp 1Lp 11d *1h *36p *25p 9d
+1Lp 2Lp 8d *5h *10p *13p *4p 6d
+1Lp 1Lp 22d *2h *4p *2p *56p 14d
+1Lp 14d *12h *1p *3p *80p *1p 8d
+1Lp 2Lp 10d *6h *300p *140p 12d
+2Lp 2Lp 13d *1h *2p *9p *30p *5p 5d
+5Ld 3Ld 30d *9h *29p *33p 40d
+18d *7h *51p *4h *28p *2h *73p *6p 12d 3d
+34d *5h *16p *8p *20p 7d 2Ld 1Ld
+7d 2Ld *8h *38p *3h *22p *47p 1Ld 1Ld 9d
+2Lp 6d *14h *700p 10d
+1Lp 9d *4h *1p 12d
+1Lp 10d *8h *2p 6d
+1Lp 8d *3h *12p 15d
+4d *10h *95p *40p 24d 6d
+*8h *44p *52p 5Lp 4Lp 6Lp 11d
+*6h *18p *35p 2h 5Lp 7Lp 6Lp 8d
+1Lp *5h *20p *64p 3h 8Lp 6Lp 9Lp 13d
+1Lp 1Lp 1h 4Lp 5Lp *9h *40p *27p 6d
+2h 1Ld 2Ld 1Ld *7h *33p *15p 3d
+5d *9h *55d *38d *70d 10d
+8d *6h *42d *3h *61d *29d 4d
+3d 2Ld *11h *120d *90d 14d
+*9h 3ld *45p *30lp *22p 3ld 4d
+*7h 2d *25p *50p 3Ld 3Ld 5d
+4d *8h 4d *31p *60p *14p 5ld 12d
+1Lp 1Lp 7d *9h *28p *46p 3d 15d 2d 22d 8d
+*10h *37p *19p 2d 12d 3d 9d 2d 28d
+6d *5h *24p *66p *3h *1p *2p *17p 9d
+1Lp 13d *9h *5p *6p *3p *8p *4p 7d
+1Lp 1Lp 4d *8h *70p *1p *65p *3p *120p 12d
+1Lp 1p 1Lp 2Lp 6d *9h *30p *14p *2p *41p 10d
+2Lp 1Lp 2p *8h *25p *36p *1p *9p 8d
+1Lp 2p 1Lp 1p 1Lp 7d *6h *3p *52p *2p *18p 12d
+*7h *34p *21p 3h 6Lp 5p 7Lp 9d
+1Ld 2d 1Ld *10h *27p *45p 5Lp 2p 4Lp
+*5h *40p *3p 2Lp 1p 2Lp 11d
+*16d *26d *44d *19d 5d
+*13d *31d *52d
+20p 1Ld *9h *33p *16p *48p 7d
+1Lp 2Lp 18d *5h *29p *13p 6d
+2Lp- 1Lp- 19d- *8h+ *21p+ *2p+ *43p+ 12d-
 """
 ITEM = re.compile(r"(\*?)(\d+)([Ll]?)([phd])([+-]?)")
 
@@ -134,7 +189,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, plain: int = PLAIN_LEVELS):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, plain: int = PLAIN_LEVELS):
     """A decision tree by Gini impurity: a share of keeps, or (feature, threshold, below, above); the first `plain` levels don't see names."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -166,8 +221,11 @@ def decide(node, row) -> bool:
 
 
 def _frame_name(name: str) -> bool:
-    """Whether one class, id or role names a part of the frame: frame words, and nothing else but words that may stand around them."""
+    """Whether one class, id or role names a part of the frame: frame words, and nothing else but words that may stand around them; or a last word that says it alone."""
     words = WORDS.findall(name.lower())
+    last = next((w for w in reversed(words) if w not in AROUND), "")
+    if last in LAST_WORDS and words[0] not in MAYBE:
+        return True
     return any(w in FRAME_WORDS for w in words) and all(w in FRAME_WORDS or w in AROUND for w in words)
 
 

@@ -1,5 +1,6 @@
 """WARC archives, HTML text, audio fingerprints and the pipeline."""
 
+import os
 import hashlib
 
 import numpy as np
@@ -122,6 +123,40 @@ def test_names_of_elements_decide_little():
     assert html_text.FEATURES[root[0]] != "named" and all(html_text.FEATURES[n[0]] != "named" for n in root[2:] if isinstance(n, tuple))
 
 
+ARTICLE = "<h1>{0}</h1><p>{1}</p><p>{2}</p><p>{3}</p>".format("A short title of a page", "one two three four five six " * 6, "seven eight nine " * 7, "ten eleven twelve thirteen " * 9)
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li><li><a href=/c>Our news</a></li></ul>"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>"])
+def test_html_frame_without_known_names(around):
+    want = html_text.main_text(f"<article>{ARTICLE}</article>")
+    assert want.count("\n\n") == 3
+    body = around.format(ARTICLE)
+    said = "<p>What a good article this is, I have read it twice.</p><p>I don't agree with a word of it, and I never shall, whoever says it.</p>"
+    for before, after in (
+        ("", f'<section class="user-comments">{said}</section>'), ("", f'<div id="readers_comments">{said}</div>'),
+        ('<div class="cc-window">We use cookies to give you the best visit of our pages.</div>', ""), ("", '<div class="cc-window">We use cookies to give you the best visit of our pages.</div>'),
+        ("<div>Home | About</div>", ""), (MENU, "<div>Home | About | Imprint</div>"), (MENU + "<p>Current</p>" + MENU, ""), (MENU, f"<h3>Read on</h3>{MENU}"),
+    ):
+        assert html_text.main_text(f"<body>{before}{body}{after}</body>") == want, (before, after)
+    for name in ("has-comments", "no-comments entry", "with-newsletter"):
+        assert html_text.main_text(f'<body><div class="{name}">{body}</div></body>') == want, name
+
+
+def test_html_tree_uses_links_of_both_neighbours():
+    def used(node):
+        return {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert used(html_text.tree()) >= {"words_before", "links_before", "words", "links", "words_after", "links_after"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_html_counts_carry_the_result(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    changed = [html_text.main_text(h) != html_text.main_text(h, names=False) for h in pages]
+    assert np.mean(changed) < 0.1
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "", "")], PAGES).selectExpr("*", "'x' as text", "5 as n_chars")
     got = html_text.extracted(df).collect()
