@@ -1,13 +1,14 @@
 """Language identification by prediction by partial matching.
 
 Every language has a variable-order context tree over the bytes of lower-cased
-training text: a context of up to ORDER bytes is kept if it occurs often enough.
+training text: a context of up to ORDER bytes is kept if it occurs there often enough.
 A byte that a context has seen costs -log2(count / (total + kinds)), any other
 byte costs the escape -log2(kinds / (total + kinds)) and then what the next
 shorter context says (method C), down to 1/256.  Statistics are frozen, so the
-cost of every (context, byte) is tabulated once for all languages over the union
-of their trees, and a text's exact code length is a sum of table look-ups: each
-position walks from the root to its longest context, in numpy over many texts.
+cost of every (context, byte) is tabulated once over the union of the trees of a few
+languages, and a text's exact code length is a sum of table look-ups: each position
+walks from the root to its longest context, in numpy over many texts.  Languages that
+share a table don't change each other's costs, so any number of them may be learned.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 
 ORDER = 4
-#: Bounds of the labelled sample: bytes of text that a language gets, that all get together, and languages (those with the most text).
-TRAIN_BYTES, ALL_BYTES, LANGUAGES = 1 << 19, 1 << 23, 128
+#: Bounds of the labelled sample: bytes of text that a language gets, and that all get together (beyond it each still has a text).
+TRAIN_BYTES, ALL_BYTES = 1 << 19, 1 << 23
 #: Occurrences in a language's sample from which a context is kept.  A language keeps at most (ORDER + 1) * bytes / LEAST_COUNT contexts.
 LEAST_COUNT = 24
+#: Languages that share a table: it has a row for each context of any of them, so more would leave it mostly idle.
+TOGETHER = 8
 #: Bytes of text that are scored together; longer texts go in pieces that know the ORDER bytes before them.
 SEGMENT = 1 << 20
 WORDLIKE = re.compile(r"[^\W\d_]")
@@ -44,8 +47,8 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
 
 
-class Model:
-    """Cost tables; languages in alphabetical order."""
+class Trees:
+    """The cost table of a few languages, in alphabetical order."""
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT):
         self.langs, self.order = sorted(samples), order
@@ -62,7 +65,10 @@ class Model:
                     both, c = np.unique((_codes(t, d) << np.uint64(8)) | t[d:].astype(np.uint64), return_counts=True)
                     rows.append((np.full(len(c), k), both >> np.uint64(8), self.code[(both & np.uint64(255)).astype(np.int64)], c))
             counts.append([np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4)
-        kept = [self._kept(*c[:2], c[3], 1 if d == 0 else least) for d, c in enumerate(counts)]
+        for d in range(1, order + 1):
+            often = self._often(*counts[d][:2], counts[d][3], least)
+            counts[d] = [x[often] for x in counts[d]]
+        kept = [np.unique(c[1]).astype(np.uint64) for c in counts]
         first = np.cumsum([0, *(len(x) for x in kept)])
         total = max(1, int(first[-1]))
         cost = np.empty((total, size, n))
@@ -78,10 +84,7 @@ class Model:
                 oldest = self.code[(here >> np.uint64(8 * (d - 1))).astype(np.int64)]
                 self.child[parent, oldest] = np.arange(first[d], first[d + 1])
                 cost[first[d] : first[d + 1]] = cost[parent]
-            at = np.searchsorted(here, context)
-            at[at == len(here)] = 0
-            inside = here[at] == context
-            row, lang, symbol, c = first[d] + at[inside], lang[inside], symbol[inside], c[inside].astype(float)
+            row, c = first[d] + np.searchsorted(here, context), c.astype(float)
             seen, kinds = np.zeros((total, n)), np.zeros((total, n))
             np.add.at(seen, (row, lang), c)
             np.add.at(kinds, (row, lang), 1)
@@ -93,14 +96,14 @@ class Model:
         self.size = size
 
     @staticmethod
-    def _kept(lang, context, count, least) -> np.ndarray:
-        """Contexts that occur `least` times in a language."""
-        if not len(lang):
-            return np.zeros(0, np.uint64)
-        by = np.lexsort((context, lang))
-        lang, context, count = lang[by], context[by], count[by]
-        new = np.nonzero(np.r_[True, (lang[1:] != lang[:-1]) | (context[1:] != context[:-1])])[0]
-        return np.unique(context[new][np.add.reduceat(count, new) >= least])
+    def _often(lang, context, count, least) -> np.ndarray:
+        """Which rows are of a context that occurs `least` times in the row's language."""
+        out = np.zeros(len(lang), bool)
+        if len(lang):
+            by = np.lexsort((context, lang))
+            new = np.r_[True, (lang[by][1:] != lang[by][:-1]) | (context[by][1:] != context[by][:-1])]
+            out[by] = (np.add.reduceat(count[by], np.nonzero(new)[0]) >= least)[np.cumsum(new) - 1]
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language; texts of up to SEGMENT bytes together."""
@@ -139,6 +142,22 @@ class Model:
                 total += self._sums(codes, np.arange(skip), np.array([0]), len(self.langs))[0]
         return total
 
+
+class Model:
+    """Languages in alphabetical order, TOGETHER of them to a table."""
+
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_COUNT):
+        self.langs = sorted(samples)
+        self.parts = [Trees({k: samples[k] for k in self.langs[j : j + TOGETHER]}, order, least) for j in range(0, len(self.langs), TOGETHER)]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text under each language; texts of up to SEGMENT bytes together."""
+        return np.concatenate([p.lengths(texts) for p in self.parts], axis=1)
+
+    def long(self, text: bytes) -> np.ndarray:
+        """Bits of one long text, piece by piece."""
+        return np.concatenate([p.long(text) for p in self.parts])
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text: score is its share of probability, at equal priors; ("und", 0) without letters."""
         out, todo, held, size = [("und", 0.0)] * len(texts), [], [], 0
@@ -166,16 +185,19 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, most: int = TRAIN_BYTES, total: int = ALL_BYTES, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """Whole lower-cased texts by language, chosen by a hash of the id: about `most` bytes of each (its share of total), twice that at the utmost."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("remainder") != 2))
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+def sample(docs: DataFrame, most: int = TRAIN_BYTES, total: int = ALL_BYTES) -> dict[str, list[bytes]]:
+    """Whole lower-cased texts by language, chosen by a hash of the id: about `most` bytes of each (its share of total), twice that at the utmost.
+
+    Every language has a text at least, however many there are and however long it is.
+    """
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("remainder") != 2)).withColumn("rank", rank)
+    sizes = {r.lang: (r.n, r.first) for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min("rank").alias("first")).collect()}  # a row a language
     if not sizes:
         return {}
     most = min(most, total // len(sizes))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / max(1, n)))))
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = train.withColumn("rank", rank).where(F.col("rank") < share[F.col("lang")]).select("lang", "rank", "text")
+    share = F.create_map(*(F.lit(x) for k, (n, first) in sizes.items() for x in (k, max(first, min(1.0, most / max(1, n))))))
+    rows = train.where(F.col("rank") <= share[F.col("lang")]).select("lang", "rank", "text")
     out, held = {}, {}
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r.lang, r.rank, r.text)):
         t = r.text.lower().encode()

@@ -207,6 +207,26 @@ def test_ppm_code_lengths():
         langid.SEGMENT = langid_segment
 
 
+def test_any_number_of_languages():
+    rng = random.Random(8)
+    samples = {f"l{k:02}": [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40)).encode() * 3] for k in range(21)}
+    model = langid.Model(samples, order=3, least=5)
+    texts = [s[0][:60] for s in samples.values()]
+    got = model.lengths(texts)
+    assert len(model.parts) == 3 and got.shape == (21, 21) and (got.argmin(axis=1) == np.arange(21)).all()
+    alone = np.concatenate([langid.Model({k: v}, order=3, least=5).lengths(texts) for k, v in samples.items()], axis=1)
+    np.testing.assert_allclose(got, alone, rtol=1e-6)  # who shares a table changes no cost
+    assert model.predict(["".join(chr(c) for c in t) for t in texts]) == [(k, pytest.approx(1, abs=1e-3)) for k in samples]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"text number {k} of a common language " * 30, "aa") for k in range(60)] + [(100 + k, f"seldom{k} " * 400, f"z{k:03}") for k in range(150)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, remainder int")
+    got = langid.sample(df, most=2000, total=30000)
+    assert len(got) == 151 and all(len(v) == 1 for k, v in got.items() if k != "aa")
+    assert {k: langid.sample(df, most=2000, total=30000)[k] for k in ("aa", "z149")} == {k: got[k] for k in ("aa", "z149")}
+
+
 def test_language_accuracy_on_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identified(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
