@@ -85,30 +85,45 @@ def hue_saturation_value(img: np.ndarray, hue_shift=0, saturation_scale=1, value
         return _cut(np.floor((img.astype(np.int64) * math.trunc(v * 256) + 128) / 256))
     if img.shape[2] != 3 or (hue_shift == 0 and s == 1 and v == 1):
         return img
+    if hue_shift:
+        return _hue(img, hue_shift, s, v)
     x = img.astype(np.float64)
     top, low = x.max(axis=2, keepdims=True), x.min(axis=2, keepdims=True)
-    if hue_shift == 0:
-        if s <= 1 and v <= 1:
-            return _round(s * v * x + v * (1 - s) * top)
-        spread, value = top - low, np.clip(top * v, 0, 255)
-        chroma = np.minimum(np.divide(value * spread * s, top, out=np.zeros_like(top), where=top > 0), value)
-        part = np.divide(x - low, spread, out=np.zeros_like(x), where=spread > 0)
-        return _round(value - chroma + chroma * part)
-    # a formula that must match: integer hue, saturation and value of eight bits
-    t, lo = top[..., 0].astype(np.int64), low[..., 0].astype(np.int64)
-    d, (r, g, b) = t - lo, (img[..., k].astype(np.int64) for k in range(3))
-    safe = np.maximum(d, 1)
-    hue = 60 * np.select([d == 0, t == r, t == g], [0, (g - b) / safe, (b - r) / safe + 2], (r - g) / safe + 4)
-    sat = np.where(t > 0, np.minimum(255, (d << 8) // np.maximum(t, 1)), 0)
-    hue = np.mod(hue + hue_shift, 360)
+    if s <= 1 and v <= 1:
+        return _round(s * v * x + v * (1 - s) * top)
+    spread, value = top - low, np.clip(top * v, 0, 255)
+    chroma = np.minimum(np.divide(value * spread * s, top, out=np.zeros_like(top), where=top > 0), value)
+    part = np.divide(x - low, spread, out=np.zeros_like(x), where=spread > 0)
+    return _round(value - chroma + chroma * part)
+
+
+#: By sector of the hue: which channels hold the largest value (0), the one between (1) and the smallest (2).
+SECTORS = np.array([[0, 1, 2, 2, 1, 0], [1, 0, 0, 1, 2, 2], [2, 2, 1, 0, 0, 1]], np.uint8)
+
+
+def _hue(img: np.ndarray, hue_shift, s, v) -> np.ndarray:
+    """A formula that must match: integer saturation and value of eight bits; channel by channel, in 32-bit integers."""
+    r, g, b = (img[..., k].astype(np.int32) for k in range(3))
+    t = np.maximum(np.maximum(r, g), b)
+    d = t - np.minimum(np.minimum(r, g), b)
+    red, green = t == r, t == g
+    hue = 60 * (np.where(red, g - b, np.where(green, b - r, r - g)) / np.maximum(d, 1) + np.where(red, 0, np.where(green, 2, 4))) + hue_shift
+    if -300 <= hue_shift <= 360:  # one turn at most: the same as the remainder
+        hue = np.where(hue < 0, hue + 360, np.where(hue >= 360, hue - 360, hue))
+    else:
+        hue = np.mod(hue, 360)
+    sat = np.minimum(255, (d << 8) // np.maximum(t, 1))
     sat = np.clip((sat * math.trunc(s * 256) + 128) >> 8, 0, 255)
     val = np.clip((t * math.trunc(v * 256) + 128) >> 8, 0, 255)
     # in 256ths: the largest channel is val, the smallest val less the chroma, one lies between
-    chroma = val * sat
-    between = (chroma * (255 - np.trunc(np.abs(hue / 60 % 2 - 1) * 255).astype(np.int64)) + 128) >> 8
-    sector, zero = np.minimum(hue // 60, 5).astype(int), np.zeros_like(chroma)
-    rgb = [np.choose(sector, c) for c in ((chroma, between, zero, zero, between, chroma), (between, chroma, chroma, between, zero, zero), (zero, zero, between, chroma, chroma, between))]
-    return np.stack([np.where(sat == 0, val, np.clip((x + val * 256 - chroma) >> 8, 0, 255)) for x in rgb], axis=2).astype(np.uint8)
+    chroma, turns = val * sat, hue / 60
+    between = (chroma * (255 - (np.abs(turns - 2 * np.floor(turns / 2) - 1) * 255).astype(np.int32)) + 128) >> 8
+    sector = sum((hue >= k).view(np.uint8) for k in (60, 120, 180, 240, 300))
+    low, out = (val << 8) - chroma, np.empty(img.shape, np.uint8)
+    for k in range(3):
+        part = SECTORS[k][sector]
+        out[..., k] = (low + chroma * (part == 0) + between * (part == 1)) >> 8
+    return out
 
 
 def equalize(img: np.ndarray, then=None) -> np.ndarray:
