@@ -12,7 +12,7 @@ from pixloom.operators import packed as P
 from pixloom.operators import resampling as R
 from pixloom.plans.program import Op, Program
 from pixloom.sources import images as S
-from tests.test_engine import arrays, packed, planes_of
+from test_engine import arrays, packed, planes_of
 
 RNG = np.random.default_rng(77)
 
