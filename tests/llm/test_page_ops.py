@@ -1,7 +1,7 @@
 """WARC archives, HTML text, audio fingerprints and the pipeline."""
 
-import os
 import hashlib
+import os
 
 import numpy as np
 import pytest
