@@ -23,7 +23,7 @@ from .operators.targets import annotated
 from .plans.pipeline import Choice, Compose, Identity, Maybe, SomeOf, Transform, color_jitter
 from .plans.planner import plan
 from .plans.program import Op, Program
-from .schema import pixels
+from .schema import packed_to_planes, pixels, planes_to_packed
 from .sources import arrays
 from .sources import images as S
 from .sources import stored
@@ -380,8 +380,8 @@ _points_of = "array(array((image_id % 8) / 8D, (image_id % 7) / 8D, 2D, 1D), arr
 
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
-    """Images with boxes, points and a mask (the image's first bytes), all through one random program."""
-    images = S.packed(S.rgb(spark, d)).selectExpr("*", f"{_boxes_of} as boxes", f"{_points_of} as points", "substring(data, 1, 64) as mask")
+    """Images with boxes, points and a mask (the image's first bytes), all through one random program; packed in the JVM, so that a task has one Python process, not one a step."""
+    images = planes_to_packed(S.rgb(spark, d)).selectExpr("*", f"{_boxes_of} as boxes", f"{_points_of} as points", "substring(data, 1, 64) as mask")
     return JOINT(images, SEED, boxes="boxes", points="points", masks="mask")
 
 
@@ -408,14 +408,14 @@ _points_sql = (
 _add("compose_keypoints", lambda spark, d: L.write_points(R.points(L.read_points(_flat(spark, d, _points_of).selectExpr("image_id", "w", "h", "cast(e[3] as int) as tag", "e[0] as a", "e[1] as b", "cast(e[2] as int) as s"), JOINT.keypoint_format, ("a", "b", "s")), JOINT, SEED), JOINT.keypoint_format, ("x", "y", "s")).selectExpr("image_id", "tag", "s", "round(x, 6) as x", "round(y, 6) as y"), _points_sql)
 _add("compose_keypoints_packed", lambda spark, d: _joined(spark, d).select("image_id", F.explode("points").alias("e")).selectExpr("image_id", "cast(e[3] as int) as tag", "cast(e[2] as int) as s", "round(e[0], 6) as x", "round(e[1], 6) as y"), _points_sql)
 _moved = "m1 as (select image_id, c, y, case when flip then 7 - x else x end as x, v, turned, ox, oy from m0 join jd using (image_id)), m2 as (select image_id, c, v, case when turned then 7 - y else x end - ox as x, case when turned then x else 7 - y end - oy as y from m1) select image_id, c, y::int as y, x::int as x, v from m2 where x between 0 and 5 and y between 0 and 4"
-_add("compose_masks", lambda spark, d: pixels(S.unpacked(_joined(spark, d).selectExpr("image_id", "width", "height", "1 as channels", "mask as data"))),
+_add("compose_masks", lambda spark, d: pixels(packed_to_planes(_joined(spark, d).selectExpr("image_id", "width", "height", "1 as channels", "mask as data"))),
      f"{RGB}{_joint}, m0 as (select image_id, 0 as c, ((y * 8 + x) * 3 + c) // 8 as y, ((y * 8 + x) * 3 + c) % 8 as x, v from px where (y * 8 + x) * 3 + c < 64), {_moved}")
-_add("compose_images", lambda spark, d: pixels(S.unpacked(_joined(spark, d))), f"{RGB}{_joint}, m0 as (select image_id, c, y, x, least(255, v + 25) as v from px), {_moved}")
+_add("compose_images", lambda spark, d: pixels(packed_to_planes(_joined(spark, d))), f"{RGB}{_joint}, m0 as (select image_id, c, y, x, least(255, v + 25) as v from px), {_moved}")
 
 
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
     """The same programs, stored as JSON texts and replayed on images and boxes."""
-    images = S.packed(S.rgb(spark, d)).withColumn("boxes", F.expr(_boxes_of))
+    images = planes_to_packed(S.rgb(spark, d)).withColumn("boxes", F.expr(_boxes_of))
     stored = images.join(P.programs(images, JOINT, SEED), "image_id")
     done = annotated(stored, None, boxes="boxes", program="program", bbox_format="pascal_voc")
     return done.select("image_id", "width", "height", F.explode("boxes").alias("e")).selectExpr("image_id", "cast(e[4] as int) as tag", "width as w", "height as h", "e[0] as a", "e[1] as b", "e[2] as c", "e[3] as d")

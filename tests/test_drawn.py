@@ -5,6 +5,7 @@ import pytest
 from pixloom.functions.draws import Bernoulli, Normal, UniformInt
 from pixloom.operators import drawn, packed
 from pixloom.plans.pipeline import Choice, Compose, Identity, Maybe, SomeOf, Transform, color_jitter
+from pixloom.queries import queries
 from pixloom.sources import images as S
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,10 @@ def test_what_can_not_be_compiled(spark):
         drawn.images(S.rgb(spark, SF), Compose([T("gaussian_blur_sigma", sigma=(1.0, 2.0))]), 1)
     with pytest.raises(ValueError, match="range"):
         drawn.Compiled(Compose([T("rotate", angle=Normal(90, 1))]))
+
+
+@pytest.mark.parametrize("name", ["compose_masks", "compose_images", "compose_labels_packed", "compose_keypoints_packed"])
+def test_one_python_process_a_task(spark, name):
+    """Steps in Python one after another each take a process in every task: an executor's memory goes with their number."""
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
