@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AND_SPACE, grouped, keyed, one_of, partitions, small_batches, written
-from .components import components
+from .components import _find, _roots, components
 
 #: Tiles that the fingerprints are dealt to, and the bounds of a tile's size; a task holds two tiles and their links.
 TILES, LEAST_TILE, TILE = 48, 1024, 1 << 18
@@ -87,20 +87,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = x = parent[parent[x]]
-    return x
-
-
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return up
-        parent[:] = up
-
-
 def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray):
     """Indices into links (i, j) of those that join what parent holds apart; parent is brought up to date."""
     root = _roots(parent)

@@ -72,6 +72,24 @@ def test_components_with_a_hub(spark):
     assert got == naive_components({x for e in linked for x in e}, linked)
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Near copies in six tiles, each pair of tiles linked by a task of its own: a round costs the driver a thousand small tasks."""
+    from pixloom.llm import components as module
+
+    rounds, rng = [], random.Random(5)
+    monkeypatch.setattr(module, "_stars", lambda edges, f=module._stars: rounds.append(1) or f(edges))
+    tiles = [list(range(50 * k, 50 * k + 50)) for k in range(6)]
+    walks = [rng.sample(x + y, 100) for k, x in enumerate(tiles) for y in tiles[k + 1 :]]
+    edges = [e for w in walks for e in zip(w, w[1:], strict=False)]
+    got = components(spark.createDataFrame(spark.sparkContext.parallelize(edges, len(walks)), "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(300), 0) and len(got) == 300
+    assert len(rounds) == 1
+    rounds.clear()
+    assert components(spark.createDataFrame([(k, 0) for k in range(1, 50)], "a long, b long")).count() == 50
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+    assert not rounds
+
+
 def naive_components(ids, linked):
     parent = {i: i for i in ids}
 
